@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxloom.llm import line_quality, secret_scan, url_filter
+from voxloom.llm import language_id, line_quality, secret_scan, toxicity, url_filter
+from voxloom.llm._learn import fold_of
 from voxloom.llm._spark import table
 
 
@@ -25,11 +27,25 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(docs))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    return language_id.identify(docs.select("doc_id", "text"), docs.select("doc_id", "text", "lang").filter(~held_out), held_out)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out), held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_line_quality": op2_line_quality,
         "op4_secret_scan": op4_secret_scan,
+        "op5_language_id": op5_language_id,
+        "op9_toxicity": op9_toxicity,
     }
 
 
