@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import language_id, line_quality, secret_scan, toxicity, url_filter
+from voxloom.llm import cotraining, language_id, line_quality, secret_scan, toxicity, url_filter
 from voxloom.llm._learn import fold_of
 from voxloom.llm._spark import table
 
@@ -39,6 +39,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out), held_out)
 
 
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op5_language_id": op5_language_id,
         "op9_toxicity": op9_toxicity,
+        "op10_cotraining": op10_cotraining,
     }
 
 
