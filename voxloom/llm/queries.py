@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import cotraining, language_id, line_quality, secret_scan, toxicity, url_filter
+from voxloom.llm import cotraining, html_crf, language_id, line_quality, secret_scan, toxicity, url_filter
 from voxloom.llm._learn import fold_of
 from voxloom.llm._spark import table
 
@@ -22,6 +22,10 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.clean_documents(docs, cleaned=False)
 
 
+def op3_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.digest(secret_scan.scan_secrets(docs))
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_line_quality": op2_line_quality,
+        "op3_html_crf": op3_html_crf,
         "op4_secret_scan": op4_secret_scan,
         "op5_language_id": op5_language_id,
         "op9_toxicity": op9_toxicity,
