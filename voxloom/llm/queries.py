@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import cotraining, html_crf, language_id, line_quality, order_minhash, secret_scan, toxicity, url_filter
+from voxloom.llm import cotraining, decontaminate, html_crf, language_id, line_quality, order_minhash, secret_scan, toxicity, url_filter
 from voxloom.llm._learn import fold_of
 from voxloom.llm._spark import table
 
@@ -37,6 +37,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), docs.select("doc_id", "text", "lang").filter(~held_out), held_out)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return order_minhash.near_duplicates(docs).select("doc_id", "class_id")
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_crf": op3_html_crf,
         "op4_secret_scan": op4_secret_scan,
         "op5_language_id": op5_language_id,
+        "op6_decontaminate": op6_decontaminate,
         "op8_order_minhash": op8_order_minhash,
         "op9_toxicity": op9_toxicity,
         "op10_cotraining": op10_cotraining,
