@@ -203,3 +203,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in carry), *(f"{k} double" for k in names), "kept boolean"])
     return map_texts(source, "text", run, schema)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """The rows of `docs`, all columns as they are, that the classifier learned from `labels` keeps."""
+    types = dict(docs.dtypes)
+    held = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label))
+
+    def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+        model = held.value
+        return [batch.filter(pa.array(model.score(_views(batch))["score"] >= model.kept_from)) if model else batch]
+
+    return map_texts(docs, "text", run, ", ".join(f"`{c}` {types[c]}" for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import cotraining, decontaminate, html_crf, language_id, line_quality, order_minhash, secret_scan, toxicity, url_filter
+from voxloom.llm import cotraining, decontaminate, html_crf, language_id, line_quality, oracles, order_minhash, secret_scan, temperature_mix, toxicity, url_filter
 from voxloom.llm._learn import fold_of
 from voxloom.llm._spark import table
 
@@ -41,6 +41,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temperature_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return order_minhash.near_duplicates(docs).select("doc_id", "class_id")
@@ -56,6 +60,12 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -64,11 +74,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op5_language_id": op5_language_id,
         "op6_decontaminate": op6_decontaminate,
+        "op7_temperature_mix": op7_temperature_mix,
         "op8_order_minhash": op8_order_minhash,
         "op9_toxicity": op9_toxicity,
         "op10_cotraining": op10_cotraining,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
