@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as tx
+from voxloom.functions.udf import arrow
 
 
 def levels(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
@@ -33,7 +34,7 @@ def distance(a: Sequence[str], b: Sequence[str]) -> int:
     return int(levels(a, b)[-1, -1])
 
 
-@F.pandas_udf("int")
+@arrow("int")
 def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Words to change, add or leave out; null where a list is."""
     return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b)], dtype="Int32")
@@ -70,7 +71,7 @@ def breakdown(ref: Sequence[str], hyp: Sequence[str]) -> tuple[int, int, int]:
     return subs, ins, dels
 
 
-@F.pandas_udf("subs int, ins int, dels int, ref_words int")
+@arrow("subs int, ins int, dels int, ref_words int")
 def error_breakdown(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     rows = [(*breakdown(x, y), len(x)) for x, y in zip(ref, hyp)]
     return pd.DataFrame(rows, columns=["subs", "ins", "dels", "ref_words"], dtype="int32")
@@ -80,13 +81,13 @@ def opcodes(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, int, int, int
     return difflib.SequenceMatcher(a=list(a), b=list(b), autojunk=False).get_opcodes()
 
 
-@F.pandas_udf("array<struct<tag:string,a1:int,a2:int,b1:int,b2:int>>")
+@arrow("array<struct<tag:string,a1:int,a2:int,b1:int,b2:int>>")
 def word_opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
     names = ("tag", "a1", "a2", "b1", "b2")
     return pd.Series([[dict(zip(names, o)) for o in opcodes(x, y)] for x, y in zip(a, b)])
 
 
-@F.pandas_udf("ratio double, ops array<string>")
+@arrow("ratio double, ops array<string>")
 def word_diff(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """How alike two lists are, and what differs, to read."""
     rows = []
@@ -122,7 +123,7 @@ def best_order(ref: Sequence[Sequence[str]], hyp: Sequence[Sequence[str]]) -> tu
     return sum(counts), len(words), *counts, order
 
 
-@F.pandas_udf("errors int, ref_words int, subs int, ins int, dels int, best_perm array<int>")
+@arrow("errors int, ref_words int, subs int, ins int, dels int, best_perm array<int>")
 def permuted_errors(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     rows = [best_order(x, y) for x, y in zip(ref, hyp)]
     return pd.DataFrame(rows, columns=["errors", "ref_words", "subs", "ins", "dels", "best_perm"])

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from voxloom.functions.udf import arrow
 
 # Fixed values.
 NUMBER_WORDS = (
@@ -53,7 +53,7 @@ def normalize_words(text: Column | str) -> Column:
     return _words_only(F.lower(F.coalesce(_c(text), F.lit(""))))
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -85,7 +85,7 @@ def as_bool(text: Column | str) -> Column:
 
 def parse_json_list(text: Column | str, kind: str = "string") -> Column:
     """The JSON list in a text; empty if it is none."""
-    return F.coalesce(F.from_json(_c(text), T.ArrayType(T._parse_datatype_string(kind))), F.array().cast(f"array<{kind}>"))
+    return F.coalesce(F.from_json(_c(text), f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
 
 
 def safe_time(value: Column | str, default: float = 0.0) -> Column:
@@ -166,16 +166,10 @@ def name_candidates(text: Column | str) -> Column:
     return F.transform(F.array_sort(F.transform(found, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda s: s["t"])
 
 
-@F.pandas_udf("string")
-def capitalize_words(text: pd.Series, words: pd.Series) -> pd.Series:
+def capitalize_words(text: Column | str, words: Column | str) -> Column:
     """Each of the words, whole and in any case, with its first letter raised."""
-
-    def raised(t: str | None, names: Iterable[str] | None) -> str | None:
-        for w in names if t and names is not None else ():
-            t = re.sub(rf"(?i)\b{re.escape(w)}\b", w[:1].upper() + w[1:], t)
-        return t
-
-    return pd.Series([raised(t, w) for t, w in zip(text, words)])
+    raised = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
+    return F.aggregate(_c(words), _c(text), lambda t, w: F.regexp_replace(t, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}_])\Q"), w, F.lit(r"\E(?![\p{L}\p{M}\p{N}_])")), raised(w)))
 
 
 def replace_known_names(text: Column | str, rules: Mapping[str, str] = KNOWN_NAMES) -> Column:
