@@ -35,7 +35,7 @@ def read_tsv_transcript(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their numbers from 0, bad ones included: each file is read whole, as text sources tell no row numbers."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_name"))
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
     lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "value"))
     return lines
 
@@ -125,7 +125,7 @@ def read_mix_metadata(spark: SparkSession, root: str) -> tuple[DataFrame, DataFr
 def read_sidecar_text(spark: SparkSession, folder: str) -> DataFrame:
     """Audio paths with the text of the file of the same name."""
     stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder).select(stem(F.col("_metadata.file_path")).alias("stem"), F.trim("value").alias("text"))
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("stem"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
     audio = list_audio(spark, folder, ("wav",)).select(F.col("path").alias("audio_path"), stem(F.col("path")).alias("stem"))
     plain = lambda df: df.withColumn("stem", F.regexp_replace("stem", r"^file:/+", "/"))
     return plain(audio).join(plain(texts), "stem").select("audio_path", "text")
