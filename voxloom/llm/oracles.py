@@ -111,7 +111,7 @@ def temperature_mix() -> str:
     hashed as (select *, ('0x' || left(md5('{tm.SEED}:' || epoch || ':' || doc_id), 8))::bigint / 4294967296.0::double h from spread),
     placed as (select *, floor(h * blocks)::int block from hashed),
     ordered as (select *, row_number() over (partition by s, epoch, block order by h, doc_id) slot, sum(n_tokens) over (partition by s, epoch order by block, h, doc_id rows unbounded preceding) upto from placed)
-    select doc_id, source, n_tokens, weight, epoch::int epoch, block, slot::int slot from ordered where epoch < passes or upto <= rest"""
+    select doc_id, source, n_tokens, weight, epoch::int epoch, block, slot::int slot from ordered where epoch < passes or upto <= rest or n_tokens = 0"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -128,5 +128,5 @@ def placed(docs: DataFrame, weights: DataFrame, key: str, seed: str) -> DataFram
     sums = sums.withColumnRenamed("_source", "_s")
     whole = rows.filter(F.col("epoch") < F.col("passes"))
     part = rows.filter(F.col("epoch") == F.col("passes")).join(small(sums, BROADCAST_SOURCES), (F.col("_source") == F.col("_s")) & (F.col("block") == F.col("_block")))
-    part = part.filter(F.col("_before") + F.col("_sum") <= F.col("rest")).drop("_s", "_block", "_before")
+    part = part.filter((F.col("_before") + F.col("_sum") <= F.col("rest")) | (F.col("n_tokens") == 0)).drop("_s", "_block", "_before")
     return whole.unionByName(part).drop("_source", "_hash", "_sum", "passes", "rest", "blocks")
