@@ -497,6 +497,107 @@ def speaker_and_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.manifest(spark, sf_dir).select(F.concat_ws("-", "dataset", "speaker_id", F.col("doc_id").cast("string")).alias("utt_id"))
     return rows.select("utt_id", names.speaker_of(F.lit("gigaspeech2_vi"), "utt_id", F.lit("")).alias("speaker"), names.audio_path_of("/root", F.lit("train"), "utt_id").alias("path"))
 
+@query(f"""with {v.TURNS}, src as (select meeting, place, "start"::bigint "offset", len::bigint n from turns), stops as (select meeting, min("offset" + n) stop from src group by 1)
+  select meeting, place, least(n, stop - "offset") num_samples from src join stops using (meeting) where least(n, stop - "offset") > 0""")
+def truncate_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.turns(spark, sf_dir).select("meeting", "place", F.col("start").cast("long").alias("offset"), F.col("len").cast("long").alias("num_samples"))
+    return iv.truncate_min(rows, "meeting").select("meeting", "place", "num_samples")
+
+
+@query(f"""with {v.TURNS}, {SWEEP.format(k='meeting', a='"start"', b='"end"', t='turns')}, lens as (select k src, "at" start_sec, until end_sec from swept where until is not null and active = 1), {_regions_oracle(0, 'lens')} select src meeting, start_sec, end_sec, end_sec - start_sec length from merged""")
+def segment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iv.segment_lengths(v.turns(spark, sf_dir).withColumnsRenamed({"start": "start_sec", "end": "end_sec"}), "meeting", 1)
+
+
+@query(f"""{VOTES}, rates as (select dataset setting, round(100.0 * count(*) filter (decision_reason <> 'exact') / count(*), 6) wer from votes group by 1) select setting, wer::double wer, wer = min(wer) over () is_best from rates""")
+def rank_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = _votes(spark, sf_dir).groupBy(F.col("dataset").alias("setting")).agg(F.round(100 * F.count_if(~F.col("accepted")) / F.count("*"), 6).alias("wer"))
+    return re_.rank_settings(rates)
+
+
+@query("""select c_custkey, c_mktsegment, case when c_custkey % 3 = 0 then 'refined' else 'raw' end kind from customer where c_custkey % 3 = 0 or c_custkey % 2 = 0""")
+def transcripts_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return re_.by_priority([rows.filter("c_custkey % 3 = 0").withColumn("kind", F.lit("refined")), rows.filter("c_custkey % 2 = 0").withColumn("kind", F.lit("raw"))], "c_custkey")
+
+
+@query(f"with {v.MANIFEST} select utt_id from manifest where split = 'train' and doc_id % 5 <> 0")
+def exclude_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.manifest(spark, sf_dir)
+    return re_.exclude_eval(rows.filter("split = 'train'"), rows.filter("doc_id % 5 = 0"), separate=True).select("utt_id")
+
+
+@query(f"""with {v.MANIFEST} select utt_id, case when '/all/' || doc_id || '.wav' = audio_path then 'already' when doc_id % 4 = 0 then 'existed' when doc_id % 3 = 0 then 'copied' else 'missing' end status from manifest""")
+def unify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.manifest(spark, sf_dir)
+    accepted = rows.filter("doc_id % 4 = 0").select(F.concat(F.lit("/all/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("path"))
+    listing = rows.filter("doc_id % 3 = 0").select(F.col("audio_path").alias("path"))
+    return re_.unify_paths(rows, accepted, listing, "/all", "audio_path").select("utt_id", "status")
+
+
+@query("select s_suppkey, s_nationkey % (select count(*) from region) rir, r_name from supplier join region on r_regionkey = s_nationkey % (select count(*) from region)")
+def assign_rir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rirs = v.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("idx"), "r_name")
+    rows = v.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("idx"))
+    return co.assign_rir(rows, rirs).select("s_suppkey", (F.col("idx") % rirs.count()).alias("rir"), "r_name")
+
+
+@query("select p_partkey || suffix id, variant from (select p_partkey::varchar p_partkey from part), (values ('clean', ''), ('rir', '_rir'), ('noise', '_noise'), ('rir_noise', '_rir_noise')) t(variant, suffix)")
+def augment_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.augment_variants(v.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id")))
+
+
+@query(f"with {v.MANIFEST}, u as (select utt_id, {v.HASH.format(chr(40) + 'utt_id' + ' || ' + chr(39) + '__snr' + chr(39) + chr(41))} / 4294967295.0 h from manifest) select utt_id, round(5 + 15 * h, 6) snr from u")
+def snr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.snr(v.manifest(spark, sf_dir).select("utt_id"), 5.0, 20.0, "utt_id").withColumn("snr", F.round("snr", 6))
+
+
+@query("select c_custkey, regexp_replace(regexp_replace(trim(c_name), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') safe, substr(md5(c_name), 1, 8) tail from customer")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.table(spark, sf_dir, "customer").select("c_custkey", names.sanitize_name("c_name").alias("safe"), F.substring(F.md5("c_name"), 1, 8).alias("tail"))
+
+
+@query()
+def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v.hyp(spark, sf_dir).select("doc_id", align.word_diff("a", "b").alias("d")).select("doc_id", F.round("d.ratio", 6).alias("ratio"), F.size("d.ops").alias("ops"))
+
+
+@query()
+def weighted_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.manifest(spark, sf_dir).select("utt_id", "split")
+    return re_.weighted_interleave([rows.filter("split = 'train'"), rows.filter("split <> 'train'")], [3.0, 1.0], "utt_id")
+
+
+@query()
+def compose_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.compose_n(v.manifest(spark, sf_dir), 3, v.table(spark, sf_dir, "labels").count())
+
+
+@query()
+def sample_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.sample_hist(v.manifest(spark, sf_dir).select("utt_id"), _histogram(spark, sf_dir), 100, "utt_id", low=200)
+
+
+@query()
+def assign_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noise = v.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("noise_idx"), "n_name")
+    return co.assign_noise(v.manifest(spark, sf_dir).select(F.col("utt_id").alias("id")), noise, 0.5, 5.0, 20.0)
+
+
+@query()
+def anchor_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co.anchor_compose(v.manifest(spark, sf_dir).select("utt_id", "dataset", "speaker_id"), "src0", 3)
+
+
+@query()
+def stream_segments_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table form of the stateful segmenter, a frame a minute."""
+    from voxloom.streaming import jobs
+
+    frames = v.frames(spark, sf_dir).withColumn("src", F.col("src").cast("string"))
+    return jobs.batch_segments(frames, jobs.SegmenterConfig(60.0, 60.0, 3600.0, 600.0, 30.0))
+
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
