@@ -126,7 +126,7 @@ def placed(docs: DataFrame, weights: DataFrame, key: str, seed: str) -> DataFram
     inside = Window.partitionBy("_source", "epoch", "block").orderBy("_hash", key)
     rows = rows.withColumns({"slot": F.row_number().over(inside), "_sum": F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
     sums = sums.withColumnRenamed("_source", "_s")
-    whole = rows.filter(F.col("epoch") < F.col("passes"))
-    part = rows.filter(F.col("epoch") == F.col("passes")).join(small(sums, BROADCAST_SOURCES), (F.col("_source") == F.col("_s")) & (F.col("block") == F.col("_block")))
-    part = part.filter((F.col("_before") + F.col("_sum") <= F.col("rest")) | (F.col("n_tokens") == 0)).drop("_s", "_block", "_before")
-    return whole.unionByName(part).drop("_source", "_hash", "_sum", "passes", "rest", "blocks")
+    rows = rows.join(small(sums, BROADCAST_SOURCES), (F.col("_source") == F.col("_s")) & (F.col("block") == F.col("_block")), "left")
+    fits = F.coalesce("_before", F.lit(0)) + F.col("_sum") <= F.col("rest")
+    taken = rows.filter((F.col("epoch") < F.col("passes")) | fits | (F.col("n_tokens") == 0))
+    return taken.drop("_source", "_hash", "_sum", "passes", "rest", "blocks", "_s", "_block", "_before")
