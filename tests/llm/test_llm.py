@@ -305,6 +305,31 @@ def test_near_duplicates_against_plain_code(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_star_shaped_family_is_one_class(spark):
+    """Copies that are near to a template alone: each bucket's least node is mostly another copy."""
+    rng = random.Random(12)
+    lexicon = [f"w{i}" for i in range(20_000)]
+    template, texts = rng.choices(lexicon, k=150), []
+    for _ in range(400):
+        own = list(template)
+        for at in rng.sample(range(len(own)), 18):
+            own[at] = rng.choice(lexicon)
+        texts.append(own)
+    texts.append(template)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    hashed = [words.hashes(words.words_of(" ".join(t))) for t in texts]
+    met = collections.defaultdict(set)
+    for i, h in enumerate(hashed):
+        for k in order_minhash.sketch(h).tolist():
+            met[k].add(i)
+    pairs = {(i, j) for m in met.values() for i in m for j in m if i < j}
+    want = spark.createDataFrame([p for p in pairs if words.edit_distance(hashed[p[0]], hashed[p[1]], 30) is not None], "a long, b long")
+    want = {r["node"]: r["root"] for r in order_minhash.components(want).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    assert max(map(len, met.values())) > 16 and sum(r == 0 for r in want.values()) > 350
+    assert got == {i: want.get(i, i) for i in range(len(texts))}
+
+
 def test_sketch_keeps_order_and_occurrences():
     a = words.hashes([f"w{i}".encode() for i in range(40)])
     assert (order_minhash.sketch(a) == order_minhash.sketch(a.copy())).all()

@@ -7,10 +7,12 @@ if they share these shingles in the same order, which happens often for a high e
 similarity and seldom for texts that share words alone.
 
 Candidates: exact copies (equal words) are one node from the start. In each bucket of
-equal keys all nodes are aligned with the least one. Those that differ from it are aligned
-with the whole bucket if it has up to SMALL nodes, and else dealt anew by their key and
-each of the FURTHER next ones, LEVELS times at most. Large buckets are thus not compared all against all, and no task holds one.
-What is still in large buckets after LEVELS deals is aligned pair by pair: no cap drops a pair.
+equal keys all nodes are aligned with the least one. Then all pairs of a bucket that these
+links leave in different components are compared, whatever the bucket's size: their lengths
+and bags of words give lower bounds of the edit distance, and the pairs that both allow are
+aligned. So each pair that shares a key is aligned, ruled out by an exact bound, or in one
+class already; no cap drops a pair. Buckets of over SMALL nodes are held against each other
+in blocks, and no task holds a whole one.
 
 Two nodes are linked if 1 - (edit distance in words) / (words of the longer) is at least
 SIMILARITY; limits of the alignment's band follow from it. Classes are the connected
@@ -29,7 +31,6 @@ id of the class. Other columns are carried by `keep_first`, not read.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ from voxloom.llm._spark import checkpoint, map_texts, small
 from voxloom.llm._words import edit_distance, hashes, mixed, shingles, words_of
 
 K, ELL, BANDS, SIMILARITY = 5, 3, 64, 0.8
-#: Buckets up to this size are compared whole; larger ones are dealt anew by so many other keys, so many times.
-SMALL, FURTHER, LEVELS = 16, 8, 3
+#: Buckets up to this size are joined row by row; larger ones are compared in blocks of about BLOCK nodes, by bags of BINS bins.
+SMALL, BLOCK, BINS = 16, 512, 128
 #: Nodes in pairs up to which their ids are broadcast to pick their texts: some 150 MB at most.
 BROADCAST_NODES = 2_000_000
 #: Values that a task holds while it orders shingles.
@@ -83,18 +84,30 @@ def sketch(words: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def bag(words: np.ndarray) -> bytes:
+    """How many words fall into each of BINS bins, up to 255."""
+    return np.minimum(np.bincount(words % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def fewest_edits(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distances of a bag's text and others: an edit takes a word from one bin at most, and adds one to one."""
+    both = np.minimum(own, others).sum(1, dtype=np.int64)
+    return np.maximum(own.sum(dtype=np.int64), others.sum(1, dtype=np.int64)) - both
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """`id`, `node`, `words` and `keys` of the rows (`id`, `text`) of `docs`; `node` is null where the text is."""
+    """`id`, `node`, `words`, `bag` and `keys` of the rows (`id`, `text`) of `docs`; `node` is null where the text is."""
 
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         texts = batch.column("text").to_pylist()
         words = [words_of(t) for t in texts]
         nodes = [None if t is None else fingerprint(t, w) for t, w in zip(texts, words)]
-        keys = [sketch(hashes(w)) for w in words]
-        columns = [batch.column("id"), pa.array(nodes, pa.binary()), pa.array([len(w) for w in words], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-        return [pa.RecordBatch.from_arrays(columns, names=["id", "node", "words", "keys"])]
+        hashed = [hashes(w) for w in words]
+        bags, keys = [bag(h) for h in hashed], [sketch(h) for h in hashed]
+        columns = [batch.column("id"), pa.array(nodes, pa.binary()), pa.array([len(w) for w in words], pa.int32()), pa.array(bags, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        return [pa.RecordBatch.from_arrays(columns, names=["id", "node", "words", "bag", "keys"])]
 
-    return map_texts(docs, "text", run, f"id {dict(docs.dtypes)['id']}, node binary, words int, keys array<bigint>")
+    return map_texts(docs, "text", run, f"id {dict(docs.dtypes)['id']}, node binary, words int, bag binary, keys array<bigint>")
 
 
 def may_match(n: Column, m: Column, similarity: float) -> Column:
@@ -137,60 +150,66 @@ def ordered(a: str, b: str) -> list[Column]:
 
 
 def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The linked pairs (`a`, `b`, `distance`) that classes need: a pair may be missing only where its ends are linked by way of others.
+    """The linked pairs (`a`, `b`, `distance`) that classes need: a pair that shares a key may be missing only where its ends are linked by way of others.
 
-    `nodes` has `node`, `id`, `words` and `keys`.
+    `nodes` has `node`, `id`, `words`, `bag` and `keys`.
     """
-    keyed = nodes.filter(F.size("keys") > 0).select("node", "words", "keys")
-    members = keyed.select("node", "words", F.posexplode("keys").alias("band", "key"))
-    tested, found, waiting = None, [], None
-    level = 0
-    while True:
-        level += 1
-        whole = F.lit(level > LEVELS) | (F.col("n") <= (SMALL if level > 1 else 2))
-        groups = members.groupBy("key").agg(F.min(F.struct("node", "words")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-        members = checkpoint(
-            members.join(groups, "key").select("key", "band", "node", "words", "n", F.col("hub.node").alias("hub"), F.col("hub.words").alias("hub_words"))
-        )
-        near = may_match(F.col("words"), F.col("hub_words"), similarity)
-        pairs = members.filter((F.col("node") != F.col("hub")) & near).select(*ordered("node", "hub"))
-        if level > 1:
-            pairs = pairs.union(pairs_within(members.filter(whole), members.filter(whole), similarity))
-        if waiting is not None:
-            pairs = pairs.union(waiting)
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        if not pairs.isEmpty():
-            found.append(checkpoint(aligned(pairs, docs, nodes, similarity)))
-            tested = pairs if tested is None else tested.union(pairs)
-        if not found:
-            return aligned(pairs, docs, nodes, similarity)
-        to_hub = reduce(DataFrame.union, found).select(F.col("a").alias("hub"), F.col("b").alias("node"))
-        rest = members.filter((F.col("node") != F.col("hub")) & ~whole).join(to_hub, ["hub", "node"], "left_anti")
-        rest = checkpoint(rest.select("key", "band", "node", "words", "n"))
-        if rest.isEmpty():
-            return reduce(DataFrame.union, found)
-        waiting = None
-        if level == 1:
-            few = rest.filter(F.col("n") <= SMALL)
-            waiting = pairs_within(few, members.filter((F.col("n") <= SMALL) & (F.col("node") != F.col("hub"))), similarity)
-            rest = rest.filter(F.col("n") > SMALL)
-        if level < LEVELS:
-            again = rest.select("key", "band", "node", "words").join(keyed.select("node", "keys"), "node")
-            further = F.slice(F.concat("keys", "keys"), F.col("band") + 2, FURTHER)
-            again = again.select("key", "band", "node", "words", F.posexplode(further).alias("step", "other"))
-            members = again.select(F.xxhash64("key", "other").alias("key"), ((F.col("band") + F.col("step") + 1) % BANDS).cast("int").alias("band"), "node", "words").distinct()
-        else:
-            members = rest.select("key", "band", "node", "words")
-
-
-def pairs_within(some: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of a row of `some` and one of `others` with the same key, if their lengths allow a link."""
-    others = others.select("key", F.col("node").alias("x"), F.col("words").alias("x_words"))
-    both = some.join(others, "key").filter((F.col("x") != F.col("node")) & may_match(F.col("x_words"), F.col("words"), similarity))
-    return both.select(*ordered("x", "node"))
+    members = nodes.select("node", "words", F.explode("keys").alias("key"))
+    groups = members.groupBy("key").agg(F.min(F.struct("node", "words")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    members = checkpoint(members.join(groups, "key").select("key", "node", "words", "n", F.col("hub.node").alias("hub"), F.col("hub.words").alias("hub_words")))
+    near = may_match(F.col("words"), F.col("hub_words"), similarity)
+    to_hub = checkpoint(members.filter((F.col("node") != F.col("hub")) & near).select(*ordered("node", "hub")).distinct())
+    found = checkpoint(aligned(to_hub, docs, nodes, similarity))
+    rooted = members.filter("n > 2").select("key", "node", "words", "n").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parted = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
+    rooted = checkpoint(rooted.join(parted, "key", "left_semi"))
+    large = rooted.filter(F.col("n") > SMALL).join(nodes.select("node", "bag"), "node")
+    pairs = pairs_within(rooted.filter(F.col("n") <= SMALL), similarity).union(pairs_in_blocks(large, similarity)).distinct()
+    pairs = checkpoint(pairs.join(to_hub, ["a", "b"], "left_anti"))
+    return found if pairs.isEmpty() else found.union(checkpoint(aligned(pairs, docs, nodes, similarity)))
+
+
+def pairs_within(rooted: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of rows with the same key and other roots, if their lengths allow a link."""
+    others = rooted.select("key", F.col("node").alias("x"), F.col("words").alias("x_words"), F.col("root").alias("x_root"))
+    fits = (F.col("x") < F.col("node")) & (F.col("x_root") != F.col("root")) & may_match(F.col("x_words"), F.col("words"), similarity)
+    return rooted.join(others, "key").filter(fits).select(F.col("x").alias("a"), F.col("node").alias("b"))
+
+
+def pairs_in_blocks(rooted: DataFrame, similarity: float) -> DataFrame:
+    """The same for large buckets, if the bags of words allow a link as well.
+
+    A bucket is dealt into blocks of about BLOCK nodes, and each pair of blocks is one row, so that a task holds two blocks at a time.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rooted.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    dealt = checkpoint(dealt.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "root", "words", "bag")).alias("rows")))
+    left = dealt.select("key", F.col("block").alias("first"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), F.col("rows").alias("left"))
+    both = left.join(dealt.select("key", "block", F.col("rows").alias("right")), ["key", "block"])
+
+    def unpacked(rows: pa.StructScalar) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        rows = rows.values
+        bags = np.frombuffer(b"".join(rows.field("bag").to_pylist()), np.uint8).reshape(-1, BINS)
+        return rows.field("node").to_pylist(), np.array(rows.field("root").to_pylist(), object), rows.field("words").to_numpy().astype(np.int64), bags
+
+    def run(batches):
+        for batch in batches:
+            for first, block, left, right in zip(*(batch.column(c) for c in ("first", "block", "left", "right"))):
+                nodes, roots, sizes, bags = unpacked(left)
+                others, other_roots, other_sizes, other_bags = unpacked(right)
+                a, b = [], []
+                for i in range(len(nodes)):
+                    low = i + 1 if first == block else 0
+                    most = np.maximum(sizes[i], other_sizes[low:])
+                    limit = np.floor((1 - similarity) * most + 1e-9)
+                    spot = np.flatnonzero((np.abs(sizes[i] - other_sizes[low:]) <= limit) & (other_roots[low:] != roots[i]))
+                    spot = spot[fewest_edits(bags[i], other_bags[low + spot]) <= limit[spot]]
+                    for j in (low + spot).tolist():
+                        a.append(min(nodes[i], others[j]))
+                        b.append(max(nodes[i], others[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return both.select("first", "block", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,7 +235,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = checkpoint(sketched(docs))
     nodes = checkpoint(
-        rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.max("words").alias("words"), F.any_value("keys").alias("keys"))
+        rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.max("words").alias("words"), F.any_value("bag").alias("bag"), F.any_value("keys").alias("keys"))
     )
     roots = components(links(docs, nodes, similarity))
     classed = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
