@@ -330,6 +330,19 @@ def test_star_shaped_family_is_one_class(spark):
     assert got == {i: want.get(i, i) for i in range(len(texts))}
 
 
+def test_one_row_of_a_class_is_kept(spark):
+    rng = random.Random(13)
+    a, b, c, d = ([f"{x}{rng.randrange(9999)}" for _ in range(80)] for x in "abcd")
+    a, b, c, d, a2, c2 = map(" ".join, (a, b, c, d, ["other", *a[1:]], ["other", *c[1:]]))
+    rows = [(1, a), (1, a), (1, a.upper()), (2, a), (3, a2), (3, b), (4, b), (None, c), (None, c), (None, c2), (None, d), (5, d), (None, None), (6, None), (6, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS)
+    found = order_minhash.keep_first(docs)
+    kept = [(r["doc_id"], r["text"] and r["text"].lower()) for r in found.collect()]
+    assert found.columns == docs.columns and len(kept) == 7
+    assert collections.Counter(t in (c, c2) and c or t for _, t in kept) == collections.Counter([a, b, c, d, None, None, None])
+    assert {(i, t) for i, t in kept if t in (a, b, d)} == {(1, a), (3, b), (5, d)}
+
+
 def test_sketch_keeps_order_and_occurrences():
     a = words.hashes([f"w{i}".encode() for i in range(40)])
     assert (order_minhash.sketch(a) == order_minhash.sketch(a.copy())).all()

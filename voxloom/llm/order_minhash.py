@@ -24,8 +24,9 @@ edited (J of 0.4), over 0.999 where a twentieth is, and all but certain for J of
 
 Null texts are classes of their own. Texts without a word are copies if they are equal.
 Texts of fewer than K words are near only to copies. Very long texts are sketched and
-aligned whole. Repeated rows and repeated or null ids all stay; the class id is the least
-id of the class. Other columns are carried by `keep_first`, not read.
+aligned whole. `near_duplicates` tells repeated rows and repeated or null ids each; the class id is the least
+id of the class. `keep_first` keeps one row of a class; it carries other columns and does not
+read them.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm._spark import checkpoint, map_texts, small
@@ -230,8 +231,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each row of `docs`: `key`, `class_id` (the least key of its class) and `node` (equal for equal words)."""
+def classified(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows (`id`, `node`), and for each node its least `id`, `root` and `class_id`."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = checkpoint(sketched(docs))
     nodes = checkpoint(
@@ -240,14 +241,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     roots = components(links(docs, nodes, similarity))
     classed = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classed.groupBy("root").agg(F.min("id").alias("class_id"))
-    classed = classed.join(least, "root").select("node", "class_id")
-    out = rows.select("id", "node").join(classed, "node", "left")
+    return rows.select("id", "node"), classed.join(least, "root")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each row of `docs`: `key`, `class_id` (the least key of its class) and `node` (equal for equal words)."""
+    rows, classed = classified(docs, key, text, similarity)
+    out = rows.join(classed.select("node", "class_id"), "node", "left")
     return out.select(F.col("id").alias(key), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "node")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs` whose key is the class id of their class, and all with null texts; of repeated rows of that key with equal words, one stays."""
-    found = near_duplicates(docs, key, text, similarity).filter(F.col("node").isNotNull() & (F.col(key).eqNullSafe(F.col("class_id"))))
-    first = found.select(F.col(key).alias("_kept")).distinct()
-    kept = docs.filter(F.col(text).isNotNull()).join(small(first, BROADCAST_NODES), F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.union(docs.filter(F.col(text).isNull()))
+    """One row of `docs` for each class, of those with its least key the one with the least node, then text; and all rows with null texts."""
+    rows, classed = classified(docs, key, text, similarity)
+    first = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("first")).select("first.id", "first.node")
+    first = first.select(F.col("id").alias("_id"), F.col("node").alias("_node"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))).groupBy("_id", "_node").agg(F.count("*").alias("_n"))
+    kept = checkpoint(kept)
+    types = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in docs.columns), "_node binary"])
+
+    def own(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+        texts, nodes = batch.column(text).to_pylist(), batch.column("_node").to_pylist()
+        return [batch.filter(pa.array([fingerprint(t, words_of(t)) == n for t, n in zip(texts, nodes)], pa.bool_()))]
+
+    def rows_of(kept: DataFrame) -> DataFrame:
+        some = docs.filter(F.col(text).isNotNull()).join(small(kept, BROADCAST_NODES), F.col(key).eqNullSafe(F.col("_id")))
+        return map_texts(some.select(*[F.col(f"`{c}`") for c in docs.columns], "_node"), text, own, schema)
+
+    often = rows_of(kept.filter("_n > 1")).withColumn("_place", F.row_number().over(Window.partitionBy("_node").orderBy(text)))
+    out = rows_of(kept.filter("_n = 1")).drop("_node").union(often.filter("_place = 1").drop("_node", "_place"))
+    return out.union(docs.filter(F.col(text).isNull()))
