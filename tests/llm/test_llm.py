@@ -230,6 +230,26 @@ def test_leaks_against_plain_code(spark):
     assert all(r["similarity"] >= 0.8 for r in found)
 
 
+@pytest.mark.parametrize("place", ["start", "middle", "end"])
+@pytest.mark.parametrize("border", ["first", "inside", "last"])
+def test_leaks_with_gathered_edits(place, border):
+    rng = random.Random(16)
+    lexicon = [f"w{i}" for i in range(3000)]
+    sizes = (15, 30, 47, 55, 63)
+    items = [rng.choices(lexicon, k=sizes[i % 5]) for i in range(100)]
+    block = decontaminate.block_of([(i, " ".join(t)) for i, t in enumerate(items)])
+    found = 0
+    for i, own in enumerate(items):
+        cut = len(own) // 5
+        at = {"start": 0, "middle": (len(own) - cut) // 2, "end": len(own) - cut}[place]
+        new = [] if i % 2 else rng.choices(lexicon, k=cut)
+        leak = own[:at] + new + own[at + cut :]
+        before = [] if border == "first" else rng.choices(lexicon, k=60)
+        after = [] if border == "last" else rng.choices(lexicon, k=60)
+        found += any(x[0] == i for x in decontaminate.leaks(" ".join(before + leak + after), block))
+    assert found >= 99
+
+
 # 7
 def test_mixture_against_plain_code(spark):
     rng = random.Random(7)
