@@ -157,6 +157,22 @@ def test_secrets_against_plain_code(spark):
     assert secret_scan.redact("a token: abcdef1 b", [(2, 16, "assign"), (9, 16, "hex")]) == f"a {secret_scan.REDACTED} b"
 
 
+def test_random_strings_with_separators():
+    rng = random.Random(18)
+    encoder = secret_scan.encoder_of(secret_scan.read_vocabulary(secret_scan.VOCABULARY))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    spans = lambda t: [t[a:b] for a, b, k in secret_scan.spans_of(t, encoder) if k == "random"]
+    for secret in ("qX7Zr4Kp-9vTb2Lm8-Wc5Hd3Jn", "aB3dE9fGh2KlQz_Rm2mN8pQrXw-St5uVyZk3"):
+        assert spans(f"see {secret} now") == [secret]
+    for chars, size in ((letters + "0123456789-_", 20), (letters + "0123456789-_", 32), (letters + "0123456789+/", 24), (letters, 24)):
+        strings = ["".join(rng.choices(chars, k=size)) for _ in range(500)]
+        assert sum(bool(spans(f"see {s} now")) for s in strings) >= 0.95 * len(strings), (chars, size)
+    found = [spans(f"see /home/people/documents/configuration/{s} now") for s in ("".join(rng.choices(letters + "0123456789", k=24)) for _ in range(200))]
+    assert sum(bool(x) for x in found) >= 190
+    for fine in ("/home/people/documents/report_2024/final-version-12", "the-quick-brown-fox-jumps", "internationalization-of-documents", "MAX_CONNECTION_TIMEOUT_SECONDS", "=" * 30 + "end"):
+        assert spans(fine) == []
+
+
 # 5, 9 and 10: held-out accuracy
 def test_language_on_held_out_rows(spark, sf_dir):
     found = queries.op5_language_id(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()

@@ -2,7 +2,10 @@
 
 Random strings take many tokens for their length under a byte-pair vocabulary: a run of
 letters and digits with fewer than `MAX_RATIO` characters a token is a secret, unless it
-is a known digest or identifier. The vocabulary file is read once on the driver and goes
+is a known digest or identifier. Parts between separators are judged too: a form of names,
+paths or slugs excuses a run only if each part is plain, that is a short number or a word of
+one case that is itself token-efficient, and stretches of parts that are not plain are held
+against the vocabulary by themselves. Runs of under MIN_RUN characters are not judged. The vocabulary file is read once on the driver and goes
 to the tasks as a broadcast of its bytes, whose size is bounded.
 
 Null and empty texts have no spans. Runs of any length are judged whole. Repeated rows
@@ -39,18 +42,19 @@ ASSIGN = re.compile(r"""(?ia:(password|passwd|secret|token|api_?key)["']?\x20*[:
 ASSIGN_HINTS = ("passw", "secret", "token", "key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-DIGIT = re.compile(r"[0-9]")
-RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+PART = re.compile(r"[A-Za-z0-9]+")
+#: A part that may be plain: a short number, or a word of one case, maybe with a short number behind it.
+PLAIN = re.compile(r"[0-9]{1,14}|([A-Z]?[a-z]+|[A-Z]+)[0-9]{0,6}")
+#: Words up to this length are plain whatever their tokens.
+SHORT = 3
 #: Digests by their length in hexadecimal, and identifiers by their form.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 KNOWN = re.compile(
     r"""(?ix: [0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}   # UUID
     | [0-9+/_=-]+                                                            # numbers, dates, telephone numbers
-    | (?:[a-z]+[_/-])*[a-z]+[_/-]?[0-9]{1,6}(?:[_/-][a-z]+)*                 # names with a number
     | (?:19|20)[0-9]{2}-?[0-9]{2}-?[0-9]{2}T[0-9-]+Z?                        # time stamps
-    | (?:/?[a-z][a-z0-9]{0,15})(?:[/_-][a-z0-9]{1,15})+                      # paths and slugs
     )"""
 )
 
@@ -72,15 +76,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def runs(text: str) -> Iterator[tuple[int, int]]:
-    """Maximal runs of MIN_RUN characters or more that hold a digit and a letter."""
-    at = 0
-    while m := DIGIT.search(text, at):
-        start = m.start()
-        while start and text[start - 1] in RUN_CHARS:
-            start -= 1
-        at = RUN.match(text, start).end()
-        if at - start >= MIN_RUN and any(c.isalpha() for c in text[start:at]):
-            yield start, at
+    """Maximal runs of MIN_RUN characters or more that hold a letter."""
+    for m in RUN.finditer(text):
+        if m.end() - m.start() >= MIN_RUN and any(c.isalpha() for c in m[0]):
+            yield m.span()
 
 
 def is_known(run: str) -> bool:
@@ -89,6 +88,37 @@ def is_known(run: str) -> bool:
     return bool(DIGEST.fullmatch(bare) and len(bare) in DIGEST_LENGTHS) or bool(KNOWN.fullmatch(bare))
 
 
+def is_dense(run: str, encoder: tiktoken.Encoding) -> bool:
+    """Fewer than MAX_RATIO characters a token."""
+    return len(run) < MAX_RATIO * len(encoder.encode_ordinary(run))
+
+
+def is_plain(part: str, encoder: tiktoken.Encoding) -> bool:
+    """A short number, or a word of one case that takes few tokens."""
+    m = PLAIN.fullmatch(part)
+    return bool(m) and (not m[1] or len(m[1]) <= SHORT or not is_dense(m[1], encoder))
+
+
+def random_spans(run: str, encoder: tiktoken.Encoding) -> list[tuple[int, int]]:
+    """The whole run, or the stretches of its parts, that are neither known nor plain and take many tokens."""
+    if is_known(run):
+        return []
+    stretches: list[list[int]] = []
+    joins = False
+    for m in PART.finditer(run):
+        plain = is_plain(m[0], encoder)
+        if not plain and joins:
+            stretches[-1][1] = m.end()
+        elif not plain:
+            stretches.append([*m.span()])
+        joins = not plain
+    if not stretches:
+        return []
+    if is_dense(run, encoder):
+        return [(0, len(run))]
+    return [(a, b) for a, b in stretches if b - a >= MIN_RUN and not is_known(run[a:b]) and is_dense(run[a:b], encoder)]
+
+
 def spans_of(text: str | None, encoder: tiktoken.Encoding) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, by start, then kind as listed."""
     if not text:
@@ -96,8 +126,8 @@ def spans_of(text: str | None, encoder: tiktoken.Encoding) -> list[tuple[int, in
     found = base_spans(text)
     ends = [(a, b) for a, b, _ in found]
     for a, b in runs(text):
-        if not any(x < b and a < y for x, y in ends) and not is_known(text[a:b]) and (b - a) < MAX_RATIO * len(encoder.encode_ordinary(text[a:b])):
-            found.append((a, b, "random"))
+        if not any(x < b and a < y for x, y in ends):
+            found += [(a + x, a + y, "random") for x, y in random_spans(text[a:b], encoder)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
