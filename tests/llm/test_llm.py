@@ -366,6 +366,24 @@ def test_star_shaped_family_is_one_class(spark):
     assert got == {i: want.get(i, i) for i in range(len(texts))}
 
 
+def test_pairs_in_large_buckets(spark):
+    """Texts of one long template and own words, which are no copies, and near copies of some of them."""
+    rng = random.Random(14)
+    lexicon = [f"w{i}" for i in range(20_000)]
+    template = rng.choices(lexicon, k=90)
+    texts = [template + rng.choices(lexicon, k=34) for _ in range(200)]
+    for i in range(100):
+        own = list(texts[i])
+        for at in rng.sample(range(len(own)), 15):
+            own[at] = rng.choice(lexicon)
+        texts.append(own)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    sketches = [order_minhash.sketch(words.hashes(words.words_of(" ".join(t)))) for t in texts]
+    met = [i for i in range(100) if (sketches[i] == sketches[200 + i]).any()]
+    assert len(met) > 90 and sum(got[200 + i] == got[i] for i in met) == len(met)
+
+
 def test_one_row_of_a_class_is_kept(spark):
     rng = random.Random(13)
     a, b, c, d = ([f"{x}{rng.randrange(9999)}" for _ in range(80)] for x in "abcd")
