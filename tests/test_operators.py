@@ -1,4 +1,5 @@
-import difflib
+import hashlib
+import itertools
 import random
 
 import pytest
@@ -73,10 +74,61 @@ def test_distances_against_plain_code(spark):
         want = plain_distance(a, b)
         assert r["d"] == r["n"] == want == sum(tuple(r["e"])[:3])
         assert r["e"]["ref_words"] == len(a) and len(a) - r["e"]["dels"] + r["e"]["ins"] == len(b)
-    ops = df.select("i", align.word_opcodes("a", "b").alias("o")).collect()
-    for r in ops[:20]:
+    ops = df.select("i", align.word_opcodes("a", "b").alias("o"), align.word_diff("a", "b").alias("d")).collect()
+    for r in ops:
         a, b = pairs[r["i"]]
-        assert [tuple(o) for o in r["o"]] == difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes()
+        at = (0, 0)
+        for tag, a1, a2, b1, b2 in r["o"]:
+            assert (a1, b1) == at and (tag == "equal") == (a[a1:a2] == b[b1:b2] and a2 > a1) and (a2 > a1 or b2 > b1)
+            assert tag == "equal" or tag == ("replace" if a2 > a1 and b2 > b1 else "delete" if a2 > a1 else "insert")
+            at = (a2, b2)
+        assert at == (len(a), len(b))
+        same = sum(o["a2"] - o["a1"] for o in r["o"] if o["tag"] == "equal")
+        assert r["d"]["ratio"] == pytest.approx(2 * same / (len(a) + len(b)) if a or b else 1.0) and len(r["d"]["ops"]) == sum(o["tag"] != "equal" for o in r["o"])
+
+
+def plain_path(a, b):
+    """From the end of the full table: the same words, then another word, a word more, a word less."""
+    d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+    i, j, out = len(a), len(b), ""
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j, out = i - 1, j - 1, "=" + out
+        elif i and j and d[i][j] == d[i - 1][j - 1] + 1:
+            i, j, out = i - 1, j - 1, "s" + out
+        elif j and d[i][j] == d[i][j - 1] + 1:
+            j, out = j - 1, "i" + out
+        else:
+            i, out = i - 1, "d" + out
+    return out
+
+
+@pytest.mark.parametrize("kept", [2, 3, 256])
+def test_alignment_path(kept, monkeypatch):
+    monkeypatch.setattr(align, "KEPT", kept)
+    rng = random.Random(kept)
+    for _ in range(600):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 11))] for _ in "ab")
+        assert align.path(a, b) == plain_path(a, b) and align.distance(a, b) == plain_distance(a, b)
+    a = [str(rng.randrange(50)) for _ in range(700)]
+    b = [x if rng.random() < 0.9 else "new" for x in a if rng.random() < 0.95]
+    assert align.path(a, b) == plain_path(a, b)
+
+
+def test_best_order_of_speakers():
+    rng = random.Random(8)
+    for _ in range(150):
+        ref, hyp = ([[rng.choice("ab") for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(1, 4))] for _ in "rh")
+        n = max(len(ref), len(hyp))
+        padded, words = hyp + [[]] * (n - len(hyp)), [w for r in ref for w in r]
+        cost = {p: plain_distance(words, [w for i in p for w in padded[i]]) for p in itertools.permutations(range(n))}
+        errors, size, *counts, order = align.best_order(ref, hyp)
+        assert errors == sum(counts) == min(cost.values()) == cost[tuple(order)] and size == len(words)
+    many = [[f"{i}{j}" for j in range(6)] for i in range(9)]
+    assert align.best_order(many, many[::-1])[0] == 0
 
 
 def test_error_rates(spark):
@@ -91,8 +143,12 @@ def test_timed_words_and_runs(spark):
     words = vt.timed_words(["▁xin", "▁ch", "ào", "<blk>", "▁bạn"], [0.0, 0.5, 0.7, 0.8, 1.0])
     assert [(w.raw, w.start, w.end) for w in words] == [("xin", 0.0, 0.5), ("chào", 0.5, 0.8), ("bạn", 1.0, 1.05)]
     assert [(w.raw, w.end) for w in vt.timed_words(["a", "b"], [0.0, 1.0])] == [("a", 1.0), ("b", 1.05)]
-    runs, matched, mismatched = vt.agreeing_runs(words, ["xin", "khác", "bạn"], 0.1, 0.0, 0.0)
-    assert [(r["text"], r["start_time"], round(r["end_time"], 3)) for r in runs] == [("xin", 0.0, 0.6), ("bạn", 1.0, 1.15)] and (matched, mismatched) == (2, 1)
+    df = spark.createDataFrame([(1, ["▁xin", "▁ch", "ào", "<blk>", "▁bạn"], [0.0, 0.5, 0.7, 0.8, 1.0], "Xin khác, bạn"), (2, ["▁a"], [0.0], " "), (3, None, None, "x")], "i int, tokens array<string>, timestamps array<double>, other_text string")
+    found = {r["i"]: r for r in vt.consensus_runs(df, 0.1).collect()}
+    assert [(r["text"], r["start_time"], round(r["end_time"], 3), r["start_word_idx"], r["end_word_idx"]) for r in found[1]["runs"]] == [("xin", 0.0, 0.6, 0, 0), ("bạn", 1.0, 1.15, 2, 2)]
+    assert (found[1]["matched"], found[1]["mismatched"]) == (2, 1) and not found[2]["runs"] and not found[3]["runs"] and not found[3]["mismatched"]
+    trimmed = {r["i"]: r for r in vt.consensus_runs(df, 0.1, 0.2, 0.1).collect()}[1]["runs"]
+    assert [(round(r["start_time"], 3), round(r["end_time"], 3)) for r in trimmed] == [(0.2, 0.5), (1.0, 1.15)]
     df = spark.createDataFrame([("k", "a.wav", 2.0, False)], "k string, denoised_path string, duration_sec double, accepted boolean")
     cached = spark.createDataFrame([("k", ["▁xin", "▁bạn"], [0.0, 1.0], "xin bạn")], "k string, tokens array<string>, timestamps array<double>, other_text string")
     accepted, run_rows, debug = vt.salvage(df, cached, "k")
@@ -243,3 +299,76 @@ def test_relational(spark):
 def test_select_candidate(spark):
     df = spark.createDataFrame([("hai mươi quả", "hai mươi quả", None, "20 quả", None), ("xin chào bạn", "xin chào", "Xin chào bạn", None, "Xin chào, bạn.")], "raw string, main string, strict string, number string, punctuated string")
     assert [(r["kind"], r["chosen"]) for r in re_.select_candidate(df).collect()] == [("number", "20 quả"), ("strict+punct", "Xin chào, bạn.")]
+
+
+def test_batches_keep_the_limit(spark):
+    rng = random.Random(3)
+    rows_ = [(f"u{i}", float(rng.choice((2, 30, 250, 400))), "x") for i in range(1500)] + [("long", 900.0, "x")]
+    df = spark.createDataFrame(rows_, "id string, duration_sec double, text string")
+    found = co.plan_batches(df, 600.0, 3).collect()
+    assert sorted(r["id"] for r in found) == sorted(r[0] for r in rows_)
+    sums = {}
+    for r in found:
+        sums.setdefault(r["batch"], []).append(r["duration_sec"])
+    assert all(sum(x) <= 600 or len(x) == 1 for x in sums.values())
+    whole = co.plan_batches(df, 600.0, 3, drop_last=True).collect()
+    assert len(whole) < len(found) and {r["batch"] for r in whole} < set(sums)
+
+
+def test_pronounced_punctuation_and_ids(spark):
+    df = spark.createDataFrame([(1, "HELLO ,COMMA THERE"), (2, "HELLO, THERE"), (3, None), (4, "(PAREN X")], "i int, text string")
+    assert sorted(r["i"] for r in re_.drop_pronounced_punct(df).collect()) == [2, 3]
+    one = spark.createDataFrame([("d", "train", "S1", 7), ("d", "train", "", 7), ("d", "train", None, 12)], "d string, s string, sid string, r int")
+    assert [r[0] for r in one.select(names.sid_utt_id("d", "s", "sid", "r")).collect()] == ["d__train__S1", "d__train__r00000007", "d__train__r00000012"]
+
+
+def test_manifests_from_lines_and_accepted_rows(spark):
+    lines = spark.createDataFrame([("f.tsv", 0, "a-b-c", " x "), ("f.tsv", 1, "", "y"), ("f.tsv", 2, "d-e-f", "z"), ("f.tsv", 3, "g", None)], "file string, line int, utt_id string, text string")
+    listing = spark.createDataFrame([("/r/train/a/b/a-b-c.wav",)], "path string")
+    good, bad = re_.build_manifest(lines, "ds", "train", "/r", listing)
+    assert [(r["utt_id"], r["audio_path"], r["text"], r["recording_id"], r["source_row"]) for r in good.collect()] == [("ds__train__a-b-c", "/r/train/a/b/a-b-c.wav", "x", "ds::a-b-c", 0)]
+    assert sorted((r["source_row"], r["reason"]) for r in bad.collect()) == [(1, "missing utt_id"), (2, "missing audio"), (3, "missing text")]
+    accepted = spark.createDataFrame([("/a/b.wav", " hi "), ("", "x"), ("/c.wav", None)], "final_wav string, final_text string")
+    found = re_.manifest_from_accepted(accepted, "yt", "train").collect()
+    assert [(r["utt_id"], r["text"]) for r in found] == [("yt__train__b__" + hashlib.md5(b"/a/b.wav").hexdigest()[:8], "hi")]
+
+
+def test_spans_of_time_change_nothing(spark, monkeypatch):
+    rng = random.Random(11)
+    frames = spark.createDataFrame([("a", i, rng.random() < 0.3) for i in range(2000)], "src string, frame_idx long, is_speech boolean")
+    whole = sorted(rows(iv.frames_to_regions(frames, 48.0)))
+    turns = spark.createDataFrame([("m", "x", s, s + rng.randint(1, 300)) for s in (rng.randint(0, 9000) for _ in range(300))], "meeting string, speaker string, start_sec int, end_sec int")
+    swept = sorted(rows(iv.sweep(turns, "meeting")))
+    monkeypatch.setattr(iv, "FRAME_SPAN", 37)
+    monkeypatch.setattr(iv, "SPAN", 101.0)
+    assert sorted(rows(iv.frames_to_regions(frames, 48.0))) == whole
+    assert sorted(rows(iv.sweep(turns, "meeting"))) == swept
+    long = spark.createDataFrame([("a", 10.0, 260.0)], "src string, start_sec double, end_sec double")
+    energy = spark.createDataFrame([("a", i / 2, float((i * 7) % 11)) for i in range(0, 600)], "src string, at_sec double, energy double")
+    cuts = rows(iv.split_long(long, energy), "start_sec")
+    assert cuts[0][1] == 10.0 and cuts[-1][2] == 260.0 and all(1.0 <= e - s <= 20.0 for _, s, e in cuts) and all(x[2] == y[1] for x, y in zip(cuts, cuts[1:]))
+
+
+def test_turn_states_over_many_batches(spark):
+    rng = random.Random(5)
+    turns = []
+    for m in range(40):
+        at = 0
+        for place in range(60):
+            at += rng.randint(-3, 4)
+            turns.append((m, place, rng.choice("AB"), max(0, at), max(0, at) + rng.randint(1, 9)))
+    df = spark.createDataFrame(turns, "meeting int, place int, speaker string, start int, end int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = {(r["meeting"], r["place"]): r for r in iv.turn_states(df, "meeting").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 40 * 59
+    for m in range(40):
+        own = sorted(t for t in turns if t[0] == m)
+        speaker, end, last = own[0][2], own[0][4], "TH"
+        for _, place, who, start, stop in own[1:]:
+            want = "TH" if who == speaker else "TS" if start > end else "OV" if stop > end else "BC"
+            r = found[m, place]
+            assert (r["from_state"], r["to_state"]) == (last, want) and r["silence"] == (start - end if want in ("TH", "TS") else None)
+            speaker, end, last = (speaker, end, want) if want == "BC" else (who, stop, want)

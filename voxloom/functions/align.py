@@ -1,12 +1,15 @@
-"""Arrow functions over pairs of word lists: distances, breakdowns, opcodes and permutations."""
+"""Arrow functions over pairs of word lists: distances, breakdowns, opcodes and orders of speakers.
+
+A column of the table of edit distances is kept as two whole numbers, whose bits say where the
+distance grows or falls from one word of the first list to the next. A column follows from the one
+before by a few operations on these numbers, so that lists of 20,000 words need no table.
+"""
 
 from __future__ import annotations
 
-import difflib
-import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,24 +17,130 @@ from pyspark.sql import functions as F
 from voxloom.functions import text as tx
 from voxloom.functions.udf import arrow
 
+#: Columns whose numbers are held at a time on the way back; of all others, one in so many is.
+KEPT = 256
 
-def levels(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
-    """The matrix of edit distances of all beginnings, a row at a time."""
-    b = np.asarray(list(b), object)
-    spot = np.arange(len(b) + 1)
-    out = np.empty((len(a) + 1, len(b) + 1), np.int32)
-    out[0] = spot
-    for i, word in enumerate(a, 1):
-        row = np.empty(len(b) + 1, np.int32)
-        row[0] = i
-        if len(b):
-            np.minimum(out[i - 1, :-1] + (b != word), out[i - 1, 1:] + 1, out=row[1:])
-        out[i] = np.minimum.accumulate(row - spot) + spot
-    return out
+
+class Edge(NamedTuple):
+    """A column: where the distance grows and falls, and its value at the end of the first list."""
+
+    up: int
+    down: int
+    score: int
+
+
+class Table:
+    """Edit distances of the beginnings of one list and of others."""
+
+    def __init__(self, words: Sequence[str]):
+        self.n = len(words)
+        self.full = (1 << self.n) - 1
+        self.last = 1 << self.n >> 1
+        self.spots: dict[str, int] = {}
+        for i, word in enumerate(words):
+            self.spots[word] = self.spots.get(word, 0) | 1 << i
+
+    def first(self) -> Edge:
+        return Edge(self.full, 0, self.n)
+
+    def steps(self, at: Edge, words: Sequence[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """For each word: growth and fall along the column, growth and fall since the column before, and the value at the end."""
+        up, down, score = at
+        spots, full, last = self.spots, self.full, self.last
+        for word in words:
+            same = spots.get(word, 0)
+            across = (((same & up) + up) ^ up) | same
+            more, less = down | (full & ~(across | up)), up & across
+            if not last:
+                score += 1
+            elif more & last:
+                score += 1
+            elif less & last:
+                score -= 1
+            more, less = more << 1 | 1, less << 1
+            up, down = (less | ~(same | down | more)) & full, more & (same | down) & full
+            yield up, down, more, less, score
+
+    def after(self, at: Edge, words: Sequence[str]) -> Edge:
+        for up, down, _, _, score in self.steps(at, words):
+            at = Edge(up, down, score)
+        return at
 
 
 def distance(a: Sequence[str], b: Sequence[str]) -> int:
-    return int(levels(a, b)[-1, -1])
+    """Words to change, add or leave out; equal beginnings and ends cost nothing."""
+    a, b = list(a), list(b)
+    most = min(len(a), len(b))
+    end = 0
+    while end < most and a[-1 - end] == b[-1 - end]:
+        end += 1
+    start = 0
+    while start < most - end and a[start] == b[start]:
+        start += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if len(a) < len(b):
+        a, b = b, a
+    table = Table(a)
+    return table.after(table.first(), b).score
+
+
+def path(a: Sequence[str], b: Sequence[str]) -> str:
+    """The fewest edits from `a` to `b`, from first to last: `=` the same, `s` another word, `i` a word more, `d` a word less.
+
+    Of several ways the one is taken that, read from the end, keeps words as early as it can, then
+    changes, then adds them.
+    """
+    a, b = list(a), list(b)
+    table, edges = Table(a), []
+    at = table.first()
+    for j in range(0, len(b), KEPT):
+        edges.append(at)
+        at = table.after(at, b[j : j + KEPT])
+    out: list[str] = []
+    i, j = len(a), len(b)
+    columns: list[tuple[int, int, int, int, int]] = []
+    held = len(b)
+    while i and j:
+        if j <= held:
+            k = (j - 1) // KEPT
+            held = k * KEPT
+            columns = list(table.steps(edges[k], b[held : held + KEPT]))
+        if a[i - 1] == b[j - 1]:
+            out.append("=")
+            i, j = i - 1, j - 1
+            continue
+        up, down, more, less, _ = columns[j - 1 - held]
+        here, above = i - 1, i - 1
+        grown = (up >> here & 1) - (down >> here & 1) + (more >> above & 1) - (less >> above & 1)
+        if grown == 1:
+            out.append("s")
+            i, j = i - 1, j - 1
+        elif more >> i & 1:
+            out.append("i")
+            j -= 1
+        else:
+            out.append("d")
+            i -= 1
+    return "i" * j + "d" * i + "".join(reversed(out))
+
+
+def opcodes(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, int, int, int, int]]:
+    """Stretches of both lists: equal, or replace, delete or insert where they differ."""
+    out, i, j, way, at = [], 0, 0, path(a, b), 0
+    while at < len(way):
+        start, x, y, same = at, i, j, way[at] == "="
+        while at < len(way) and (way[at] == "=") == same:
+            at += 1
+        part = way[start:at]
+        i, j = i + len(part) - part.count("i"), j + len(part) - part.count("d")
+        out.append(("equal" if same else "replace" if i > x and j > y else "delete" if i > x else "insert", x, i, y, j))
+    return out
+
+
+def breakdown(ref: Sequence[str], hyp: Sequence[str]) -> tuple[int, int, int]:
+    """Substitutions, insertions and deletions."""
+    way = path(ref, hyp)
+    return way.count("s"), way.count("i"), way.count("d")
 
 
 @arrow("int")
@@ -41,7 +150,7 @@ def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def native_edit_distance(a: Column, b: Column) -> Column:
-    """The same as an expression, for a cross-check: a fold over `a` of a fold over `b`."""
+    """The same as an expression, for short lists and as a cross-check: a fold over `a` of a fold over `b`."""
     first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: i)
 
     def row(before: Column, word: Column) -> Column:
@@ -55,72 +164,64 @@ def native_edit_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(b) == 0, F.size(a)).otherwise(F.element_at(F.aggregate(a, first, row), -1))
 
 
-def breakdown(ref: Sequence[str], hyp: Sequence[str]) -> tuple[int, int, int]:
-    """Substitutions, insertions and deletions: from the end, matches come first, then substitutions, then insertions."""
-    d = levels(ref, hyp)
-    i, j, subs, ins, dels = len(ref), len(hyp), 0, 0, 0
-    while i or j:
-        if i and j and ref[i - 1] == hyp[j - 1]:
-            i, j = i - 1, j - 1
-        elif i and j and d[i, j] == d[i - 1, j - 1] + 1:
-            subs, i, j = subs + 1, i - 1, j - 1
-        elif j and d[i, j] == d[i, j - 1] + 1:
-            ins, j = ins + 1, j - 1
-        else:
-            dels, i = dels + 1, i - 1
-    return subs, ins, dels
-
-
 @arrow("subs int, ins int, dels int, ref_words int")
 def error_breakdown(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = [(*breakdown(x, y), len(x)) for x, y in zip(ref, hyp)]
+    """Null lists count as empty ones."""
+    rows = [(*breakdown(x if x is not None else (), y if y is not None else ()), 0 if x is None else len(x)) for x, y in zip(ref, hyp)]
     return pd.DataFrame(rows, columns=["subs", "ins", "dels", "ref_words"], dtype="int32")
 
 
-def opcodes(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, int, int, int, int]]:
-    return difflib.SequenceMatcher(a=list(a), b=list(b), autojunk=False).get_opcodes()
-
-
 @arrow("array<struct<tag:string,a1:int,a2:int,b1:int,b2:int>>")
 def word_opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The stretches of `opcodes`; none where a list is null."""
     names = ("tag", "a1", "a2", "b1", "b2")
-    return pd.Series([[dict(zip(names, o)) for o in opcodes(x, y)] for x, y in zip(a, b)])
+    return pd.Series([[dict(zip(names, o)) for o in opcodes(x, y)] if x is not None and y is not None else [] for x, y in zip(a, b)])
 
 
-@arrow("ratio double, ops array<string>")
-def word_diff(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """How alike two lists are, and what differs, to read."""
-    rows = []
-    for x, y in zip(a, b):
-        x, y = list(x), list(y)
-        m = difflib.SequenceMatcher(a=x, b=y, autojunk=False)
-        rows.append((m.ratio(), [f"{t}: {' '.join(x[i:j])} -> {' '.join(y[k:n])}" for t, i, j, k, n in m.get_opcodes() if t != "equal"]))
-    return pd.DataFrame(rows, columns=["ratio", "ops"])
+def word_diff(a: Column | str, b: Column | str) -> Column:
+    """How alike two lists are (twice their equal words, of all words), and what differs, to read."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    ops = word_opcodes(a, b)
+    words = lambda x, i, j: F.array_join(F.slice(x, i + 1, j - i), " ")
+    told = F.transform(F.filter(ops, lambda o: o["tag"] != "equal"), lambda o: F.concat(o["tag"], F.lit(": "), words(a, o["a1"], o["a2"]), F.lit(" -> "), words(b, o["b1"], o["b2"])))
+    same = F.aggregate(F.filter(ops, lambda o: o["tag"] == "equal"), F.lit(0), lambda s, o: s + o["a2"] - o["a1"])
+    total = F.size(a) + F.size(b)
+    return F.struct(F.when(total > 0, 2.0 * same / total).otherwise(1.0).alias("ratio"), told.alias("ops"))
 
 
 def non_number_distance(raw: Column | str, normalized: Column | str) -> Column:
     return edit_distance(tx.drop_numbers(tx.canonical_tokens(raw)), tx.drop_numbers(tx.canonical_tokens(normalized)))
 
 
-#: Slots up to which all orders are tried: 7! = 5040.
-MOST_SLOTS = 7
-
-
 def best_order(ref: Sequence[Sequence[str]], hyp: Sequence[Sequence[str]]) -> tuple[int, int, int, int, int, list[int]]:
-    """Errors, reference words, substitutions, insertions, deletions and the order of `hyp` with the fewest errors; the first of several."""
+    """Errors, reference words, substitutions, insertions, deletions and the order of `hyp` with the fewest errors; the first of several.
+
+    Orders are searched by branch and bound: those that begin alike share the columns of their
+    beginning, and a beginning is left where even equal words to the end would not be better.
+    """
     n = max(len(ref), len(hyp))
-    if n > MOST_SLOTS:
-        raise ValueError(f"{n} speakers are over {MOST_SLOTS}")
-    ref = [list(r) for r in ref] + [[]] * (n - len(ref))
-    hyp = [list(h) for h in hyp] + [[]] * (n - len(hyp))
     words = [w for r in ref for w in r]
-    best, order = None, list(range(n))
-    for perm in itertools.permutations(range(n)):
-        errors = distance(words, [w for p in perm for w in hyp[p]])
-        if best is None or errors < best:
-            best, order = errors, list(perm)
-    counts = breakdown(words, [w for p in order for w in hyp[p]])
-    return sum(counts), len(words), *counts, order
+    hyp = [list(h) for h in hyp] + [[]] * (n - len(hyp))
+    table = Table(words)
+    best: tuple[int, list[int]] | None = None
+
+    def search(at: Edge, order: list[int], left: int) -> None:
+        nonlocal best
+        if best is not None and at.score - left >= best[0]:
+            return
+        if len(order) == n:
+            best = (at.score, order)
+            return
+        tried = set()
+        for p in range(n):
+            own = tuple(hyp[p])
+            if p not in order and own not in tried:
+                tried.add(own)
+                search(table.after(at, hyp[p]), [*order, p], left - len(own))
+
+    search(table.first(), [], sum(map(len, hyp)))
+    counts = breakdown(words, [w for p in best[1] for w in hyp[p]])
+    return sum(counts), len(words), *counts, best[1]
 
 
 @arrow("errors int, ref_words int, subs int, ins int, dels int, best_perm array<int>")

@@ -71,6 +71,12 @@ def row_utt_id(dataset: Column | str, split: Column | str, part: Column | str, r
     return F.format_string("%s__%s__p%05d__r%08d", _c(dataset), _c(split), _c(part).cast("bigint"), _c(row).cast("bigint"))
 
 
+def sid_utt_id(dataset: Column | str, split: Column | str, sid: Column | str, row: Column | str) -> Column:
+    """`dataset__split__sid`; without a sid, `r` and the row's eight digits stand for it."""
+    own = F.nullif(F.coalesce(_c(sid).cast("string"), F.lit("")), F.lit(""))
+    return F.concat_ws("__", _c(dataset), _c(split), F.coalesce(own, F.format_string("r%08d", _c(row).cast("bigint"))))
+
+
 def path_utt_id(dataset: Column | str, split: Column | str, path: Column | str) -> Column:
     """`dataset__split__stem__` and the first eight digits of the path's md5."""
     return F.concat_ws("__", _c(dataset), _c(split), sanitize_name(_stem(_c(path))), F.substring(F.md5(_c(path)), 1, 8))

@@ -39,6 +39,17 @@ NOT_WORD = r"[^\p{L}\p{M}\p{N}_]+"
 NOT_LETTER = r"[^\p{L}\p{N}_]+"
 
 
+# Words of transcripts that stand for spoken marks.
+SPOKEN_MARKS = (
+    "&AMPERSAND", ",COMMA", ";SEMI-COLON", ":COLON", "!EXCLAMATION-POINT", "...ELLIPSIS", "-HYPHEN", ".PERIOD", ".DOT", "?QUESTION-MARK",
+    ".DECIMAL", ".PERCENT", "/SLASH",
+    "'SINGLE-QUOTE", '"DOUBLE-QUOTE', '"QUOTE', '"UNQUOTE', '"END-OF-QUOTE', '"END-QUOTE', '"CLOSE-QUOTE', '"IN-QUOTES',
+    "(PAREN", "(PARENTHESES", "(IN-PARENTHESIS", "(BRACE", "(LEFT-PAREN", "(PARENTHETICALLY", "(BEGIN-PARENS",
+    ")CLOSE-PAREN", ")CLOSE_PAREN", ")END-THE-PAREN", ")END-OF-PAREN", ")END-PARENS", ")CLOSE-BRACE", ")RIGHT-PAREN", ")UN-PARENTHESES", ")PAREN",
+    "{LEFT-BRACE", "}RIGHT-BRACE",
+)
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -59,9 +70,9 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def normalize_text(text: Column | str) -> Column:
-    """`normalize_words` with NFKC before marks go. ASCII text is left to native expressions."""
+    """`normalize_words` with NFKC before marks go. Of ASCII texts nothing is sent to Python."""
     low = F.lower(F.trim(F.coalesce(_c(text), F.lit(""))))
-    return _words_only(nfkc(low))
+    return _words_only(F.when(low.rlike(r"^\p{ASCII}*$"), low).otherwise(nfkc(F.when(~low.rlike(r"^\p{ASCII}*$"), low))))
 
 
 def clean_text(text: Column | str) -> Column:
@@ -185,6 +196,11 @@ def finalize_text(text: Column | str, known_names: bool = True) -> Column:
     return capitalize_words(out, name_candidates(out))
 
 
+def pronounced_punct(text: Column | str) -> Column:
+    """Whether a transcript has words that stand for spoken marks."""
+    return F.arrays_overlap(F.split(F.coalesce(_c(text), F.lit("")), r"\s+"), F.array(*map(F.lit, SPOKEN_MARKS)))
+
+
 def punct_count(text: Column | str) -> Column:
     return F.length(_c(text)) - F.length(F.translate(_c(text), PUNCTUATION, ""))
 

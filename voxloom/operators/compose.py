@@ -248,19 +248,34 @@ def augment_variants(df: DataFrame, variants: Sequence[str] = ("clean", "rir", "
     return out.withColumn(key, F.when(F.col("variant") == "clean", F.col(key)).otherwise(F.concat(F.col(key), F.lit("_"), F.col("variant"))))
 
 
-def plan_batches(df: DataFrame, most_sec: float, buckets: int, key: str = "id", duration: str = "duration_sec") -> DataFrame:
-    """Batches of rows of like length: buckets by length, in each a running length cut at `most_sec`.
+#: Rows of a bucket that are filled into batches together, about.
+PIECE_ROWS = 1000
 
-    Buckets are cut again into pieces by hash, and each piece starts a batch of its own, so that no task holds a bucket.
+
+def plan_batches(df: DataFrame, most_sec: float, buckets: int, key: str = "id", duration: str = "duration_sec", drop_last: bool = False) -> DataFrame:
+    """Batches of rows of like length, none over `most_sec` unless it is a single row that is.
+
+    Buckets are cut by length, then into pieces of about PIECE_ROWS rows by hash. The rows of a piece are taken by their hash: a
+    batch is closed when the next row would make it too long. A piece's last batch is short, as no row came to close it; with `drop_last` it goes.
     """
-    pieces = 64
-    edges = df.agg(F.percentile_approx(duration, [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("edges"))
-    marked = df.join(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col(duration))) if buckets > 1 else F.lit(0)).drop("edges")
-    marked = marked.withColumn("_piece", F.floor(hash01(key) * (pieces - 1e-9)).cast("int"))
-    order = Window.partitionBy("bucket", "_piece").orderBy(F.md5(F.col(key).cast("string")), key)
-    upto = F.sum(duration).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = marked.withColumn("_fill", F.floor((upto - F.col(duration)) / most_sec))
-    return marked.withColumn("batch", F.concat_ws("-", "bucket", "_piece", "_fill")).drop("_piece", "_fill")
+    edges = df.agg(F.percentile_approx(duration, [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("_edges"))
+    marked = df.join(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("_edges", lambda e: e < F.col(duration))) if buckets > 1 else F.lit(0)).drop("_edges")
+    pieces = marked.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PIECE_ROWS)).alias("_pieces"))
+    marked = marked.join(F.broadcast(pieces), "bucket").withColumn("_piece", F.floor(hash01(key) * (F.col("_pieces") - 1e-9)).cast("int"))
+    rows = F.array_sort(F.collect_list(F.struct(F.md5(F.col(key).cast("string")).alias("h"), F.col(key).alias("k"), F.col(duration).cast("double").alias("d"))))
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0.0).cast("double").alias("fill"), F.array().cast("array<int>").alias("out"))
+
+    def fill(done: Column, row: Column) -> Column:
+        fits = (done["fill"] + row["d"] <= most_sec) | (F.size(done["out"]) == 0)
+        batch = F.when(fits, done["batch"]).otherwise(done["batch"] + 1)
+        return F.struct(batch.alias("batch"), F.when(fits, done["fill"] + row["d"]).otherwise(row["d"]).alias("fill"), F.concat(done["out"], F.array(batch)).alias("out"))
+
+    filled = marked.groupBy("bucket", "_piece").agg(rows.alias("_rows")).withColumn("_done", F.aggregate("_rows", start, fill))
+    placed = filled.select("bucket", "_piece", F.col("_done.batch").alias("_last"), F.explode(F.arrays_zip(F.col("_rows"), F.col("_done.out").alias("_out"))).alias("r"))
+    placed = placed.select(F.col("r._rows.k").alias(key), "_last", F.col("r._out").alias("_fill"), F.concat_ws("-", "bucket", "_piece", F.col("r._out")).alias("batch"))
+    if drop_last:
+        placed = placed.filter(F.col("_fill") < F.col("_last"))
+    return marked.drop("_pieces", "_piece").join(placed.select(key, "batch"), key)
 
 
 def plan_mixtures(df: DataFrame, kind: str, seed: str = "mix") -> tuple[DataFrame, DataFrame]:

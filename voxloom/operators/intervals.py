@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds of a key's time line that are merged before the key's own rows meet: this keeps keys with very many rows out of one task.
 SPAN = 3600.0
+#: The same in frames.
+FRAME_SPAN = 200_000
 # Hop and rate of the frames, and lengths in seconds.
 HOP, RATE = 256, 16000
 MERGE_GAP, PAD, JOIN_GAP, RESCUE_GAP, MIN_SEG, MAX_SEG, AROUND_CUT = 0.3, 0.1, 1.2, 3.0, 1.0, 20.0, 2.0
@@ -30,16 +33,19 @@ def merge_nearby(df: DataFrame, gap: float = MERGE_GAP, key: str = "src") -> Dat
 
 
 def frames_to_regions(frames: DataFrame, silence_ms: float, hop: int = HOP, rate: int = RATE, key: str = "src", samples: str | None = None) -> DataFrame:
-    """Speech frames joined over up to `silence_ms` of silence; ends are cut at the source's samples."""
+    """Speech frames joined over up to `silence_ms` of silence; ends are cut at the source's samples.
+
+    Frames are merged inside spans of FRAME_SPAN frames first, then what is left of them across spans.
+    """
     most = max(1, round(silence_ms / 1000 / (hop / rate)))
-    speech = frames.filter("is_speech")
-    order = Window.partitionBy(key).orderBy("frame_idx")
-    gap = F.col("frame_idx") - F.lag("frame_idx").over(order)
-    marked = speech.withColumn("_new", F.when(gap.isNull() | (gap > most), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    limit = [F.max(samples).alias("_samples")] if samples else []
-    found = marked.groupBy(key, "_island").agg(F.min("frame_idx").alias("_a"), F.max("frame_idx").alias("_b"), *limit)
-    end = (F.col("_b") + 1) * hop
-    return found.select(key, (F.col("_a") * (hop / rate)).alias("start_sec"), ((F.least(F.col("_samples"), end) if samples else end) / rate).alias("end_sec"))
+    speech = frames.filter("is_speech").select(key, F.col("frame_idx").alias("start_sec"), F.col("frame_idx").alias("end_sec"), F.floor(F.col("frame_idx") / FRAME_SPAN).alias("_span"))
+    inside = _merge(speech, [key, "_span"], most).drop("_span")
+    found = _merge(inside, [key], most)
+    end = (F.col("end_sec") + 1) * hop
+    if samples:
+        found = found.join(frames.groupBy(key).agg(F.max(samples).alias("_samples")), key)
+        end = F.least(F.col("_samples"), end)
+    return found.select(key, (F.col("start_sec") * (hop / rate)).alias("start_sec"), (end / rate).alias("end_sec"))
 
 
 def pad_clamp(df: DataFrame, pad: float = PAD, duration: str | None = None) -> DataFrame:
@@ -84,22 +90,16 @@ def split_long(df: DataFrame, energy: DataFrame | None = None, min_seg: float =
         parts = df.select(key, long.alias("_long"), F.explode(cuts).alias("r"))
         return parts.select(key, "_long", "r.*").filter(~F.col("_long") | (F.col("end_sec") - F.col("start_sec") >= min_seg)).drop("_long")
     marked = df.withColumn("_region", F.xxhash64(key, "start_sec", "end_sec"))
-    wanted = marked.filter(long).join(energy, key).filter(F.col("at_sec").between(F.col("start_sec"), F.col("end_sec")))
+    spans = F.sequence(F.floor(F.col("start_sec") / SPAN), F.floor(F.col("end_sec") / SPAN))
+    frames = energy.select(F.col(key).alias("_k"), "at_sec", "energy", F.floor(F.col("at_sec") / SPAN).alias("_span"))
+    met = marked.filter(long).withColumn("_span", F.explode(spans)).join(frames.withColumnRenamed("_k", key), [key, "_span"])
+    wanted = met.filter(F.col("at_sec").between(F.col("start_sec"), F.col("end_sec")))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, end = pdf["start_sec"].iloc[0], pdf["end_sec"].iloc[0]
-        at, power = pdf.sort_values("at_sec")["at_sec"].to_numpy(), pdf.sort_values("at_sec")["energy"].to_numpy()
-        out, s = [], start
-        while end - s > max_seg:
-            target = s + max_seg
-            near = (at >= max(s + min_seg, target - AROUND_CUT)) & (at <= min(end, target + AROUND_CUT))
-            c = float(at[near][power[near].argmin()]) if near.any() else target
-            c = min(max(c, s + min_seg), s + max_seg)
-            out.append((pdf[key].iloc[0], s, c))
-            s = c
-        if end - s >= min_seg:
-            out.append((pdf[key].iloc[0], s, end))
-        return pd.DataFrame(out, columns=[key, "start_sec", "end_sec"])
+        pdf = pdf.sort_values("at_sec", kind="stable")
+        name, start, end = pdf[[key, "start_sec", "end_sec"]].iloc[0]
+        edges = cut_points(pdf["at_sec"].to_numpy(), pdf["energy"].to_numpy(), start, end, min_seg, max_seg)
+        return pd.DataFrame({key: name, "start_sec": edges[:-1], "end_sec": edges[1:]}).query("end_sec < @end or end_sec - start_sec >= @min_seg")
 
     kind = dict(df.dtypes)[key]
     cut_rows = wanted.groupBy("_region").applyInPandas(cut, f"`{key}` {kind}, start_sec double, end_sec double")
@@ -107,6 +107,17 @@ def split_long(df: DataFrame, energy: DataFrame | None = None, min_seg: float =
     return marked.filter(~long).select(key, "start_sec", "end_sec").union(cut_rows).union(split_long(without, None, min_seg, max_seg, key))
 
 
+def cut_points(at: np.ndarray, power: np.ndarray, start: float, end: float, min_seg: float, max_seg: float) -> list[float]:
+    """Start, cuts and end of a region: each cut at the quietest of the frames (sorted by `at`) around `max_seg` after the one before."""
+    edges = [start]
+    while end - edges[-1] > max_seg:
+        earliest, limit = edges[-1] + min_seg, edges[-1] + max_seg
+        first, last = np.searchsorted(at, max(earliest, limit - AROUND_CUT), "left"), np.searchsorted(at, min(end, limit + AROUND_CUT), "right")
+        quiet = at[first + power[first:last].argmin()] if last > first else limit
+        edges.append(float(np.clip(quiet, earliest, limit)))
+    return [*edges, end]
+
+
 def segment_source(frames: DataFrame, silence_ms: float, energy: DataFrame | None = None, duration: str | None = None, hop: int = HOP, rate: int = RATE, key: str = "src") -> tuple[DataFrame, dict[str, DataFrame]]:
     """Segments of sources from their speech frames, and the regions at each stage on the way."""
     raw = frames_to_regions(frames, silence_ms, hop, rate, key)
@@ -122,11 +133,18 @@ def segment_source(frames: DataFrame, silence_ms: float, energy: DataFrame | Non
 
 
 def sweep(df: DataFrame, key: str, start: str = "start_sec", end: str = "end_sec") -> DataFrame:
-    """Stretches of time between events, with how many intervals are active in each."""
+    """Stretches of time between events, with how many intervals are active in each.
+
+    Events are added up by spans of time first; inside a span they start from the sum of all spans before.
+    """
     events = df.filter(F.col(end) > F.col(start)).select(key, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    events = events.groupBy(key, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    order = Window.partitionBy(key).orderBy("at")
-    found = events.withColumns({"active": F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)), "until": F.lead("at").over(order)})
+    events = events.groupBy(key, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).withColumn("_span", F.floor(F.col("at") / SPAN))
+    spans = events.groupBy(key, "_span").agg(F.sum("d").alias("_d"), F.min("at").alias("_first"))
+    across = Window.partitionBy(key).orderBy("_span")
+    spans = spans.select(key, "_span", F.coalesce(F.sum("_d").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(across).alias("_next"))
+    order = Window.partitionBy(key, "_span").orderBy("at")
+    found = events.join(spans, [key, "_span"])
+    found = found.withColumns({"active": F.col("_before") + F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)), "until": F.coalesce(F.lead("at").over(order), "_next")})
     return found.filter("until is not null").select(key, "at", "until", "active")
 
 
@@ -199,28 +217,30 @@ STATES = ("TH", "TS", "OV", "BC")
 def turn_states(df: DataFrame, key: str) -> DataFrame:
     """Each turn but the first with its state and the silence or overlap before it.
 
-    A backchannel leaves the speaker in the foreground, so states are a fold over a meeting's turns: turn-hold, turn-switch,
-    overlap, backchannel. A turn-hold before the foreground's end has a negative silence and is flagged.
+    A backchannel leaves the speaker in the foreground, so that states follow one from another: turn-hold, turn-switch,
+    overlap, backchannel. A turn-hold before the foreground's end has a negative silence and is flagged. Rows of a key are
+    sorted by Spark and pass in batches; of a key only the foreground and the last state are held between them.
     """
 
-    def fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            out = []
-            for meeting, turns in zip(pdf[key], pdf["turns"]):
-                turns = sorted(turns, key=lambda t: t["place"])
-                before, speaker, end = "TH", turns[0]["speaker"], turns[0]["end"]
-                for t in turns[1:]:
-                    gap = t["start"] - end
-                    state = "TH" if t["speaker"] == speaker else "TS" if gap > 0 else "OV" if end < t["end"] else "BC"
-                    out.append((meeting, int(t["place"]), before, state, gap if state in ("TH", "TS") else None, -gap if state == "OV" else None))
-                    if state != "BC":
-                        speaker, end = t["speaker"], t["end"]
-                    before = state
-            yield pd.DataFrame(out, columns=[key, "place", "from_state", "to_state", "silence", "overlap"])
-
-    turns = F.collect_list(F.struct("place", "speaker", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")))
+    def pass_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        meeting = speaker = end = before = None
+        for batch in batches:
+            rows = []
+            for name, place, own, start, stop in batch.itertuples(index=False):
+                if meeting is None or name != meeting:
+                    meeting, speaker, end, before = name, own, stop, STATES[0]
+                    continue
+                gap, same = start - end, own == speaker
+                state = STATES[0 if same else 1 if gap > 0 else 2 if stop > end else 3]
+                rows.append((name, place, before, state, gap if same or gap > 0 else None, -gap if state == "OV" else None))
+                before = state
+                if state != "BC":
+                    speaker, end = own, stop
+            yield pd.DataFrame(rows, columns=[key, "place", "from_state", "to_state", "silence", "overlap"])
+
     kind = dict(df.dtypes)[key]
-    return df.groupBy(key).agg(turns.alias("turns")).mapInPandas(fold, f"`{key}` {kind}, place long, from_state string, to_state string, silence double, overlap double")
+    turns = df.select(key, F.col("place").cast("long").alias("place"), "speaker", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    return turns.repartition(key).sortWithinPartitions(key, "place").mapInPandas(pass_by, f"`{key}` {kind}, place long, from_state string, to_state string, silence double, overlap double")
 
 
 def turn_transitions(states: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.functions import names
 from voxloom.functions import text as tx
 from voxloom.functions.hashing import hash01, uniform
+from voxloom.schemas import WIDE_MANIFEST, conform
 
 
 def dedupe(df: DataFrame, key: Sequence[str], order: Sequence[str], keep: str = "last") -> DataFrame:
@@ -84,6 +86,35 @@ def row_guard(df: DataFrame, required: Sequence[str], positive: Sequence[str] =
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
+def drop_pronounced_punct(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rows whose transcript has no word for a spoken mark."""
+    return df.filter(~tx.pronounced_punct(text))
+
+
+def build_manifest(transcripts: DataFrame, dataset: str, split: str, root: str, listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Wide manifest rows from `file`, `line`, `utt_id` and `text`, and the rows that are none, with the reason.
+
+    Rows without an id or a text are bad. With `listing` (`path`), rows whose audio is not listed are missing.
+    """
+    good, bad = row_guard(transcripts, ["utt_id", "text"])
+    path = names.audio_path_of(root, F.lit(split), "utt_id")
+    rows = good.select(
+        F.concat_ws("__", F.lit(dataset), F.lit(split), F.trim("utt_id")).alias("utt_id"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), path.alias("audio_path"), F.trim("text").alias("text"),
+        F.concat_ws("::", F.lit(dataset), F.trim("utt_id")).alias("recording_id"), F.lit(0.0).alias("start_sec"), F.col("file").alias("source_file"), F.col("line").cast("bigint").alias("source_row"), path.alias("source_audio_path"),
+    )
+    rejected = bad.select(F.col("file").alias("source_file"), F.col("line").cast("bigint").alias("source_row"), "reason")
+    if listing is not None:
+        rows, missing = verify_exists(rows, listing)
+        rejected = rejected.unionByName(missing.select("source_file", "source_row", F.lit("missing audio").alias("reason")))
+    return conform(rows, WIDE_MANIFEST), rejected
+
+
+def manifest_from_accepted(accepted: DataFrame, dataset: str, split: str) -> DataFrame:
+    """Manifest rows of accepted audio (`final_wav`, `final_text`), with ids from the path; rows without a path or a text go."""
+    rows = accepted.select(F.trim("final_wav").alias("audio_path"), F.trim("final_text").alias("text")).filter("audio_path <> '' and text <> ''")
+    return rows.select(names.path_utt_id(F.lit(dataset), F.lit(split), "audio_path").alias("utt_id"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), "audio_path", "text")
+
+
 def fail_guard(df: DataFrame, shard: str, failed: Column, share: float = 0.5, least: int = 10) -> DataFrame:
     """Shards to keep, not to prune: of at least `least` rows, more than `share` failed."""
     found = df.groupBy(shard).agg(F.count("*").alias("rows"), F.count_if(failed).alias("failed"))

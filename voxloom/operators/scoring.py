@@ -15,10 +15,9 @@ def ref_hyp_join(ref: DataFrame, hyp: DataFrame, key: str) -> DataFrame:
 
 
 def wer(df: DataFrame, ref: str = "ref", hyp: str = "hyp", group: tuple[str, ...] = ()) -> DataFrame:
-    """Errors over reference words of all rows together, in percent. Equal pairs of lists are aligned once."""
-    pairs = df.groupBy(*group, ref, hyp).agg(F.count("*").alias("_n"))
-    scored = pairs.withColumn("_errors", align.edit_distance(ref, hyp))
-    sums = scored.groupBy(*group).agg(F.sum("_n").alias("utterances"), F.sum(F.col("_errors") * F.col("_n")).alias("errors"), F.sum(F.size(ref) * F.col("_n")).alias("ref_words"))
+    """Errors over reference words of all rows together, in percent. Texts are scored where they are read and don't move."""
+    scored = df.select(*group, F.size(ref).alias("_words"), align.edit_distance(ref, hyp).alias("_errors"))
+    sums = scored.groupBy(*group).agg(F.count("*").alias("utterances"), F.sum(F.col("_errors").cast("bigint")).alias("errors"), F.sum("_words").alias("ref_words"))
     return sums.withColumn("wer", F.round(100 * F.col("errors") / F.greatest(F.lit(1), F.col("ref_words")), 6))
 
 

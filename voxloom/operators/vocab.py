@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from voxloom.functions.text import upper_text
 
 #: Entries up to which a vocabulary is broadcast as a table of pieces.
 MOST_TOKENS = 200_000
+#: Distinct words that a task keeps encoded.
+MOST_WORDS = 500_000
 UNKNOWN, START = "<unk>", "▁"
 
 
@@ -52,18 +56,26 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFr
     held = df.sparkSession.sparkContext.broadcast((table, max(map(len, table), default=1)))
 
     @F.pandas_udf("tokens array<string>, ids array<int>")
-    def encoded(texts: pd.Series) -> pd.DataFrame:
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table, longest = held.value
-        known: dict[str, list[str]] = {}
-        rows = []
-        for t in texts:
-            out: list[str] = []
-            for w in (t or "").split():
-                if w not in known:
-                    known[w] = encode_word(w, table, longest)
-                out += known[w]
-            rows.append((out, [table.get(x, table.get(UNKNOWN, 2)) for x in out]))
-        return pd.DataFrame(rows, columns=["tokens", "ids"])
+        unknown = table.get(UNKNOWN, 2)
+        known: dict[str, tuple[list[str], list[int]]] = {}
+        for texts in batches:
+            if len(known) > MOST_WORDS:
+                known.clear()
+            rows = []
+            for t in texts:
+                pieces: list[str] = []
+                ids: list[int] = []
+                for w in (t or "").split():
+                    own = known.get(w)
+                    if own is None:
+                        out = encode_word(w, table, longest)
+                        own = known[w] = out, [table.get(x, unknown) for x in out]
+                    pieces += own[0]
+                    ids += own[1]
+                rows.append((pieces, ids))
+            yield pd.DataFrame(rows, columns=["tokens", "ids"])
 
     return df.withColumn("_e", encoded(upper_text(text))).select("*", "_e.*").drop("_e")
 
@@ -94,18 +106,20 @@ def vocab_map(student: DataFrame, teacher: DataFrame) -> DataFrame:
 
 
 def ngrams_of(tokens: Column, n: int) -> Column:
-    """Runs of n tokens, with n - 1 marks of the start before and one of the end after."""
+    """Runs of n tokens, with n - 1 marks of the start before and one of the end after: the list beside itself, one token further on each time."""
     whole = F.concat(F.array_repeat(F.lit("<s>"), n - 1), tokens, F.array(F.lit("</s>")))
-    return F.transform(F.sequence(F.lit(1), F.size(whole) - n + 1), lambda i: F.array_join(F.slice(whole, i, n), " "))
+    runs = F.size(whole) - n + 1
+    out = F.slice(whole, 1, runs)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(whole, k + 1, runs), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
 
 
 def ngram_model(df: DataFrame, n: int, tokens: str = "tokens") -> DataFrame:
-    """Counts of runs of 1 to n tokens: `order`, `gram`, `count`."""
-    out = None
-    for k in range(1, n + 1):
-        part = df.select(F.lit(k).alias("order"), F.explode(ngrams_of(F.col(tokens), k)).alias("gram")).groupBy("order", "gram").agg(F.count("*").alias("count"))
-        out = part if out is None else out.union(part)
-    return out
+    """Counts of runs of 1 to n tokens: `order`, `gram`, `count`, from one pass over the rows."""
+    numbered = lambda k: F.transform(ngrams_of(F.col(tokens), k), lambda g: F.struct(F.lit(k).alias("order"), g.alias("gram")))
+    every = F.concat(*map(numbered, range(1, n + 1)))
+    return df.select(F.explode(every).alias("g")).groupBy(F.col("g.order").alias("order"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("count"))
 
 
 def ngram_score(df: DataFrame, model: DataFrame, n: int, key: str = "id", tokens: str = "tokens", backoff: float = 0.4) -> DataFrame:

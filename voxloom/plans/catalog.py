@@ -19,6 +19,7 @@ from voxloom.operators import scoring as sc
 from voxloom.operators import vocab as vo
 from voxloom.operators import voting as vt
 from voxloom.plans import views as v
+from voxloom.plans.cluster import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _hash01(text: str) -> str:
+    return f"({v.HASH.format('(' + text + ')')} / 4294967295.0)"
+
+
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.hyp(spark, sf_dir).join(v.manifest(spark, sf_dir).drop("text"), "doc_id")
     rows = rows.withColumns({"zipformer_text": F.array_join("a", " "), "gipformer_text": F.array_join("b", " "), "denoised_path": F.col("audio_path")})
@@ -68,11 +73,13 @@ def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ac.reason_counts(_votes(spark, sf_dir))
 
 
-@query(f"{VOTES} select count(*) segments, count(*) filter (decision_reason = 'exact') accepted, count(*) filter (decision_reason = 'exact') combined, round(100 * count(*) filter (decision_reason = 'exact') / greatest(count(*), 1), 6) accept_rate, round(100 * count(*) filter (decision_reason = 'exact') / greatest(count(*), 1), 6) combined_rate from votes")
+@query(f"{VOTES}, sums as (select count(*) segments, count(*) filter (decision_reason = 'exact') accepted, count(*) filter (decision_reason = 'exact' or doc_id % 5 = 0) combined from votes) select *, round(100 * accepted / greatest(segments, 1), 6) accept_rate, round(100 * combined / greatest(segments, 1), 6) combined_rate from sums")
 def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted rows, and those with the salvaged ones: here a fifth of all paths, some of which were accepted already."""
     votes = _votes(spark, sf_dir)
     taken = votes.filter("accepted").select("final_wav", "final_text", "duration_sec")
-    return ac.acceptance(votes, re_.combine(taken, taken.limit(0)))
+    salvaged = votes.filter("doc_id % 5 = 0").select(F.col("denoised_path").alias("final_wav"), F.col("gipformer_norm").alias("final_text"), "duration_sec")
+    return ac.acceptance(votes, re_.combine(taken, salvaged))
 
 
 @query(f"{VOTES} select doc_id, denoised_path, duration_sec from (select doc_id, audio_path denoised_path, duration_sec from votes where decision_reason = 'mismatch' order by duration_sec desc, denoised_path limit 20)")
@@ -172,9 +179,11 @@ def combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.combine(accepted, salvaged).select("final_wav", "kind")
 
 
-@query("select doc_id, case when coalesce(trim(text), '') = '' then 'missing text' when coalesce(n_chars, -1) <= 0 then 'invalid n_chars' end reason from documents where coalesce(trim(text), '') = '' or coalesce(n_chars, -1) <= 0")
+@query("select doc_id, case when coalesce(trim(nullif(source, 'src3')), '') = '' then 'missing source' when coalesce(n_chars, 0) - 1000 <= 0 then 'invalid n_chars' end reason from documents where coalesce(trim(nullif(source, 'src3')), '') = '' or coalesce(n_chars, 0) - 1000 <= 0")
 def row_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return re_.row_guard(v.table(spark, sf_dir, "documents"), ["text"], ["n_chars"])[1].select("doc_id", "reason")
+    """Documents of a source that counts as missing, or with under a thousand characters."""
+    docs = v.table(spark, sf_dir, "documents").select("doc_id", F.nullif("source", F.lit("src3")).alias("source"), (F.coalesce("n_chars", F.lit(0)) - 1000).alias("n_chars"))
+    return re_.row_guard(docs, ["source"], ["n_chars"])[1].select("doc_id", "reason")
 
 
 @query("select source, count(*) as rows, count(*) filter (n_chars < 1500) failed from documents group by 1 having count(*) >= 10 and count(*) filter (n_chars < 1500) > 0.5 * count(*)")
@@ -203,10 +212,11 @@ def finalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "documents").select("doc_id", tx.finalize_text(tx.clean_text("text")).alias("final"))
 
 
-@query(f"with {v.HYP} select doc_id, true preserved_all, a = b preserved from hyp")
+@query(f"with {v.HYP} select doc_id, true preserved_marks, edits = 0 preserved from hyp")
 def words_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.hyp(spark, sf_dir).withColumns({"x": F.array_join("a", " "), "y": F.array_join("b", " ")})
-    return rows.select("doc_id", tx.words_preserved("x", "x", numbers=True).alias("preserved_all"), tx.words_preserved("x", "y").alias("preserved"))
+    """Marks between words keep the words; the second recognizer's edits don't."""
+    rows = v.hyp(spark, sf_dir).withColumns({"x": F.array_join("a", " "), "y": F.array_join("b", " "), "z": F.array_join("a", ", ")})
+    return rows.select("doc_id", tx.words_preserved("x", "z", numbers=True).alias("preserved_marks"), tx.words_preserved("x", "y").alias("preserved"))
 
 
 def _regions_oracle(gap: float, cte: str = "regions", key: str = "src") -> str:
@@ -278,7 +288,13 @@ def segment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.segment_filter(rows, 10, 40, "meeting").select("meeting", "speaker", "place", "offset", "num_samples", "clipped", "num_speakers")
 
 
-@query()
+@query(f"""with recursive {v.TURNS}, numbered as (select meeting, speaker, "start" s, "end" e, row_number() over (partition by meeting order by place) k from turns),
+  fold as (select meeting, k, speaker who, e stop, null::varchar from_state, 'TH' to_state from numbered where k = 1 union all
+    select meeting, k, case when state = 'BC' then who else speaker end, case when state = 'BC' then stop else e end, to_state, state from
+      (select f.meeting, n.k, f.who, f.stop, f.to_state, n.speaker, n.e, case when n.speaker = f.who then 'TH' when n.s > f.stop then 'TS' when f.stop < n.e then 'OV' else 'BC' end state from fold f join numbered n on n.meeting = f.meeting and n.k = f.k + 1)),
+  counts as (select from_state, to_state, count(*) n from fold where k > 1 group by all), states as (select unnest(['TH', 'TS', 'OV', 'BC']) s)
+  select a.s from_state, b.s to_state, case when t.n is null then (a.s = b.s)::int::double else round(coalesce(c.n, 0) / t.n, 9) end p
+  from states a cross join states b left join counts c on c.from_state = a.s and c.to_state = b.s left join (select from_state, sum(n) n from counts group by 1) t on t.from_state = a.s""")
 def turn_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.turn_transitions(iv.turn_states(v.turns(spark, sf_dir), "meeting"))
 
@@ -313,18 +329,21 @@ def tv_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ac.tv_distance(*[ac.histogram(docs.filter(F.col("lang") == g), "n_chars", 100) for g in ("en", "de")]).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+WER = "count(*) utterances, sum(edits)::bigint errors, sum(len(a))::bigint ref_words, round(100 * sum(edits) / greatest(1, sum(len(a))), 6) wer"
+
+
+@query(f"with {v.HYP} select source, {WER} from hyp group by 1")
 def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.wer(v.hyp(spark, sf_dir), "a", "b", ("source",))
 
 
-@query(f"with {v.HYP} select source, count(*) utterances, sum(len(a) - len(b))::bigint errors, sum(len(a))::bigint ref_words, round(100 * sum(len(a) - len(b)) / greatest(1, sum(len(a))), 6) wer from hyp group by 1")
+@query(f"with {v.HYP} select source, {WER} from hyp where doc_id % 4 = 2 group by 1")
 def wer_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rates where hypotheses only lack words, so that the distance is a difference of lengths."""
-    return sc.wer(v.hyp(spark, sf_dir), "a", "b", ("source",))
+    """The same rates over the documents whose hypotheses only lack words."""
+    return sc.wer(v.hyp(spark, sf_dir).filter("doc_id % 4 = 2"), "a", "b", ("source",))
 
 
-@query(f"with {v.HYP} select source, 0 subs, 0 ins, sum(len(a) - len(b))::bigint dels, sum(len(a))::bigint ref_words from hyp group by 1")
+@query(f"with {v.HYP} select source, coalesce(sum(edits) filter (doc_id % 4 = 0), 0)::bigint subs, coalesce(sum(edits) filter (doc_id % 4 = 1), 0)::bigint ins, coalesce(sum(edits) filter (doc_id % 4 = 2), 0)::bigint dels, sum(len(a))::bigint ref_words from hyp group by 1")
 def wer_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.wer_breakdown(v.hyp(spark, sf_dir), "a", "b", ("source",))
 
@@ -337,26 +356,30 @@ def cpwer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.score_summary(sc.cpwer(sc.ref_hyp_join(ref, hyp, "cut")))
 
 
-@query(f"with {v.HYP} select doc_id, len(a) - len(b) distance from hyp")
+@query(f"with {v.HYP} select doc_id, edits::int distance from hyp")
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.hyp(spark, sf_dir).select("doc_id", align.edit_distance("a", "b").alias("distance"))
 
 
-@query()
-def salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejected rows whose pieces are words, a quarter of a second apart, aligned with the other text."""
-    votes = _votes(spark, sf_dir)
+def _cached_votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Votes, and the first recognizer's pieces: words, a quarter of a second apart."""
+    votes = checkpoint(_votes(spark, sf_dir).select("doc_id", "a", "gipformer_text", "denoised_path", "duration_sec", "accepted"))
     times = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("a") - 1)), lambda i: i * 0.25)
-    cached = votes.select("doc_id", F.transform("a", lambda w: F.concat(F.lit("▁"), w)).alias("tokens"), times.alias("timestamps"), F.col("gipformer_text").alias("other_text"))
-    _, runs, _ = vt.salvage(votes, cached, "doc_id")
-    return runs
+    return votes, votes.select("doc_id", F.transform("a", lambda w: F.concat(F.lit("▁"), w)).alias("tokens"), times.alias("timestamps"), F.col("gipformer_text").alias("other_text"))
 
 
 @query()
+def salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected rows, their words aligned with the other text."""
+    return vt.salvage(*_cached_votes(spark, sf_dir), "doc_id")[1]
+
+
+@query(f"""{VOTES}, rejected as (select doc_id, len(a) n, edits from votes join hyp using (doc_id) where decision_reason <> 'exact')
+  select count(*) filter (doc_id % 7 <> 0 and gb <> '' and n > 0) cache_used, 0::bigint to_infer, count(*) filter (not (doc_id % 7 <> 0 and gb <> '' and n > 0)) skipped,
+    coalesce(sum(case when doc_id % 4 in (0, 2) then n - edits else n end) filter (doc_id % 7 <> 0 and gb <> '' and n > 0), 0)::bigint matched, coalesce(sum(edits) filter (doc_id % 7 <> 0 and gb <> '' and n > 0), 0)::bigint mismatched
+  from rejected join votes using (doc_id)""")
 def salvage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    votes = _votes(spark, sf_dir)
-    times = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("a") - 1)), lambda i: i * 0.25)
-    cached = votes.select("doc_id", F.transform("a", lambda w: F.concat(F.lit("▁"), w)).alias("tokens"), times.alias("timestamps"), F.col("gipformer_text").alias("other_text"))
+    votes, cached = _cached_votes(spark, sf_dir)
     return vt.salvage_stats(vt.salvage(votes, cached.filter("doc_id % 7 <> 0"), "doc_id")[2])
 
 
@@ -388,18 +411,36 @@ def observation_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ac.observation_length(v.turns(spark, sf_dir).select("meeting", F.col("start").alias("offset"), F.col("len").alias("num_samples")), "meeting")
 
 
-@query()
+def _disjoint_sql(rows: str, k: int, seed: str = "mix") -> str:
+    """Groups of `k` rows with different speakers, as compose_disjoint deals them."""
+    return f"""dealt_from as (select *, md5('{seed}__' || utt_id) place from {rows}),
+  most as (select count(*) // {k} m from dealt_from),
+  few as (select * from (select *, row_number() over (partition by speaker_id order by place, utt_id) n from dealt_from) where n <= (select m from most)),
+  numbered as (select *, row_number() over (order by speaker_id, place, utt_id) p, count(*) over () // {k} g from few),
+  dealt as (select * exclude (p, g, n, place), ((p - 1) % g)::int "group", (floor((p - 1) / g))::int slot from numbered where p <= g * {k}),
+  disjoint as (select * from dealt where "group" in (select "group" from dealt group by 1 having count(distinct speaker_id) = {k} and count(*) = {k}))"""
+
+
+@query(f'with {v.MANIFEST}, {_disjoint_sql("manifest", 3)} select "group", slot, utt_id, speaker_id from disjoint')
 def compose_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups, _ = co.compose_disjoint(v.manifest(spark, sf_dir), 3)
     return groups.select("group", "slot", "utt_id", "speaker_id")
 
 
-@query()
+@query(f"""with {v.MANIFEST}, placed as (select utt_id, speaker_id, row_number() over (order by speaker_id, md5('each__' || utt_id), utt_id) - 1 p, count(*) over () n from manifest),
+  most as (select max(c) m from (select count(*) c from manifest group by speaker_id)),
+  shifted as (select *, case when 2 * m <= n then m else greatest(1, n // 2) end shift from placed, most),
+  slots as (select (p - slot * shift + n * 2) % n "group", slot, utt_id, speaker_id from shifted, (values (0), (1)) s(slot))
+  select "group", slot, utt_id, speaker_id, count(distinct speaker_id) over (partition by "group") < 2 repeats_speaker from slots""")
 def compose_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.compose_each(v.manifest(spark, sf_dir), 2)
 
 
-@query()
+@query(f"""{POOLS}, pool2 as (select * from pools where pool = 'overlap2'), {_disjoint_sql("pool2", 2)},
+  sized as (select printf('overlap2_%08d', "group") mix_id, list(floor(duration_sec * 16000)::bigint order by slot) n from disjoint group by "group"),
+  started as (select mix_id, [0::bigint, greatest(0, n[1] - trunc(least(n[1], n[2]) * (0.30 + (0.70 - 0.30) * {_hash01("mix_id || '__ov'")}))::bigint)] starts from sized),
+  sources as (select mix_id, mix_id || printf('_seg%02d', slot) seg_id, round(starts[slot + 1] / 16000, 3) start_sec, round(round(starts[slot + 1] / 16000, 3) + round(duration_sec, 3), 3) end_sec, text from disjoint join started on mix_id = printf('overlap2_%08d', "group"))
+  select mix_id, count(*)::int num_speakers, max(end_sec) duration_sec, string_agg(coalesce(text, ''), ' | ' order by start_sec, seg_id) text, 'overlap2' mix_type from sources group by mix_id""")
 def plan_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _pools(spark, sf_dir).filter("pool = 'overlap2'")
     return co.plan_mixtures(pool, "overlap2")[0]
@@ -429,7 +470,8 @@ def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").alias("tokens"), F.xxhash64("ids").alias("ids_hash"))
 
 
-@query()
+@query(f"""with {v.UPPERED}, teacher as (select token, min(id) teacher_id from vocab where id % 3 <> 0 or token = '<unk>' group by token)
+  select token, id::int id, coalesce(teacher_id, (select teacher_id from teacher where token = '<unk>'))::int teacher_id, teacher_id is not null matched from vocab left join teacher using (token)""")
 def vocab_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = v.vocab(spark, sf_dir)
     return vo.vocab_map(vocab, vocab.filter("id % 3 <> 0 or token = '<unk>'"))
@@ -441,7 +483,14 @@ def ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vo.ngram_model(docs, 2)
 
 
-@query()
+GRAMS = f"""toks as (select doc_id, {v.TOKENS.format('text')} t from documents), model as (select 1 n, gram, count(*) c from (select unnest(list_append(t, '</s>')) gram from toks) group by gram union all
+  select 2, gram, count(*) from (select unnest(list_transform(range(1, len(t) + 2), lambda i: (list_prepend('<s>', list_append(t, '</s>')))[i] || ' ' || (list_prepend('<s>', list_append(t, '</s>')))[i + 1])) gram from toks) group by gram)"""
+
+
+@query(f"""with {GRAMS}, items as (select item_id id, list_append({v.TOKENS.format('text')}, '</s>') t from benchmark), spots as (select id, t[i] word, case when i = 1 then '<s>' else t[i - 1] end before from (select id, t, unnest(range(1, len(t) + 1)) i from items)),
+  contexts as (select split_part(gram, ' ', 1) h, sum(c) t from model where n = 2 group by 1), total as (select sum(c) n from model where n = 1)
+  select id, round(sum(ln(case when b.c is not null then b.c / x.t when u.c is not null then 0.4 * u.c / total.n else 0.4 * 0.5 / total.n end)), 6) score, count(*) runs
+  from spots s left join model b on b.n = 2 and b.gram = before || ' ' || word left join contexts x on x.h = before left join model u on u.n = 1 and u.gram = word, total group by id""")
 def ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = tx.canonical_tokens("text").alias("tokens")
     model = vo.ngram_model(v.table(spark, sf_dir, "documents").select(tokens), 2)
@@ -557,34 +606,49 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "customer").select("c_custkey", names.sanitize_name("c_name").alias("safe"), F.substring(F.md5("c_name"), 1, 8).alias("tail"))
 
 
-@query()
+@query(f"with {v.HYP} select doc_id, case when len(a) + len(b) > 0 then round(2.0 * case when doc_id % 4 in (0, 2) then len(a) - edits else len(a) end / (len(a) + len(b)), 6) else 1.0 end ratio, edits > 0 differs from hyp")
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.hyp(spark, sf_dir).select("doc_id", align.word_diff("a", "b").alias("d")).select("doc_id", F.round("d.ratio", 6).alias("ratio"), F.size("d.ops").alias("ops"))
+    diffs = v.hyp(spark, sf_dir).select("doc_id", align.word_diff("a", "b").alias("d"))
+    return diffs.select("doc_id", F.round("d.ratio", 6).alias("ratio"), (F.size("d.ops") > 0).alias("differs"))
 
 
-@query()
+@query(f"""with {v.MANIFEST} select utt_id, split, origin, round(-ln(greatest({_hash01("'mux' || origin || '__' || utt_id")}, 1e-12)) / case origin when 0 then 3.0 else 1.0 end, 9) place from (select utt_id, split, case split when 'train' then 0 else 1 end origin from manifest)""")
 def weighted_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.manifest(spark, sf_dir).select("utt_id", "split")
-    return re_.weighted_interleave([rows.filter("split = 'train'"), rows.filter("split <> 'train'")], [3.0, 1.0], "utt_id")
+    return re_.weighted_interleave([rows.filter("split = 'train'"), rows.filter("split <> 'train'")], [3.0, 1.0], "utt_id").withColumn("place", F.round("place", 9))
 
 
-@query()
+@query(f"""with {v.MANIFEST}, people as (select speaker_id, row_number() over (order by speaker_id) - 1 num, count(*) size, count(*) over () n from manifest group by speaker_id),
+  draws as (select g "group", {", ".join(f"floor({_hash01(f"'n__' || g || '__{j}'")} * (n - {j} - 1e-9))::bigint d{j}" for j in range(3))} from range(0, (select count(*) from labels)) r(g), (select any_value(n) n from people)),
+  one as (select *, d0 c0, case when d1 >= d0 then d1 + 1 else d1 end c1 from draws),
+  two as (select *, case when d2 + (d2 >= least(c0, c1))::int >= greatest(c0, c1) then d2 + (d2 >= least(c0, c1))::int + 1 else d2 + (d2 >= least(c0, c1))::int end c2 from one),
+  slots as (select "group", 0 slot, c0 num from two union all select "group", 1, c1 from two union all select "group", 2, c2 from two),
+  picked as (select s.*, speaker_id, floor({_hash01("'n__' || s.\"group\" || '__utt__' || s.slot")} * (size - 1e-9))::int u from slots s join people using (num)),
+  rows_of as (select speaker_id, utt_id, row_number() over (partition by speaker_id order by md5(utt_id), utt_id) - 1 u from manifest)
+  select "group", slot, utt_id, speaker_id from picked join rows_of using (speaker_id, u)""")
 def compose_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.compose_n(v.manifest(spark, sf_dir), 3, v.table(spark, sf_dir, "labels").count())
 
 
-@query()
+@query(f"""with {v.MANIFEST}, {HISTOGRAM}, bins as (select greatest(bin - 50, 200)::double x, (bin + 50)::double y, prob * (bin + 50 - greatest(bin - 50, 200)) / 100 p from hist where bin + 50 > 200),
+  placed as (select x, y, p / sum(p) over () p, coalesce(sum(p) over (order by x rows between unbounded preceding and 1 preceding), 0) / sum(p) over () before from bins),
+  draws as (select utt_id, {_hash01("utt_id || '__hist'")} u from manifest)
+  select utt_id, round(x + (y - x) * least(1.0, (u - before) / p), 4) draw from draws asof join placed on u >= before""")
 def sample_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.sample_hist(v.manifest(spark, sf_dir).select("utt_id"), _histogram(spark, sf_dir), 100, "utt_id", low=200)
+    return co.sample_hist(v.manifest(spark, sf_dir).select("utt_id"), _histogram(spark, sf_dir), 100, "utt_id", low=200).withColumn("draw", F.round("draw", 4))
 
 
-@query()
+@query(f"""with {v.MANIFEST}, drawn as (select utt_id id, {_hash01("utt_id || '__noise_on'")} < 0.5 has, floor({_hash01("utt_id || '__noise_item'")} * ((select count(*) from nation) - 1e-9))::int item, 5 + 15 * {_hash01("utt_id || '__noise_snr'")} snr from manifest)
+  select id, case when has then item end noise_idx, case when has then round(snr, 6) end noise_snr, n_name from drawn left join nation on has and n_nationkey = item""")
 def assign_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = v.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("noise_idx"), "n_name")
-    return co.assign_noise(v.manifest(spark, sf_dir).select(F.col("utt_id").alias("id")), noise, 0.5, 5.0, 20.0)
+    return co.assign_noise(v.manifest(spark, sf_dir).select(F.col("utt_id").alias("id")), noise, 0.5, 5.0, 20.0).withColumn("noise_snr", F.round("noise_snr", 6))
 
 
-@query()
+@query(f"""with {v.MANIFEST}, firsts as (select (row_number() over (order by md5('anchor__' || utt_id), utt_id) - 1)::int "group", 0 slot, utt_id, dataset, speaker_id from manifest where dataset = 'src0'),
+  others as (select utt_id, dataset, speaker_id from manifest where dataset <> 'src0'), {_disjoint_sql("others", 2, "anchor")},
+  both_parts as (select * from firsts union all select "group", slot + 1, utt_id, dataset, speaker_id from disjoint)
+  select "group", slot, utt_id, dataset, speaker_id from both_parts where "group" in (select "group" from both_parts group by 1 having count(*) = 3 and count(distinct speaker_id) = 3)""")
 def anchor_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.anchor_compose(v.manifest(spark, sf_dir).select("utt_id", "dataset", "speaker_id"), "src0", 3)
 
@@ -598,6 +662,39 @@ def stream_segments_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.batch_segments(frames, jobs.SegmenterConfig(60.0, 60.0, 3600.0, 600.0, 30.0))
 
 
+@query("select doc_id from documents where doc_id % 5 <> 0")
+def drop_pronounced_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of which every fifth has a spoken comma."""
+    docs = v.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "text", F.when(F.col("doc_id") % 5 == 0, F.lit(",COMMA")).otherwise("COMMA,")).alias("text"))
+    return re_.drop_pronounced_punct(docs).select("doc_id")
+
+
+_RAW = "case when doc_id % 6 = 0 then '' else source || '-' || (doc_id % 97) || '-' || doc_id end"
+
+
+@query(f"""with raw as (select doc_id, {_RAW} u, trim(coalesce(text, '')) t from documents where doc_id % 4 <> 0) select 'corpus__train__' || u utt_id, '/root/train/' || string_split(u, '-')[1] || '/' || string_split(u, '-')[2] || '/' || u || '.wav' audio_path, 'corpus::' || u recording_id, doc_id source_row from raw where u <> '' and t <> ''""")
+def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript lines to manifest rows; a sixth of the lines has no id, and a quarter of the audio is not listed."""
+    docs = v.table(spark, sf_dir, "documents")
+    uid = F.when(F.col("doc_id") % 6 == 0, F.lit("")).otherwise(F.concat_ws("-", "source", (F.col("doc_id") % 97).cast("string"), F.col("doc_id").cast("string")))
+    lines = docs.select(F.lit("train.tsv").alias("file"), F.col("doc_id").alias("line"), uid.alias("utt_id"), "text")
+    listing = lines.filter("line % 4 <> 0").select(names.audio_path_of("/root", F.lit("train"), "utt_id").alias("path"))
+    return re_.build_manifest(lines, "corpus", "train", "/root", listing)[0].select("utt_id", "audio_path", "recording_id", "source_row")
+
+
+@query(f"""with {v.MANIFEST} select 'yt__train__' || doc_id || '__' || substr(md5(audio_path), 1, 8) utt_id, audio_path, trim(text) text from manifest where doc_id % 3 <> 0 and trim(coalesce(text, '')) <> ''""")
+def manifest_from_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted rows to manifest rows; a third of them has no path."""
+    rows = v.manifest(spark, sf_dir).select(F.when(F.col("doc_id") % 3 != 0, F.col("audio_path")).otherwise(F.lit(" ")).alias("final_wav"), F.col("text").alias("final_text"))
+    return re_.manifest_from_accepted(rows, "yt", "train").select("utt_id", "audio_path", "text")
+
+
+@query(f"""with {v.MANIFEST} select utt_id, dataset || '__' || split || '__' || case when doc_id % 2 = 0 then speaker_id else 'r' || lpad(doc_id::varchar, 8, '0') end sid, dataset || '__' || split || '__p' || lpad((doc_id % 100)::varchar, 5, '0') || '__r' || lpad(doc_id::varchar, 8, '0') numbered from manifest""")
+def make_utt_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.manifest(spark, sf_dir)
+    sid = F.when(F.col("doc_id") % 2 == 0, F.col("speaker_id")).otherwise(F.lit(""))
+    return rows.select("utt_id", names.sid_utt_id("dataset", "split", sid, "doc_id").alias("sid"), names.row_utt_id("dataset", "split", F.col("doc_id") % 100, "doc_id").alias("numbered"))
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """Cut the lineage through the folder in spark.checkpoint.dir; a folder of our own only where that is unset on a local master."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows; else Spark shuffles it."""
+    """`df` with a broadcast hint if it has at most `rows` rows; else Spark shuffles it. It is counted: give it tables that are written or cheap."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

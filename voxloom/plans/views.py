@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions import text as tx
@@ -28,12 +28,26 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def edited(doc: Column, i: Column) -> Column:
+    """Whether the second recognizer differs at word i: about a tenth of the words of three quarters of the documents."""
+    return (doc % 4 != 3) & ((doc * 7919 + i * i * 31 + i * 17) % 10 == 0)
+
+
 def hyp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 30 words of each document, and the same without a tenth of them, by hash."""
-    words = F.slice(F.filter(F.split(tx.normalize_words("text"), " "), lambda w: w != ""), 1, 30)
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.transform(words, lambda w: w).alias("a"))
-    kept = F.filter(F.transform("a", lambda w, i: F.when(hash_bucket(F.concat_ws(":", F.col("doc_id").cast("string"), i.cast("string")), 10) != 0, w)), lambda w: w.isNotNull())
-    return rows.withColumn("b", kept)
+    """All words of each document as `a`, and as `b` the same with edits: by the document other words, more words, fewer words, or none.
+
+    New words stand in no document, so that the fewest edits between `a` and `b` are those made here.
+    """
+    words = F.filter(F.split(tx.normalize_words("text"), " "), lambda w: w != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("a"))
+    doc = F.col("doc_id")
+    new = lambda i: F.concat(F.lit("zz"), doc.cast("string"), F.lit("q"), i.cast("string"))
+
+    def at(w: Column, i: Column) -> Column:
+        changed = F.when(doc % 4 == 0, F.array(new(i))).when(doc % 4 == 1, F.array(w, new(i))).otherwise(F.array().cast("array<string>"))
+        return F.when(edited(doc, i), changed).otherwise(F.array(w))
+
+    return rows.withColumn("b", F.flatten(F.transform("a", at)))
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +73,14 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 500 most frequent words in upper case, with and without the mark of a start, and all single characters."""
+    """The 500 most frequent words in upper case, with the mark of a start, and all single characters."""
     from voxloom.operators.relational import number_rows
+    from voxloom.plans.cluster import checkpoint
 
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split(tx.normalize_words("text"), " ")).alias("w")).filter("w <> ''").select(F.upper("w").alias("w"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(500).select(F.concat(F.lit("▁"), F.col("w")).alias("token"))
-    letters = words.select(F.explode(F.split("w", "")).alias("token")).distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(tx.normalize_words("text"), " ")).alias("w")).filter("w <> ''")
+    counts = checkpoint(words.groupBy(F.upper("w").alias("w")).count())
+    top = counts.orderBy(F.desc("count"), "w").limit(500).select(F.concat(F.lit("▁"), F.col("w")).alias("token"))
+    letters = counts.select(F.explode(F.split("w", "")).alias("token")).distinct()
     own = spark.createDataFrame([("▁",), ("<blk>",), ("<unk>",)], "token string")
     every = top.union(letters).union(own).filter("token <> ''").distinct().withColumn("g", F.lit(1))
     return number_rows(every, "g", ["token"], "id").drop("g")
@@ -76,8 +92,13 @@ _words = "regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ',
 SPLIT = f"case when {HASH.format('doc_id')} / 4294967295.0 < 0.90 then 'train' when {HASH.format('doc_id')} / 4294967295.0 < 0.90 + 0.05 then 'val' else 'test' end"
 MANIFEST = f"""manifest as (select doc_id, source || '__' || {SPLIT} || '__' || doc_id utt_id, source dataset, {SPLIT} split, '/audio/' || source || '/' || doc_id || '.wav' audio_path,
   'spk' || (doc_id % 97) speaker_id, text, n_chars / 15.0 duration_sec from documents)"""
-HYP = f"""words as (select doc_id, source, list_filter(string_split(trim({_words.format('text')}), ' '), lambda w: w <> '')[1:30] a from documents),
-hyp as (select doc_id, source, a, list_filter(list_transform(range(1, len(a) + 1), lambda i: case when {HASH.format("(doc_id || ':' || (i - 1))")} % 10 <> 0 then a[i] end), lambda w: w is not null) b from words)"""
+EDITED = "(doc_id % 4 <> 3 and (doc_id * 7919 + ({0}) * ({0}) * 31 + ({0}) * 17) % 10 = 0)"
+HYP = f"""words as (select doc_id, source, list_filter(string_split(trim({_words.format('text')}), ' '), lambda w: w <> '') a from documents),
+hyp as (select doc_id, source, a, flatten(list_transform(range(1, len(a) + 1), lambda i: case when not {EDITED.format('i - 1')} then [a[i]] when doc_id % 4 = 0 then ['zz' || doc_id || 'q' || (i - 1)] when doc_id % 4 = 1 then [a[i], 'zz' || doc_id || 'q' || (i - 1)] else []::varchar[] end)) b,
+  len(list_filter(range(0, len(a)), lambda i: {EDITED.format('i')})) edits from words)"""
+UPPERED = f"""upper_words as (select doc_id, source, list_filter(string_split(trim({_words.format('text')}), ' '), lambda w: w <> '') w from documents),
+top_words as (select upper(replace(w, 'ß', 'ss')) w, count(*) n from (select unnest(w) w from upper_words) group by 1),
+vocab as (select token, row_number() over (order by token) - 1 id from (select '▁' || w token from (select w from top_words order by n desc, w limit 500) union select unnest(string_split(w, '')) from top_words union select unnest(['▁', '<blk>', '<unk>'])) where token <> '')"""
 REGIONS = "regions as (select user_id src, epoch_us(ts) / 1e6 start_sec, epoch_us(ts) / 1e6 + value end_sec, event_type speaker from events)"
 FRAMES = "frames as (select user_id src, floor(epoch_us(ts) / 1e6 / 60)::bigint frame_idx, max(event_type <> 'error') is_speech from events group by all)"
 TOKENS = "(case when trim({w}) = '' then []::varchar[] else string_split(trim({w}), ' ') end)".replace("{w}", "regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_À-ỹ]+', ' ', 'g')")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "source_audio_path string, audio_bytes binary, text string, sid string, source_file string, source_row bigint"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 class File(InputPartition):
@@ -23,20 +25,24 @@ class ArrowStreamReader(DataSourceReader):
     def partitions(self) -> list[File]:
         return [File(p) for p in self.paths]
 
-    def read(self, partition: File) -> Iterator[tuple]:
+    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
+        """Batches of the rows with a text; the bytes of audio stay unread unless they are asked for."""
         import pyarrow.fs
 
         system, path = pyarrow.fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (pyarrow.fs.LocalFileSystem(), partition.path.removeprefix("file:"))
-        place = 0
+        name, place = path.rsplit("/", 1)[-1], 0
         with system.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as batches:
             for batch in batches:
-                names = batch.schema.names
-                columns = [batch.column(c).to_pylist() if c in names else [None] * batch.num_rows for c in ("audio", "text", "sid")]
-                for audio, text, sid in zip(*columns):
-                    audio = audio or {}
-                    if text and str(text).strip():
-                        yield audio.get("path"), audio.get("bytes") if self.with_bytes else None, text, None if sid is None else str(sid), path.rsplit("/", 1)[-1], place
-                    place += 1
+                n, names = batch.num_rows, batch.schema.names
+                part = lambda field, kind: pc.struct_field(batch.column("audio"), field).cast(kind) if "audio" in names else pa.nulls(n, kind)  # noqa: B023, E731
+                text = batch.column("text").cast(pa.string()) if "text" in names else pa.nulls(n, pa.string())
+                columns = [
+                    part("path", pa.string()), part("bytes", pa.binary()) if self.with_bytes else pa.nulls(n, pa.binary()), text,
+                    batch.column("sid").cast(pa.string()) if "sid" in names else pa.nulls(n, pa.string()), pa.array([name] * n, pa.string()), pa.array(range(place, place + n), pa.int64()),
+                ]
+                place += n
+                kept = pc.fill_null(pc.not_equal(pc.utf8_trim_whitespace(text), ""), False)
+                yield pa.RecordBatch.from_arrays(columns, names=NAMES).filter(kept)
 
 
 class ArrowStream(DataSource):

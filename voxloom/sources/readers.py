@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.names import split_from_filename
@@ -34,10 +34,17 @@ def read_tsv_transcript(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their numbers from 0, bad ones included: each file is read whole, as text sources tell no row numbers."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "value"))
-    return lines
+    """Lines with their numbers from 0, bad ones included.
+
+    Files are read in splits. A line's number is its place in its split, which starts at a known byte, and the lines of the splits before it.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", r"\r\z", "").alias("value"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_place")
+    )
+    sizes = rows.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_path", "_start", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(sizes, ["_path", "_start"]).select("file", (F.col("_place") - F.col("_first") + F.col("_before")).cast("int").alias("line"), "value")
 
 
 def read_parquet_audio(spark: SparkSession, path: str, text_column: str) -> DataFrame:

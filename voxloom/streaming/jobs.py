@@ -143,12 +143,20 @@ def stream_segments(frames: DataFrame, config: SegmenterConfig = SegmenterConfig
 
 
 def batch_segments(frames: DataFrame, config: SegmenterConfig = SegmenterConfig()) -> DataFrame:
-    """The same segments from a table."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        segmenter, found = Segmenter(config), []
-        for speech in pdf.sort_values("frame_idx")["is_speech"]:
-            found += segmenter.feed(bool(speech))
-        return pd.DataFrame(segment_rows(key[0], found + segmenter.flush(), config), columns=["src", "start_frame", "frames", "start_sec", "end_sec"])
-
-    return frames.groupBy("src").applyInPandas(run, SEGMENTS)
+    """The same segments from a table: Spark sorts the frames, and a task holds a source's four numbers between batches."""
+    columns = ["src", "start_frame", "frames", "start_sec", "end_sec"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, segmenter = None, None
+        for batch in batches:
+            found: list[tuple] = []
+            for src, speech in zip(batch["src"], batch["is_speech"]):
+                if segmenter is None or src != source:
+                    found += segment_rows(source, segmenter.flush(), config) if segmenter else []
+                    source, segmenter = src, Segmenter(config)
+                found += segment_rows(src, segmenter.feed(bool(speech)), config)
+            yield pd.DataFrame(found, columns=columns)
+        if segmenter:
+            yield pd.DataFrame(segment_rows(source, segmenter.flush(), config), columns=columns)
+
+    return frames.select("src", "frame_idx", "is_speech").repartition("src").sortWithinPartitions("src", "frame_idx").mapInPandas(run, SEGMENTS)
