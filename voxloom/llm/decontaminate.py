@@ -15,8 +15,9 @@ edits of an item of n words holds at least n - 1 - 2 d of the item's word pairs,
 of n + d words with fewer pairs of any item cannot match. Candidates are verified by the
 exact edit distance of the item and the closest run of words.
 
-Items are read in blocks of ITEM_BLOCK, each a broadcast of bounded size, and each block is
-held against all documents; so the benchmark's size is not bounded.
+Items are read in blocks of at most ITEM_BLOCK items and ITEM_CHARS characters, each a broadcast, and
+each block is one pass over all documents, so that a task holds one block whatever the benchmark's size.
+Item ids may be of any type.
 
 Null and empty texts match nothing, as do items without words; items of fewer than five
 words match exactly. Repeated documents are told each; of several matches of an item in a
@@ -27,35 +28,59 @@ carried by `drop_leaks`.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voxloom.llm._spark import map_texts
-from voxloom.llm._words import hashes, mixed, shared, shingles, words_of
+from voxloom.llm._words import hashes, mixed, shared, words_of
 
 SIMILARITY = 0.8
 WALKS, SAMPLES, PICKED = 16, 8, 3
-ITEM_BLOCK = 10_000
+#: Items, and characters of their texts, in a broadcast at most; a longer text is a block of its own.
+ITEM_BLOCK, ITEM_CHARS = 10_000, 20_000_000
+BINS = 128
 FILTER_BITS = 22
 #: Windows that a task embeds at a time.
 WINDOWS = 1024
 
 
+class Need(NamedTuple):
+    """What a window must have to match an item of `n` words: `pairs` known pairs in a stretch of `width`; and where, from there, keys may start."""
+
+    n: int
+    width: int
+    pairs: int
+    first: np.ndarray
+    last: np.ndarray
+
+
 class Items(NamedTuple):
     """A block of the benchmark."""
 
-    ids: list[int]
+    ids: pa.Array
     words: list[np.ndarray]
+    bags: np.ndarray
     edits: np.ndarray
     pairs: np.ndarray
     filter: np.ndarray
-    #: By size class: words, edits and pairs that a window of its items needs, and sorted keys with their items and anchors.
-    classes: dict[int, tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]]
+    #: By size class: what its items need, and sorted keys with their items and anchors.
+    classes: dict[int, tuple[list[Need], np.ndarray, np.ndarray, np.ndarray]]
+
+
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each two neighbouring words."""
+    return (words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def bag(words: np.ndarray) -> np.ndarray:
+    """How many words fall into each of BINS bins."""
+    return np.bincount(words & np.uint32(BINS - 1), minlength=BINS)
 
 
 @functools.lru_cache(64)
@@ -97,11 +122,12 @@ def anchors(n: int, size: int) -> np.ndarray:
     return np.unique(np.linspace(0, last, -(-last * 2 // size) + 1).round().astype(np.int64))
 
 
-def block_of(rows: list[tuple[int, str]], similarity: float = SIMILARITY) -> Items:
-    rows = [(i, w) for i, w in ((i, hashes(words_of(t))) for i, t in rows) if len(w)]
-    words = [w for _, w in rows]
+def block_of(ids: pa.Array, texts: Sequence[str | None], similarity: float = SIMILARITY) -> Items:
+    words = [hashes(words_of(t)) for t in texts]
+    ids = ids.filter(pa.array([len(w) > 0 for w in words], pa.bool_()))
+    words = [w for w in words if len(w)]
     edits = np.array([int((1 - similarity) * len(w) + 1e-9) for w in words], np.int64)
-    pairs = np.unique(np.concatenate([shingles(w, 2) for w in words] or [np.empty(0, np.uint64)]))
+    pairs = np.unique(np.concatenate([pairs_of(w) for w in words] or [np.empty(0, np.uint64)]))
     flags = np.zeros(2**FILTER_BITS, bool)
     flags[pairs >> np.uint64(64 - FILTER_BITS)] = True
     classes = {}
@@ -112,42 +138,50 @@ def block_of(rows: list[tuple[int, str]], similarity: float = SIMILARITY) -> Ite
         owner = np.broadcast_to(np.repeat(own, [len(p) for p in places]), key.shape).ravel()
         anchor = np.broadcast_to(np.concatenate(places), key.shape).ravel()
         order = key.ravel().argsort(kind="stable")
-        needs = sorted({(len(words[i]), int(edits[i]), max(1, len(words[i]) - 1 - 2 * int(edits[i]))) for i in own})
+        needs = [need_of(n, e, size) for n, e in sorted({(len(words[i]), int(edits[i])) for i in own})]
         classes[size] = (needs, key.ravel()[order], owner[order], anchor[order])
-    return Items([i for i, _ in rows], words, edits, pairs, flags, classes)
+    bags = np.stack([bag(w) for w in words]) if words else np.empty((0, BINS), np.int64)
+    return Items(ids, words, bags, edits, pairs, flags, classes)
+
 
+def need_of(n: int, edits: int, size: int) -> Need:
+    at = anchors(n, size)
+    shift = np.where(at > 0, edits, 0)
+    return Need(n, n + edits - 2, max(1, n - 1 - 2 * edits), at - shift, at + shift + 1)
 
-def allowed_starts(hits: np.ndarray, needs: list[tuple[int, int, int]], n_words: int, size: int) -> np.ndarray:
+
+def allowed_starts(hits: np.ndarray, needs: list[Need], n_words: int) -> np.ndarray:
     """Where an anchor's window may start so that a match of one of these sizes is possible; `hits` are the places of known pairs."""
-    least, widest = min(x[2] for x in needs), max(x[0] + x[1] - 2 for x in needs)
+    least, widest = min(x.pairs for x in needs), max(x.width for x in needs)
     if len(hits) < least or not (hits[least - 1 :] - hits[: len(hits) - least + 1] <= widest).any():
         return np.empty(0, np.int64)
-    change = np.zeros(n_words + 1, np.int64)
-    for n, edits, need in needs:
-        if len(hits) >= need:
-            first, last = hits[: len(hits) - need + 1], hits[need - 1 :]
-            fits = last - first <= n + edits - 2
-            low = np.maximum(0, last[fits] - (n + edits - 2))
-            for anchor in anchors(n, size).tolist():
-                shift = edits if anchor else 0
-                np.add.at(change, np.clip(low + anchor - shift, 0, n_words), 1)
-                np.add.at(change, np.minimum(first[fits] + anchor + shift + 1, n_words), -1)
-    return np.flatnonzero(np.cumsum(change[:-1]) > 0)
-
-
-def candidates(words: np.ndarray, items: Items) -> set[tuple[int, int]]:
-    """Pairs (item, start) that share a key, the start as it would be if no word before the anchor were edited."""
-    found: set[tuple[int, int]] = set()
+    lows, highs = [], []
+    for need in needs:
+        if len(hits) >= need.pairs:
+            first, last = hits[: len(hits) - need.pairs + 1], hits[need.pairs - 1 :]
+            fits = np.flatnonzero(last - first <= need.width)
+            if len(fits):
+                lows.append((np.maximum(0, last[fits] - need.width)[:, None] + need.first).ravel())
+                highs.append((first[fits][:, None] + need.last).ravel())
+    if not lows:
+        return np.empty(0, np.int64)
+    ends = [np.bincount(np.minimum(np.maximum(np.concatenate(x), 0), n_words), minlength=n_words + 1) for x in (lows, highs)]
+    return np.flatnonzero(np.cumsum(ends[0] - ends[1])[:-1] > 0)
+
+
+def candidates(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Items and starts, sorted, of pairs that share a key; the start as it would be if no word before the anchor were edited."""
     if len(words) < 2:
-        single = [i for i, w in enumerate(items.words) if len(w) == 1 and len(words) and w[0] == words[0]]
-        return {(i, 0) for i in single}
-    h = shingles(words, 2)
+        found = np.array([i for i, w in enumerate(items.words) if len(w) == 1 and len(words) and w[0] == words[0]], np.int64)
+        return found, np.zeros_like(found)
+    h = pairs_of(words)
     hits = np.flatnonzero(items.filter[h >> np.uint64(64 - FILTER_BITS)])
     if len(hits):
         spot = np.minimum(np.searchsorted(items.pairs, h[hits]), len(items.pairs) - 1)
         hits = hits[items.pairs[spot] == h[hits]]
+    found = []
     for size, (needs, table, owner, anchor) in items.classes.items():
-        starts = np.arange(len(words)) if needs[0][0] == 1 else allowed_starts(hits, needs, len(words), size)
+        starts = np.arange(len(words)) if needs[0].n == 1 else allowed_starts(hits, needs, len(words))
         for a in range(0, len(starts), WINDOWS):
             part = starts[a : a + WINDOWS]
             key = keys(words, part, size)
@@ -157,10 +191,22 @@ def candidates(words: np.ndarray, items: Items) -> set[tuple[int, int]]:
                 low = low[match]
                 count = np.searchsorted(table, key[match], "right") - low
                 spot = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-                start = np.maximum(0, part[np.repeat(window, count)] - anchor[spot])
-                pair = np.unique((owner[spot] << 32) | start)
-                found.update(zip((pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist()))
-    return found
+                found.append(owner[spot] << 32 | np.maximum(0, part[np.repeat(window, count)] - anchor[spot]))
+    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def stretches(words: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(item, low, high): the stretches of the text in which an item's candidates lie, those that reach into each other as one."""
+    item, start = candidates(words, items)
+    if not len(item):
+        return
+    edits, size = items.edits[item], np.array([len(w) for w in items.words])[item]
+    apart = np.flatnonzero((item[1:] != item[:-1]) | (np.diff(start) > (size + 3 * edits)[:-1])) + 1
+    first, last = np.r_[0, apart], np.r_[apart, len(item)] - 1
+    low = np.maximum(0, start[first] - edits[first])
+    high = start[last] + size[last] + 2 * edits[last]
+    yield from zip(item[first].tolist(), low.tolist(), high.tolist())
 
 
 def distances(item: np.ndarray, words: np.ndarray, free_start: bool) -> np.ndarray:
@@ -187,42 +233,32 @@ def closest(item: np.ndarray, words: np.ndarray, edits: int) -> tuple[int, int,
 
 
 def leaks(text: str | None, items: Items) -> list[tuple[int, int, int, int, float]]:
-    """(item id, start, end, distance, similarity) for each item that the text holds, in words."""
+    """(item, start, end, distance, similarity) for each item of the block that the text holds, in words."""
     words = hashes(words_of(text))
-    spots: dict[int, list[int]] = {}
-    for item, start in sorted(candidates(words, items)):
-        spots.setdefault(item, []).append(start)
-    found = []
-    for item, starts in spots.items():
-        own, edits = items.words[item], int(items.edits[item])
-        best = None
-        reach = len(own) + 2 * edits
-        i = 0
-        while i < len(starts):
-            low, high = starts[i] - edits, starts[i] + reach
-            while i + 1 < len(starts) and starts[i + 1] - edits <= high:
-                i += 1
-                high = starts[i] + reach
-            i += 1
-            low = max(0, low)
-            stretch = words[low:high]
-            if len(own) - shared(own, stretch) <= edits and (hit := closest(own, stretch, edits)):
-                hit = (hit[0], hit[1] + low, hit[2] + low)
-                best = min(best or hit, hit)
-        if best:
-            found.append((items.ids[item], best[1], best[2], best[0], 1 - best[0] / len(own)))
-    return sorted(found)
+    best: dict[int, tuple[int, int, int]] = {}
+    for item, low, high in stretches(words, items):
+        own, edits, stretch = items.words[item], int(items.edits[item]), words[low:high]
+        if len(own) - np.minimum(items.bags[item], bag(stretch)).sum() > edits or len(own) - shared(own, stretch) > edits:
+            continue
+        if hit := closest(own, stretch, edits):
+            hit = (hit[0], hit[1] + low, hit[2] + low)
+            best[item] = min(best.get(item, hit), hit)
+    return [(i, start, end, distance, 1 - distance / len(items.words[i])) for i, (distance, start, end) in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, similarity: float) -> Iterator[Items]:
-    rows: list[tuple[int, str]] = []
+    """The benchmark in blocks of at most ITEM_BLOCK items and about ITEM_CHARS characters."""
+    kind = to_arrow_type(benchmark.schema[item_id].dataType)
+    ids, texts, held = [], [], 0
     for row in benchmark.select(item_id, text).filter(F.col(text).isNotNull()).toLocalIterator():
-        rows.append((row[0], row[1]))
-        if len(rows) == ITEM_BLOCK:
-            yield block_of(rows, similarity)
-            rows = []
-    if rows:
-        yield block_of(rows, similarity)
+        if texts and (len(texts) == ITEM_BLOCK or held + len(row[1]) > ITEM_CHARS):
+            yield block_of(pa.array(ids, kind), texts, similarity)
+            ids, texts, held = [], [], 0
+        ids.append(row[0])
+        texts.append(row[1])
+        held += len(row[1])
+    if texts:
+        yield block_of(pa.array(ids, kind), texts, similarity)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -241,8 +277,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             if not flat:
                 return []
             item, start, end, distance, share = zip(*flat)
-            kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
-            columns = [batch.column("key").take(pa.array(own)), pa.array(item, kind), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(distance, pa.int32()), pa.array(share, pa.float64())]
+            ids = held.value.ids.take(pa.array(item))
+            columns = [batch.column("key").take(pa.array(own)), ids, pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(distance, pa.int32()), pa.array(share, pa.float64())]
             return [pa.RecordBatch.from_arrays(columns, names=["key", "item", "start_word", "end_word", "distance", "similarity"])]
 
         part = map_texts(source, "text", run, schema)
