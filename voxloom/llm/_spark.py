@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,20 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each with marks behind it until no column of `df` has the name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder of spark.checkpoint.dir, which all executors share.
 
-    A folder of our own is set only where that setting is missing, as in tests.
+    A folder of our own is set only where that setting is missing on a local master, as in tests.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """`df` with a broadcast hint if it holds at most `rows` rows; else unchanged, so that Spark shuffles it."""
+    """`df` with a broadcast hint if it holds at most `rows` rows; else unchanged, so that Spark shuffles it. It is counted: give it tables that are written or cheap."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -11,11 +11,11 @@ whole. Without a row to learn from, every text is `und`. Repeated rows and ids a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from voxloom.llm._spark import chunks, map_texts
 ORDERS, BITS, ALPHA = (1, 2, 3), 16, 0.1
 #: Rows of each language that are learned from, about; and tasks that count them.
 ROWS_A_LANGUAGE, TASKS = 2000, 8
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm._spark import map_texts
+from voxloom.llm._spark import map_texts, unused
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -36,6 +36,9 @@ ENDS = (".", "!", "?", "…", ":", ";", '"', "”", "»", ")", "'", "’", "。"
 PHRASES = (
     "all rights reserved", "click here", "cookie policy", "enable javascript", "forgot password", "log in", "privacy policy",
     "read more", "share on", "sign up", "skip to content", "subscribe to our", "terms of service", "terms of use", "we use cookies",
+    "alle rechte vorbehalten", "datenschutzerklärung", "hier klicken", "nutzungsbedingungen", "wir verwenden cookies", "zum inhalt springen",
+    "cliquez ici", "conditions d'utilisation", "lire la suite", "mentions légales", "nous utilisons des cookies", "politique de confidentialité", "tous droits réservés",
+    "aviso legal", "haga clic aquí", "leer más", "política de cookies", "política de privacidad", "términos de uso", "todos los derechos reservados", "utilizamos cookies",
 )
 
 
@@ -111,14 +114,15 @@ def clean_documents(docs: DataFrame, text: str = "text", cleaned: bool = True) -
     """`docs` with the columns of COLUMNS; `cleaned` (the text without failing lines) only if asked for."""
     added = {k: v for k, v in COLUMNS.items() if cleaned or k != "cleaned"}
     carried = [c for c in docs.columns if c not in added and (cleaned or c != text)]
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text).alias("_text"))
+    (raw,) = unused(docs, "raw")
+    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text).alias(raw))
     types = dict(source.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), *(f"{k} {v}" for k, v in added.items())])
 
     def measured(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-        rows = [measure(x) for x in batch.column("_text").to_pylist()]
+        rows = [measure(x) for x in batch.column(raw).to_pylist()]
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
         own = [batch.column(c) for c in carried] + [pa.array([r[k] for r in rows], kinds[v]) for k, v in added.items()]
         return [pa.RecordBatch.from_arrays(own, names=[*carried, *added])]
 
-    return map_texts(source, "_text", measured, schema)
+    return map_texts(source, raw, measured, schema)

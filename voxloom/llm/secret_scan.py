@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm._spark import map_texts
+from voxloom.llm._spark import map_texts, unused
 
 VOCABULARY = os.environ.get("VOXLOOM_TIKTOKEN", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Vocabularies over this size are not broadcast but refused.
@@ -172,7 +172,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
     Without `redacted` the text is left out. A column `secrets` of the input is replaced.
     """
     carried = [c for c in docs.columns if c not in (text, "secrets")]
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text).alias("_text"))
+    (raw,) = unused(docs, "raw")
+    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text).alias(raw))
     held = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
     types = dict(source.dtypes)
@@ -180,7 +181,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
 
     def scanned(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         encoder = encoder_of(held.value)
-        texts = batch.column("_text").to_pylist()
+        texts = batch.column(raw).to_pylist()
         found = [spans_of(t, encoder) for t in texts]
         own = [batch.column(c) for c in carried]
         if redacted:
@@ -188,7 +189,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
         own.append(pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in found], kind))
         return [pa.RecordBatch.from_arrays(own, names=[*carried, *[text] * redacted, "secrets"])]
 
-    return map_texts(source, "_text", scanned, schema)
+    return map_texts(source, raw, scanned, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -36,20 +36,20 @@ def learn(sample: DataFrame, label: str = "toxic") -> tuple[np.ndarray, float] |
     sample = checkpoint(sample.select(F.coalesce("text", F.lit("")).alias("text"), F.col(label).alias("y")).repartition(TASKS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros((2, 2**BITS), np.uint16), [0, 0]
+        seen, rows = np.zeros((2, 2**BITS), np.int64), [0, 0]
         for batch in batches:
             for part in chunks(batch, "text"):
                 y = np.array(part.column("y").to_pylist())
                 own, bucket = unique_buckets(part.column("text").to_pylist(), ORDERS, BITS)
                 for k in (0, 1):
-                    seen[k] += np.bincount(bucket[y[own] == k], minlength=2**BITS).astype(np.uint16)
+                    seen[k] += np.bincount(bucket[y[own] == k], minlength=2**BITS)
                     rows[k] += int((y == k).sum())
         for k in (0, 1):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([rows[k]]), pa.array([seen[k].tobytes()])], names=["y", "n", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([rows[k]]), pa.array([seen[k].astype(np.uint32).tobytes()])], names=["y", "n", "seen"])
 
     seen, rows = np.zeros((2, 2**BITS)), [0, 0]
     for row in sample.mapInArrow(count, "y long, n long, seen binary").toLocalIterator():
-        seen[row["y"]] += np.frombuffer(row["seen"], np.uint16)
+        seen[row["y"]] += np.frombuffer(row["seen"], np.uint32)
         rows[row["y"]] += row["n"]
     if not all(rows):
         return None
