@@ -9,8 +9,10 @@ joined by a blank line.
 
 Null and empty pages, and pages without main text, give an empty text. Pages that are cut
 off, have stray or missing end tags or wrong quotes are read as far as they go; nothing
-is capped. Text in script, style, head, template, noscript, select, textarea and the like
-is no block. Repeated rows and ids all stay.
+is capped. What stands in script, style, head, title, template, textarea and iframe is no text of the
+page; one of these that is never closed is passed over, but for script and style, which reach to
+the end of the page, as in browsers. Tags inside a block leave no space, but for br. Repeated
+rows and ids all stay.
 """
 
 from __future__ import annotations
@@ -27,20 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm._spark import map_texts
+from voxloom.llm._spark import map_texts, unused
 
 # Elements of HTML.
 BLOCK_TAGS = (
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "label", "legend", "li", "main", "menu", "nav",
-    "ol", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "noscript", "object", "ol", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 )
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-RAW_TAGS = ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "math", "object", "select", "head")
+RAW_TAGS = ("script", "style", "textarea", "title", "iframe", "template", "head")
+#: Of these, those that reach to the end of a page which does not close them; others without an end are passed over.
+ENDLESS_TAGS = ("script", "style")
 #: A start tag ends an open element of these, unless one of the limits lies between.
 CLOSES = {
     **{t: (("p",), ("article", "aside", "blockquote", "div", "section", "td", "li", "button")) for t in BLOCK_TAGS},
     "li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)),
+    "noscript": ((), ()), "object": ((), ()), "select": ((), ()), "option": (("option",), ("select",)),
     "tr": (("tr",), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "body": (("head",), ()),
 }
 # Kinds of class, id and role, by the words in them.
@@ -182,13 +187,13 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAWS:
             if not attributes.endswith("/"):
                 end = _raw_end(tag).search(page, at)
-                at = end.end() if end else len(page)
-            parts.append(" ")
+                at = end.end() if end else len(page) if tag in ENDLESS_TAGS else at
             continue
         if tag in VOIDS:
             if tag == "hr":
                 flush()
-            parts.append(" " if tag in ("br", "img", "input") else "")
+            if tag == "br":
+                parts.append(" ")
             continue
         if tag == "a":
             in_link = 1
@@ -321,6 +326,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
 
     def notice() -> str:
         inner = pick((f"We use cookies. {prose(1, 2)}", prose(1, 3), f"<p>{prose(1, 3)}</p><button>{words(1, 2)}</button>"))
+        if chance(0.15):
+            return pick((f"<noscript>{inner}</noscript>", f"<object data='x'>{pick((prose(1, 1), words(2, 6)))}</object>"))
         return wrap("div section dialog aside p", "cookie-notice cookie consent notice alert gdpr newsletter popup banner-notice disclaimer", inner)
 
     def advert() -> str:
@@ -328,6 +335,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[str
 
     def form() -> str:
         inner = f"<label>{words(1, 3)}</label><input type='text'><button>{words(1, 2)}</button>" + f"<p>{prose(1, 2)}</p>" * chance(0.6)
+        if chance(0.2):
+            inner += "<select>" + "".join(f"<option>{words(1, 3)}</option>" for _ in range(rng.randint(2, 5))) + "</select>"
         return f"<form action='/'>{inner}</form>" if chance(0.7) else wrap("div form", "search-form login contact-form signup", inner)
 
     def comments() -> str:
@@ -409,13 +418,14 @@ def main_text(page: str | None, field: Field) -> str:
 def extract_text(pages: DataFrame, html_column: str = "html", pages_learned: int = PAGES) -> DataFrame:
     """`pages` without the markup and with `text` and `n_chars`; columns of these names are replaced."""
     carried = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
-    source = pages.select(*[F.col(f"`{c}`") for c in carried], F.col(html_column).alias("_html"))
+    (raw,) = unused(pages, "raw")
+    source = pages.select(*[F.col(f"`{c}`") for c in carried], F.col(html_column).alias(raw))
     types = dict(source.dtypes)
     held = pages.sparkSession.sparkContext.broadcast(model(pages_learned))
 
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-        texts = [main_text(x, held.value) for x in batch.column("_html").to_pylist()]
+        texts = [main_text(x, held.value) for x in batch.column(raw).to_pylist()]
         columns = [*(batch.column(c) for c in carried), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         return [pa.RecordBatch.from_arrays(columns, names=[*carried, "text", "n_chars"])]
 
-    return map_texts(source, "_html", run, ", ".join([*(f"`{c}` {types[c]}" for c in carried), "text string", "n_chars long"]))
+    return map_texts(source, raw, run, ", ".join([*(f"`{c}` {types[c]}" for c in carried), "text string", "n_chars long"]))
