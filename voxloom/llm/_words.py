@@ -47,13 +47,41 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 BLOCK = np.arange(16)
+#: Columns of a bit-parallel alignment that take about as long as one more edit along the diagonals.
+COLUMNS_AN_EDIT = 12
+
+
+def columnwise(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
+    """The edit distance, or None if it is over `limit`, from differences of neighbouring cells kept as bits, a column for each word of the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    spots: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        spots[word] = spots.get(word, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score, left = full, 0, len(a), len(b)
+    for word in b.tolist():
+        same = spots.get(word, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        left -= 1
+        if more & last:
+            score += 1
+        elif less & last:
+            score -= 1
+        if score - left > limit:
+            return None
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(same | down | more)) & full, more & (same | down) & full
+    return score if score <= limit else None
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """The edit distance of two arrays of words, or None if it is over `limit`.
 
     Banded alignment: of the diagonals within `limit` of the main one, it keeps how far each
-    is reached with 0, 1, 2, ... edits.
+    is reached with 0, 1, 2, ... edits. Texts that are still apart after as many edits as cost
+    less than all columns are aligned column by column instead.
     """
     if abs(len(a) - len(b)) > limit:
         return None
@@ -86,7 +114,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
 
     k = np.array([0])
     reached = slide(np.array([0]), k)
-    for edits in range(1, limit + 1):
+    most = min(limit, min(n, m) // COLUMNS_AN_EDIT)
+    for edits in range(1, most + 1):
         k = np.arange(max(-edits, -n), min(edits, m) + 1)
         low = k[0] - 1
         before = np.full(len(k) + 2, -1 << 40)
@@ -98,4 +127,4 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
         goal = m - n - k[0]
         if 0 <= goal < len(k) and reached[goal] >= n:
             return edits
-    return None
+    return columnwise(a, b, limit) if most < limit else None

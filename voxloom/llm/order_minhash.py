@@ -7,12 +7,17 @@ if they share these shingles in the same order, which happens often for a high e
 similarity and seldom for texts that share words alone.
 
 Candidates: exact copies (equal words) are one node from the start. In each bucket of
-equal keys all nodes are aligned with the least one. Then all pairs of a bucket that these
-links leave in different components are compared, whatever the bucket's size: their lengths
-and bags of words give lower bounds of the edit distance, and the pairs that both allow are
-aligned. So each pair that shares a key is aligned, ruled out by an exact bound, or in one
-class already; no cap drops a pair. Buckets of over SMALL nodes are held against each other
-in blocks, and no task holds a whole one.
+equal keys all nodes are aligned with the least one. Then the pairs of a bucket that these
+links leave in different components are compared, whatever the bucket's size. Buckets of up
+to SMALL nodes are joined row by row. The texts of larger ones are split by length, as they can be
+linked only within a class of lengths or across neighbouring ones, and dealt into blocks, texts of
+the same buckets together. Blocks that meet in a bucket are held against each other once, unless both are of
+one component: a
+task holds two at a time, rules pairs out that share no key or whose lengths or bags of words allow no
+link, aligns the rest on the spot, skips what its own links have joined, and returns links alone.
+So each pair that shares a key is aligned, ruled out by an exact bound, or in one class already;
+no cap drops a pair. Rows grow with the sizes of buckets, not with their squares; the time of
+alignments grows with the pairs of a bucket that neither its hub nor a bound has settled.
 
 Two nodes are linked if 1 - (edit distance in words) / (words of the longer) is at least
 SIMILARITY; limits of the alignment's band follow from it. Classes are the connected
@@ -25,25 +30,31 @@ edited (J of 0.4), over 0.999 where a twentieth is, and all but certain for J of
 Null texts are classes of their own. Texts without a word are copies if they are equal.
 Texts of fewer than K words are near only to copies. Very long texts are sketched and
 aligned whole. `near_duplicates` tells repeated rows and repeated or null ids each; the class id is the least
-id of the class. `keep_first` keeps one row of a class; it carries other columns and does not
-read them.
+id of the class. `keep_first` keeps one row of a class; it carries other columns, whatever their names,
+and does not read them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm._spark import checkpoint, map_texts, small
+from voxloom.llm._spark import checkpoint, map_texts, small, unused
 from voxloom.llm._words import edit_distance, hashes, mixed, shingles, words_of
 
 K, ELL, BANDS, SIMILARITY = 5, 3, 64, 0.8
-#: Buckets up to this size are joined row by row; larger ones are compared in blocks of about BLOCK nodes, by bags of BINS bins.
-SMALL, BLOCK, BINS = 16, 512, 128
+#: Buckets up to this size are joined row by row; larger ones are compared in blocks of about BLOCK nodes and BLOCK_WORDS words, by bags of BINS bins.
+SMALL, BLOCK, BLOCK_WORDS, BINS = 16, 256, 500_000, 128
+#: The group of blocks that may hold several components.
+MIXED = "-"
+#: Longest to shortest text of a class of lengths: linkable texts lie in one class or in neighbouring ones for any similarity of 1 / LENGTHS or more.
+LENGTHS = 1.25
 #: Nodes in pairs up to which their ids are broadcast to pick their texts: some 150 MB at most.
 BROADCAST_NODES = 2_000_000
 #: Values that a task holds while it orders shingles.
@@ -116,11 +127,10 @@ def may_match(n: Column, m: Column, similarity: float) -> Column:
     return F.greatest(n, m) - F.least(n, m) <= F.floor((1 - similarity) * F.greatest(n, m) + 1e-9)
 
 
-def aligned(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (`a`, `b`) whose texts are similar enough, with `distance`; `nodes` has `node` and the least `id` with its text."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def texts_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`node` and `hashed` (the bytes of its words) of the nodes in `wanted`; `nodes` has `node` and the least `id` with its text."""
     wanted = checkpoint(wanted.join(nodes.select("node", "id"), "node"))
-    ids = small(wanted.select(F.col("id").alias("wanted_id")).distinct(), BROADCAST_NODES)
+    ids = small(wanted.select(F.col("id").alias("wanted_id")), BROADCAST_NODES)
     source = docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
 
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
@@ -130,7 +140,17 @@ def aligned(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
         return [pa.RecordBatch.from_arrays(columns, names=["node", "hashed"])]
 
     texts = map_texts(source, "text", run, "node binary, hashed binary").groupBy("node").agg(F.any_value("hashed").alias("hashed"))
-    texts = texts.join(small(wanted.select("node"), BROADCAST_NODES), "node", "left_semi")
+    return checkpoint(texts.join(wanted.select("node"), "node", "left_semi"))
+
+
+def most_edits(n: int, m: int, similarity: float) -> int:
+    return int((1 - similarity) * max(n, m) + 1e-9)
+
+
+def aligned(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (`a`, `b`) whose texts are similar enough, with `distance`."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = texts_of(wanted, docs, nodes)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("hashed").alias("words_a")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("hashed").alias("words_b")), "b")
 
@@ -139,7 +159,7 @@ def aligned(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
             found = []
             for x, y in zip(batch.column("words_a"), batch.column("words_b")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-                found.append(edit_distance(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)))
+                found.append(edit_distance(x, y, most_edits(len(x), len(y), similarity)))
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.int32())], names=["a", "b", "distance"])
             yield out.filter(out.column("distance").is_valid())
 
@@ -153,21 +173,25 @@ def ordered(a: str, b: str) -> list[Column]:
 def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The linked pairs (`a`, `b`, `distance`) that classes need: a pair that shares a key may be missing only where its ends are linked by way of others.
 
-    `nodes` has `node`, `id`, `words`, `bag` and `keys`.
+    `nodes` has `node`, `id`, `words`, `bag` and `keys`. Groups are written before rows are joined with
+    them: both sides of the join are then shuffled for it, and a hot key's rows can be split.
     """
     members = nodes.select("node", "words", F.explode("keys").alias("key"))
-    groups = members.groupBy("key").agg(F.min(F.struct("node", "words")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    groups = checkpoint(members.groupBy("key").agg(F.min(F.struct("node", "words")).alias("hub"), F.count("*").alias("n")).filter("n > 1"))
     members = checkpoint(members.join(groups, "key").select("key", "node", "words", "n", F.col("hub.node").alias("hub"), F.col("hub.words").alias("hub_words")))
     near = may_match(F.col("words"), F.col("hub_words"), similarity)
     to_hub = checkpoint(members.filter((F.col("node") != F.col("hub")) & near).select(*ordered("node", "hub")).distinct())
     found = checkpoint(aligned(to_hub, docs, nodes, similarity))
-    rooted = members.filter("n > 2").select("key", "node", "words", "n").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parted = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
+    rooted = checkpoint(members.filter("n > 2").select("key", "node", "words", "n", "hub").join(joined_by(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    parted = checkpoint(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"))
     rooted = checkpoint(rooted.join(parted, "key", "left_semi"))
-    large = rooted.filter(F.col("n") > SMALL).join(nodes.select("node", "bag"), "node")
-    pairs = pairs_within(rooted.filter(F.col("n") <= SMALL), similarity).union(pairs_in_blocks(large, similarity)).distinct()
+    pairs = pairs_within(rooted.filter(F.col("n") <= SMALL), similarity).distinct()
     pairs = checkpoint(pairs.join(to_hub, ["a", "b"], "left_anti"))
-    return found if pairs.isEmpty() else found.union(checkpoint(aligned(pairs, docs, nodes, similarity)))
+    found = found if pairs.isEmpty() else found.union(checkpoint(aligned(pairs, docs, nodes, similarity)))
+    if similarity < 1 / LENGTHS:
+        raise ValueError(f"similarities under {1 / LENGTHS} are not supported")
+    large = rooted.filter(F.col("n") > SMALL).select("key", "node", "root", "words", "n", "hub")
+    return found if large.isEmpty() else found.union(checkpoint(links_in_blocks(large, docs, nodes, similarity)))
 
 
 def pairs_within(rooted: DataFrame, similarity: float) -> DataFrame:
@@ -177,58 +201,118 @@ def pairs_within(rooted: DataFrame, similarity: float) -> DataFrame:
     return rooted.join(others, "key").filter(fits).select(F.col("x").alias("a"), F.col("node").alias("b"))
 
 
-def pairs_in_blocks(rooted: DataFrame, similarity: float) -> DataFrame:
-    """The same for large buckets, if the bags of words allow a link as well.
+def dealt(large: DataFrame) -> DataFrame:
+    """The rows of each cell (`low`, `high`): `node`, and `upper` for those of the second of its two blocks. A cell is a pair of blocks that meet in a bucket.
 
-    A bucket is dealt into blocks of about BLOCK nodes, and each pair of blocks is one row, so that a task holds two blocks at a time.
+    Texts with the same home, the least text of all their buckets, are dealt together, so that texts that share many buckets
+    come into the same few blocks. They are dealt by their class of lengths, which spans a factor of LENGTHS, and blocks meet only
+    inside a class or across neighbouring ones. A component that fills half a block has blocks of its own, which need not meet each other.
+    A bucket whose texts come from many blocks is dealt into blocks of its own instead. Texts of two blocks that
+    share no key are told apart by their keys inside the cell.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rooted.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-    dealt = checkpoint(dealt.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "root", "words", "bag")).alias("rows")))
-    left = dealt.select("key", F.col("block").alias("first"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), F.col("rows").alias("left"))
-    both = left.join(dealt.select("key", "block", F.col("rows").alias("right")), ["key", "block"])
-
-    def unpacked(rows: pa.StructScalar) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        rows = rows.values
-        bags = np.frombuffer(b"".join(rows.field("bag").to_pylist()), np.uint8).reshape(-1, BINS)
-        return rows.field("node").to_pylist(), np.array(rows.field("root").to_pylist(), object), rows.field("words").to_numpy().astype(np.int64), bags
+    large = large.withColumn("size", F.floor(F.log(F.greatest(F.col("words"), F.lit(1)).cast("double")) / math.log(LENGTHS)).cast("long"))
+    texts = checkpoint(large.groupBy("node", "root", "words", "size").agg(F.min("hub").alias("home")))
+    alike = texts.groupBy("home", "size", "root").agg(F.count("*").alias("rows")).filter(F.col("rows") >= BLOCK // 2).select("home", "size", "root", F.hex("root").alias("group"))
+    texts = texts.join(alike, ["home", "size", "root"], "left").withColumn("group", F.coalesce("group", F.lit(MIXED)))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("words") / BLOCK_WORDS))
+    texts = texts.join(texts.groupBy("home", "size", "group").agg(blocks.alias("blocks")), ["home", "size", "group"])
+    texts = checkpoint(texts.select("node", "group", F.xxhash64("home", "size", "group", F.pmod(F.xxhash64("node"), "blocks")).alias("label")))
+    rows = checkpoint(large.join(texts, "node").select("key", "n", "size", "node", "group", "label"))
+    many = rows.groupBy("key").agg(F.approx_count_distinct("label").alias("labels"))
+    many = checkpoint(many.join(large.groupBy("key").agg(F.max("n").alias("n")), "key").filter(F.col("labels") > 64 + 8 * F.col("n") / BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    rows = rows.join(many, "key", "left")
+    apart = F.col("blocks").isNotNull()
+    own = F.xxhash64("key", "size", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = checkpoint(rows.select("key", "size", "node", F.when(apart, F.lit(MIXED)).otherwise(F.col("group")).alias("group"), F.when(apart, own).otherwise(F.col("label")).alias("label")))
+    meet = checkpoint(rows.select("key", "size", "group", "label").distinct())
+    both = meet.toDF("key", "low_size", "low_group", "low").join(meet.toDF("key", "high_size", "high_group", "high"), "key")
+    useful = (F.col("low") <= F.col("high")) & (F.abs(F.col("low_size") - F.col("high_size")) <= 1) & ((F.col("low_group") != F.col("high_group")) | (F.col("low_group") == F.lit(MIXED)))
+    cells = checkpoint(both.filter(useful).select("low", "high").distinct())
+    members = checkpoint(rows.select("node", "label").distinct())
+    first = members.join(cells, F.col("label") == F.col("low")).select("low", "high", F.lit(False).alias("upper"), "node")
+    second = members.join(cells.filter("low < high"), F.col("label") == F.col("high")).select("low", "high", F.lit(True).alias("upper"), "node")
+    return first.union(second)
+
+
+def links_in_blocks(large: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The links that join components inside large buckets; `large` has `key`, `node`, `root`, `words`, `n` and `hub`."""
+    roots = checkpoint(large.select("node", "root").distinct())
+    own = nodes.select("node", "bag", "keys").join(small(roots, BROADCAST_NODES), "node")
+    own = checkpoint(own.join(texts_of(own.select("node"), docs, nodes), "node"))
+    rows = dealt(large).join(own, "node").repartition("low", "high").sortWithinPartitions("low", "high")
 
     def run(batches):
+        cell, held = None, []
         for batch in batches:
-            for first, block, left, right in zip(*(batch.column(c) for c in ("first", "block", "left", "right"))):
-                nodes, roots, sizes, bags = unpacked(left)
-                others, other_roots, other_sizes, other_bags = unpacked(right)
-                a, b = [], []
-                for i in range(len(nodes)):
-                    low = i + 1 if first == block else 0
-                    most = np.maximum(sizes[i], other_sizes[low:])
-                    limit = np.floor((1 - similarity) * most + 1e-9)
-                    spot = np.flatnonzero((np.abs(sizes[i] - other_sizes[low:]) <= limit) & (other_roots[low:] != roots[i]))
-                    spot = spot[fewest_edits(bags[i], other_bags[low + spot]) <= limit[spot]]
-                    for j in (low + spot).tolist():
-                        a.append(min(nodes[i], others[j]))
-                        b.append(max(nodes[i], others[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return both.select("first", "block", "left", "right").mapInArrow(run, "a binary, b binary")
+            names = list(zip(batch.column("low").to_pylist(), batch.column("high").to_pylist()))
+            start = 0
+            for i in range(1, len(names) + 1):
+                if i == len(names) or names[i] != names[start]:
+                    if cell is not None and names[start] != cell:
+                        yield from links_of(held, cell[0] == cell[1], similarity)
+                        held = []
+                    cell = names[start]
+                    held.append(batch.slice(start, i - start))
+                    start = i
+        if held:
+            yield from links_of(held, cell[0] == cell[1], similarity)
+
+    return rows.select("low", "high", "upper", "node", "root", "bag", "keys", "hashed").mapInArrow(run, "a binary, b binary, distance int")
+
+
+def links_of(held: list[pa.RecordBatch], single: bool, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The links of a cell: inside its only block, or between its two. Links that its other links make needless are left out."""
+    table = pa.Table.from_batches(held)
+    nodes, upper = table.column("node").to_pylist(), np.array(table.column("upper").to_pylist(), bool)
+    _, group = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)
+    bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)
+    keys = np.array(table.column("keys").to_pylist(), np.int64)
+    texts = [np.frombuffer(t, np.uint32) for t in table.column("hashed").to_pylist()]
+    size = np.array([len(t) for t in texts])
+    first, second = (np.arange(len(nodes)),) * 2 if single else (np.flatnonzero(~upper), np.flatnonzero(upper))
+    found: list[tuple[bytes, bytes, int]] = []
+    for place, i in enumerate(first):
+        spot = second[place + 1 :] if single else second
+        spot = spot[group[spot] != group[i]]
+        limit = np.floor((1 - similarity) * np.maximum(size[i], size[spot]) + 1e-9)
+        fits = (np.abs(size[i] - size[spot]) <= limit) & (fewest_edits(bags[i], bags[spot]) <= limit)
+        spot = spot[fits]
+        spot = spot[(keys[spot] == keys[i]).any(1)]
+        for j in spot.tolist():
+            if group[i] != group[j] and (d := edit_distance(texts[i], texts[j], most_edits(size[i], size[j], similarity))) is not None:
+                found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), d))
+                group[group == group[j]] = group[i]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "distance"])
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
+
+
+def joined_by(edges: DataFrame) -> DataFrame:
+    """`node` and `root` for all nodes of the pairs (`a`, `b`): the least neighbour of the least neighbour, or itself. Nodes with one root are in one component, those with two may be."""
+    least = checkpoint(both_ways(edges).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return least.toDF("node", "m").join(least.toDF("m", "root"), "m").select("node", "root")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """`node` and `root`, the least node of its component, for all nodes of the pairs (`a`, `b`)."""
-    state = None
+    """`node` and `root`, the least node of its component, for all nodes of the pairs (`a`, `b`), by large and small stars in turn until all are stars.
+
+    Least neighbours are written before links are joined with them, so that the links of a hub can be split.
+    """
     edges = checkpoint(edges.select(*ordered("a", "b")).filter("a != b").distinct())
     while True:
-        both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        tree = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
-        edges = checkpoint(tree.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
+        both = both_ways(edges)
+        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = checkpoint(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        tree = joined.filter("v != m").select(F.col("v").alias("b"), F.col("m").alias("a")).union(joined.select(F.col("u").alias("b"), F.col("m").alias("a")))
+        edges = checkpoint(tree.select("a", "b").distinct())
+        parts = edges.select(F.col("a").alias("x"), F.lit(1).alias("above"), F.lit(0).alias("below")).union(edges.select("b", F.lit(0), F.lit(1)))
+        parts = parts.groupBy("x").agg(F.max("above").alias("above"), F.sum("below").alias("below"))
+        if parts.filter("above + below > 1").isEmpty():
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        state = now
 
 
 def classified(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -254,21 +338,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of `docs` for each class, of those with its least key the one with the least node, then text; and all rows with null texts."""
     rows, classed = classified(docs, key, text, similarity)
-    first = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("first")).select("first.id", "first.node")
-    first = first.select(F.col("id").alias("_id"), F.col("node").alias("_node"))
-    kept = rows.join(first, F.col("id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))).groupBy("_id", "_node").agg(F.count("*").alias("_n"))
+    id_, node, copies, place = unused(docs, "id", "node", "copies", "place")
+    first = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("first")).select(F.col("first.id").alias(id_), F.col("first.node").alias(node))
+    rows = rows.toDF("own_id", "own_node")
+    kept = rows.join(first, F.col("own_id").eqNullSafe(F.col(id_)) & (F.col("own_node") == F.col(node))).groupBy(id_, node).agg(F.count("*").alias(copies))
     kept = checkpoint(kept)
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in docs.columns), "_node binary"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in docs.columns), f"`{node}` binary"])
 
     def own(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-        texts, nodes = batch.column(text).to_pylist(), batch.column("_node").to_pylist()
+        texts, nodes = batch.column(text).to_pylist(), batch.column(node).to_pylist()
         return [batch.filter(pa.array([fingerprint(t, words_of(t)) == n for t, n in zip(texts, nodes)], pa.bool_()))]
 
     def rows_of(kept: DataFrame) -> DataFrame:
-        some = docs.filter(F.col(text).isNotNull()).join(small(kept, BROADCAST_NODES), F.col(key).eqNullSafe(F.col("_id")))
-        return map_texts(some.select(*[F.col(f"`{c}`") for c in docs.columns], "_node"), text, own, schema)
+        some = docs.filter(F.col(text).isNotNull()).join(small(kept, BROADCAST_NODES), F.col(key).eqNullSafe(F.col(id_)))
+        return map_texts(some.select(*[F.col(f"`{c}`") for c in docs.columns], node), text, own, schema)
 
-    often = rows_of(kept.filter("_n > 1")).withColumn("_place", F.row_number().over(Window.partitionBy("_node").orderBy(text)))
-    out = rows_of(kept.filter("_n = 1")).drop("_node").union(often.filter("_place = 1").drop("_node", "_place"))
+    often = rows_of(kept.filter(F.col(copies) > 1)).withColumn(place, F.row_number().over(Window.partitionBy(node).orderBy(text)))
+    out = rows_of(kept.filter(F.col(copies) == 1)).drop(node).union(often.filter(F.col(place) == 1).drop(node, place))
     return out.union(docs.filter(F.col(text).isNull()))
