@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm import cotraining, decontaminate, html_crf, language_id, line_quality, oracles, order_minhash, secret_scan, temperature_mix, toxicity, url_filter
 from voxloom.llm._learn import fold_of
-from voxloom.llm._spark import table
+from voxloom.llm._spark import checkpoint, table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temperature_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    counted = checkpoint(table(spark, sf_dir, "documents").select("doc_id", "source", temperature_mix.words_in("text").alias("words")))
+    return temperature_mix.mix(counted, tokens="words").drop("words")
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
