@@ -10,7 +10,8 @@ DataFrame expression.
 Null and odd input: a null URL or one without `://` has an empty host and path, fits no
 rule and gets `allow` without a score. Repeated rows and repeated ids all stay. Without
 labelled URLs of both kinds every score is null and the method allows. Other columns of
-the input are ignored.
+the input are carried, whatever their names. Where a label has no URL outside the held-back share,
+its model is uniform.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm._spark import small
+from voxloom.llm._spark import checkpoint, small, unused
 
 # Verdict, host, start of the path.
 RULES = (
@@ -78,8 +79,9 @@ def ratios(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFram
     spark = wanted.sparkSession
     total = {k: sum(row[k] for row in single) for k in "ar"}
     kinds = {k: sum(row[k] > 0 for row in single) for k in "ar"}
-    base = {k: (kinds[k] / SYMBOLS) / max(1, total[k] + kinds[k]) if total[k] else 1 / SYMBOLS for k in "ar"}
-    rows = [(row["c"], *((row[k] + kinds[k] / SYMBOLS) / (total[k] + kinds[k]) for k in "ar")) for row in single]
+    p = lambda k, n: (n + kinds[k] / SYMBOLS) / (total[k] + kinds[k]) if total[k] else 1 / SYMBOLS
+    base = {k: p(k, 0) for k in "ar"}
+    rows = [(row["c"], *(p(k, row[k]) for k in "ar")) for row in single]
     local = spark.createDataFrame(rows, "c string, pa double, pr double")
     out = wanted.select("gram", F.substring("gram", order + 1, 1).alias("c")).join(F.broadcast(local), "c", "left")
     out = out.select("gram", F.coalesce("pa", F.lit(base["a"])).alias("pa"), F.coalesce("pr", F.lit(base["r"])).alias("pr"))
@@ -109,13 +111,13 @@ def score_urls(urls: DataFrame, order: int = ORDER) -> DataFrame:
     held = F.substring(F.md5("url"), 1, 1).isin(*HELD_BACK)
     host_path = F.concat(host_of(F.col("url")), path_of(F.col("url")))
     learned = urls.filter(F.col("label").isNotNull() & ~held)
-    counts = (
+    counts = checkpoint(
         learned.select("label", F.explode(grams(host_path, order)).alias("gram"))
         .groupBy("gram")
         .agg(F.sum(F.col("label").cast("long")).alias("a"), F.sum(1 - F.col("label").cast("long")).alias("r"))
     )
     spots = urls.filter(F.col("label").isNull() | held).select("url", F.explode(grams(host_path, order)).alias("gram"))
-    table = small(ratios(spots.select("gram").distinct(), counts, order), BROADCAST_ROWS)
+    table = small(checkpoint(ratios(spots.select("gram").distinct(), counts, order)), BROADCAST_ROWS)
     return spots.join(table, "gram").groupBy("url").agg(F.round(F.avg("ratio"), 6).alias("score"))
 
 
@@ -136,22 +138,22 @@ def threshold_of(scored: DataFrame) -> float | None:
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", order: int = ORDER) -> DataFrame:
-    """`pages` with host, path, rule, verdict, score and method_verdict; see the module's text."""
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    out = pages.withColumns({"host": host, "path": path}).withColumns(
-        {"rule": rule_of(F.col("host"), F.col("path"), rules), "_ruled": rule_of(F.col("host"), F.col("path"), rules, 0)}
-    )
-    urls = (
-        out.filter(F.col(url).isNotNull() & (F.concat("host", "path") != ""))
-        .groupBy(F.col(url).alias("url"))
-        .agg(F.max(F.when(F.col("_ruled") == "allow", 1).when(F.col("_ruled") == "block", 0)).alias("label"))
+    """`pages` with host, path, rule, score and verdict, which replace columns of these names; see the module's text."""
+    added = ("host", "path", "rule", "score", "verdict")
+    ruled, own = unused(pages.withColumns(dict.fromkeys(added, F.lit(0))), "ruled", "own_url")
+    out = pages.withColumn(own, F.col(url)).drop(*[c for c in added if c != url]).withColumns({"host": host_of(F.col(own)), "path": path_of(F.col(own))})
+    out = out.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), ruled: rule_of(F.col("host"), F.col("path"), rules, 0)})
+    urls = checkpoint(
+        out.filter(F.col(own).isNotNull() & (F.concat("host", "path") != ""))
+        .groupBy(F.col(own).alias("url"))
+        .agg(F.max(F.when(F.col(ruled) == "allow", 1).when(F.col(ruled) == "block", 0)).alias("label"))
     )
     labels = {x["label"] for x in urls.select("label").distinct().collect()}
     if not {0, 1} <= labels:
         out = out.withColumn("score", F.lit(None).cast("double"))
-        return out.withColumn("verdict", F.coalesce("_ruled", F.lit("allow"))).drop("_ruled")
-    scored = score_urls(urls, order)
+        return out.withColumn("verdict", F.coalesce(ruled, F.lit("allow"))).drop(ruled, own)
+    scored = checkpoint(score_urls(urls, order))
     limit = threshold_of(scored.join(urls.filter(F.col("label").isNotNull()), "url"))
-    found = out.join(scored.select(F.col("url").alias("_url"), "score"), F.col(url) == F.col("_url"), "left").drop("_url")
+    found = out.join(scored.select(F.col("url").alias(own), "score"), own, "left")
     judged = F.when(F.col("score") < F.lit(limit), "block").otherwise("allow")
-    return found.withColumn("verdict", F.coalesce("_ruled", judged)).drop("_ruled")
+    return found.withColumn("verdict", F.coalesce(ruled, judged)).drop(ruled, own)
