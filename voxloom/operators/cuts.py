@@ -113,7 +113,7 @@ def collate(df: DataFrame, key: str, order: str, columns: Sequence[str], one_dat
     found = df.groupBy(key).agg(rows.alias("_r"), F.countDistinct("speaker_id").alias("_s"), F.countDistinct("dataset").alias("_d"), F.first("dataset").alias("dataset"))
     fine = (F.col("_s") == F.size("_r")) & ((F.col("_d") == 1) | (not one_dataset))
     found = found.filter(F.assert_true(fine, F.lit("a group repeats a speaker or mixes datasets")).isNull())
-    arrays = [F.transform("_r", lambda r, c=c: r[c]).alias(c) for c in columns]
+    arrays = [F.col(f"_r.{c}").alias(c) for c in columns]
     return found.select(key, "dataset", F.array_join(F.transform("_r", lambda r: r["example_id"].cast("string")), "_").alias("example_id"), *[a for c, a in zip(columns, arrays) if c != "example_id"])
 
 
@@ -126,7 +126,7 @@ def by_speaker(df: DataFrame, key: str, equal: Sequence[str], listed: Sequence[s
     for c in equal:
         fine = fine & F.col(c).eqNullSafe(F.col(f"_max_{c}"))
     found = found.filter(F.assert_true(fine, F.lit("a speaker's values differ")).isNull())
-    return found.select(key, "speaker_id", *equal, *[F.transform("_l", lambda r, c=c: r[c]).alias(c) for c in listed])
+    return found.select(key, "speaker_id", *equal, *[F.col(f"_l.{c}").alias(c) for c in listed])
 
 
 def speaker_map(speakers: Column, values: Column, sequence: Column) -> Column:

@@ -446,7 +446,13 @@ def plan_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.plan_mixtures(pool, "overlap2")[0]
 
 
-@query()
+@query(f"""with recursive {v.MANIFEST}, edges as (select quantile_disc(duration_sec, [0.25, 0.5, 0.75]) e from manifest), bucketed as (select utt_id id, duration_sec d, text, len(list_filter(e, lambda x: x < duration_sec)) bucket from manifest, edges),
+  pieced as (select *, floor({_hash01("id")} * (greatest(1, ceil(count(*) over (partition by bucket) / 1000.0)) - 1e-9))::int piece from bucketed),
+  numbered as (select *, row_number() over (partition by bucket, piece order by md5(id), id) k from pieced),
+  filled as (select bucket, piece, k, d::double fill, 0 batch from numbered where k = 1 union all
+    select n.bucket, n.piece, n.k, case when f.fill + n.d <= 600 then f.fill + n.d else n.d end, case when f.fill + n.d <= 600 then f.batch else f.batch + 1 end from filled f join numbered n on n.bucket = f.bucket and n.piece = f.piece and n.k = f.k + 1),
+  batches as (select bucket, piece, batch, count(*) cuts, sum(d) sec, bool_and(trim(coalesce(text, '')) = '') blank from filled join numbered using (bucket, piece, k) group by all)
+  select count(*) batches, sum(cuts)::bigint cuts, round(sum(sec) / 3600, 6) as hours, count(*) filter (blank) blank_batches from batches""")
 def plan_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.manifest(spark, sf_dir).withColumnRenamed("utt_id", "id")
     return ac.batch_audit(co.plan_batches(rows, 600.0, 4))
