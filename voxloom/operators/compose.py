@@ -248,6 +248,8 @@ def augment_variants(df: DataFrame, variants: Sequence[str] = ("clean", "rir", "
     return out.withColumn(key, F.when(F.col("variant") == "clean", F.col(key)).otherwise(F.concat(F.col(key), F.lit("_"), F.col("variant"))))
 
 
+#: Samples a second of planned mixtures.
+RATE = 16000
 #: Rows of a bucket that are filled into batches together, about.
 PIECE_ROWS = 1000
 
@@ -279,15 +281,16 @@ def plan_batches(df: DataFrame, most_sec: float, buckets: int, key: str = "id",
 
 
 def plan_mixtures(df: DataFrame, kind: str, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """Mixtures and their sources: groups of a pool's rows, starts and joined texts."""
+    """Mixtures and their sources: groups of a pool's rows, starts and joined texts. Times are whole samples, divided once."""
     k = {"single": 1, "overlap2": 2, "overlap3": 3}[kind]
     groups, _ = compose_disjoint(df, k, seed=seed)
-    groups = groups.withColumn("mix_id", F.format_string(f"{kind}_%08d", F.col("group")))
-    samples = F.transform(F.array_sort(F.collect_list(F.struct("slot", F.floor(F.col("duration_sec") * 16000).alias("n")))), lambda s: s["n"])
+    groups = groups.withColumn("mix_id", F.format_string(f"{kind}_%08d", F.col("group"))).withColumn("_n", F.floor(F.col("duration_sec") * RATE))
+    samples = F.transform(F.array_sort(F.collect_list(F.struct("slot", F.col("_n").alias("n")))), lambda s: s["n"])
     starts = groups.groupBy("mix_id").agg(samples.alias("num_samples"))
     starts = starts.withColumn("starts", F.array(F.lit(0).cast("long"))) if k == 1 else overlap_starts(starts, kind)
-    sources = groups.join(starts.select("mix_id", "starts"), "mix_id").withColumn("start_sec", F.round(F.get("starts", "slot") / 16000, 3))
-    sources = sources.select("mix_id", F.format_string("%s_seg%02d", "mix_id", "slot").alias("seg_id"), "dataset", "speaker_id", "utt_id", "audio_path", "start_sec", F.round("duration_sec", 3).alias("duration_sec"), F.round(F.col("start_sec") + F.col("duration_sec"), 3).alias("end_sec"), "text")
+    sources = groups.join(starts.select("mix_id", "starts"), "mix_id").withColumn("_start", F.get("starts", "slot"))
+    seconds = {"start_sec": F.col("_start"), "duration_sec": F.col("_n"), "end_sec": F.col("_start") + F.col("_n")}
+    sources = sources.select("mix_id", F.format_string("%s_seg%02d", "mix_id", "slot").alias("seg_id"), "dataset", "speaker_id", "utt_id", "audio_path", *[(n / RATE).alias(c) for c, n in seconds.items()], "text")
     ordered = F.array_sort(F.collect_list(F.struct("start_sec", "seg_id", "text")))
     mixes = sources.groupBy("mix_id").agg(F.count("*").cast("int").alias("num_speakers"), F.max("end_sec").alias("duration_sec"), F.array_join(F.transform(ordered, lambda s: s["text"]), " | ").alias("text"))
     return mixes.withColumn("mix_type", F.lit(kind)), sources

@@ -339,11 +339,11 @@ def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {v.HYP} select source, {WER} from hyp where doc_id % 4 = 2 group by 1")
 def wer_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rates over the documents whose hypotheses only lack words."""
+    """The same rates over the documents whose hypotheses lack words and have others."""
     return sc.wer(v.hyp(spark, sf_dir).filter("doc_id % 4 = 2"), "a", "b", ("source",))
 
 
-@query(f"with {v.HYP} select source, coalesce(sum(edits) filter (doc_id % 4 = 0), 0)::bigint subs, coalesce(sum(edits) filter (doc_id % 4 = 1), 0)::bigint ins, coalesce(sum(edits) filter (doc_id % 4 = 2), 0)::bigint dels, sum(len(a))::bigint ref_words from hyp group by 1")
+@query(f"with {v.HYP} select source, sum(changed)::bigint subs, coalesce(sum(edits - changed) filter (doc_id % 4 = 1), 0)::bigint ins, coalesce(sum(edits - changed) filter (doc_id % 4 = 2), 0)::bigint dels, sum(len(a))::bigint ref_words from hyp group by 1")
 def wer_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.wer_breakdown(v.hyp(spark, sf_dir), "a", "b", ("source",))
 
@@ -374,9 +374,9 @@ def salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vt.salvage(*_cached_votes(spark, sf_dir), "doc_id")[1]
 
 
-@query(f"""{VOTES}, rejected as (select doc_id, len(a) n, edits from votes join hyp using (doc_id) where decision_reason <> 'exact')
+@query(f"""{VOTES}, rejected as (select doc_id, len(a) n, edits, changed from votes join hyp using (doc_id) where decision_reason <> 'exact')
   select count(*) filter (doc_id % 7 <> 0 and gb <> '' and n > 0) cache_used, 0::bigint to_infer, count(*) filter (not (doc_id % 7 <> 0 and gb <> '' and n > 0)) skipped,
-    coalesce(sum(case when doc_id % 4 in (0, 2) then n - edits else n end) filter (doc_id % 7 <> 0 and gb <> '' and n > 0), 0)::bigint matched, coalesce(sum(edits) filter (doc_id % 7 <> 0 and gb <> '' and n > 0), 0)::bigint mismatched
+    coalesce(sum(case when doc_id % 4 = 1 then n - changed else n - edits end) filter (doc_id % 7 <> 0 and gb <> '' and n > 0), 0)::bigint matched, coalesce(sum(edits) filter (doc_id % 7 <> 0 and gb <> '' and n > 0), 0)::bigint mismatched
   from rejected join votes using (doc_id)""")
 def salvage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes, cached = _cached_votes(spark, sf_dir)
@@ -438,8 +438,8 @@ def compose_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{POOLS}, pool2 as (select * from pools where pool = 'overlap2'), {_disjoint_sql("pool2", 2)},
   sized as (select printf('overlap2_%08d', "group") mix_id, list(floor(duration_sec * 16000)::bigint order by slot) n from disjoint group by "group"),
-  started as (select mix_id, [0::bigint, greatest(0, n[1] - trunc(least(n[1], n[2]) * (0.30 + (0.70 - 0.30) * {_hash01("mix_id || '__ov'")}))::bigint)] starts from sized),
-  sources as (select mix_id, mix_id || printf('_seg%02d', slot) seg_id, round(starts[slot + 1] / 16000, 3) start_sec, round(round(starts[slot + 1] / 16000, 3) + round(duration_sec, 3), 3) end_sec, text from disjoint join started on mix_id = printf('overlap2_%08d', "group"))
+  started as (select mix_id, n, [0::bigint, greatest(0, n[1] - trunc(least(n[1], n[2]) * (0.30::double + (0.70::double - 0.30::double) * {_hash01("mix_id || '__ov'")}))::bigint)] starts from sized),
+  sources as (select mix_id, mix_id || printf('_seg%02d', slot) seg_id, starts[slot + 1] / 16000 start_sec, (starts[slot + 1] + n[slot + 1]) / 16000 end_sec, text from disjoint join started on mix_id = printf('overlap2_%08d', "group"))
   select mix_id, count(*)::int num_speakers, max(end_sec) duration_sec, string_agg(coalesce(text, ''), ' | ' order by start_sec, seg_id) text, 'overlap2' mix_type from sources group by mix_id""")
 def plan_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _pools(spark, sf_dir).filter("pool = 'overlap2'")
@@ -612,7 +612,7 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "customer").select("c_custkey", names.sanitize_name("c_name").alias("safe"), F.substring(F.md5("c_name"), 1, 8).alias("tail"))
 
 
-@query(f"with {v.HYP} select doc_id, case when len(a) + len(b) > 0 then round(2.0 * case when doc_id % 4 in (0, 2) then len(a) - edits else len(a) end / (len(a) + len(b)), 6) else 1.0 end ratio, edits > 0 differs from hyp")
+@query(f"with {v.HYP} select doc_id, case when len(a) + len(b) > 0 then round(2.0 * case when doc_id % 4 = 1 then len(a) - changed else len(a) - edits end / (len(a) + len(b)), 6) else 1.0 end ratio, edits > 0 differs from hyp")
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     diffs = v.hyp(spark, sf_dir).select("doc_id", align.word_diff("a", "b").alias("d"))
     return diffs.select("doc_id", F.round("d.ratio", 6).alias("ratio"), (F.size("d.ops") > 0).alias("differs"))
