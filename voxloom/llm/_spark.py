@@ -30,17 +30,22 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder of spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints below spark.checkpoint.dir, which all executors share.
 
     A folder of our own is set only where that setting is missing on a local master, as in tests.
     """
-    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

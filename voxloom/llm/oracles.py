@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from voxloom.llm import lexical_search as ls
 from voxloom.llm import line_quality as lq
+from voxloom.llm import spelling as sp
 from voxloom.llm import temperature_mix as tm
 from voxloom.llm import url_filter as uf
 
@@ -114,5 +116,55 @@ def temperature_mix() -> str:
     select doc_id, source, n_tokens, weight, epoch::int epoch, block, slot::int slot from ordered where epoch < passes or upto <= rest or n_tokens = 0"""
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def spelling_variants() -> str:
+    """The hash is a fold over bytes with the usual table; near words share what is left after one deletion, or are it."""
+    return f"""
+    with recursive crc_table as materialized (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) t),
+    docs as (select coalesce(doc_id::varchar, '') id, translate(text, '{UPPER}', '{LOWER}') t from documents where text is not null),
+    runs as (select id, run, count(*) k from (select id, unnest(regexp_extract_all(t, '[a-zÀ-ÿ]+')) run from docs) group by all),
+    long_runs as (select id, run, k, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end)) b from runs where length(run) >= {sp.LEAST_LETTERS}),
+    hashed as (select run, k, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) h from long_runs, crc_table),
+    slipped as (select case when h % {sp.SLIPS} = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word, k from hashed),
+    words as materialized (select word, sum(k)::bigint n from slipped where length(word) >= {sp.LEAST_LETTERS} group by word having sum(k) >= {sp.LEAST_COUNT}),
+    cut as materialized (select word, n, i, left(word, i - 1) || substr(word, i + 1) d from (select word, n, unnest(range(1, length(word) + 1))::int i from words)),
+    near as (select a.word, b.word other, b.n m from cut a join cut b on a.d = b.d and a.i = b.i and a.word <> b.word union select a.word, b.word, b.n from cut a join words b on a.d = b.word union select b.word, a.word, a.n from cut a join words b on a.d = b.word),
+    best as (select word, count(*) n_near, first(other order by m desc, other) other, max(m) m from near group by word),
+    formed as materialized (select word, n, coalesce(n_near, 0) n_near, case when m >= {sp.RATIO} * n then other end form, case when m >= {sp.RATIO} * n then m end form_n from words left join best using (word)),
+    chain as (select word, form at_word from formed where form is not null union all select c.word, f.form from chain c join formed f on f.word = c.at_word where f.form is not null),
+    last as (select c.word, c.at_word root from chain c join formed f on f.word = c.at_word where f.form is null)
+    select word, form, coalesce(root, word) root, n, n_near, form_n from formed left join last using (word)"""
+
+
+def lexical_search() -> str:
+    terms = f"regexp_extract_all(translate({{0}}, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    with asked as (select item_id, item, unnest(list_distinct({terms.format("coalesce(text, '')")})) term from (select *, row_number() over () item from benchmark)),
+    docs as (select doc_id, row, {terms.format("coalesce(text, '')")} terms from (select doc_id, text, row_number() over () row from documents)),
+    sizes as (select doc_id, row, len(terms) n from docs where len(terms) > 0),
+    total as (select count(*) many, sum(n)::bigint length from sizes),
+    tfs as (select row, term, count(*) tf from (select row, unnest(terms) term from docs) where term in (select term from asked) group by all),
+    weights as (select term, floor(1000 * ln((2 * many + 2) / (2 * count(*) + 1)))::bigint w from tfs, total group by term, many),
+    scores as (select item, any_value(item_id) item_id, row, any_value(doc_id) doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - {ls.LENGTH_SHARE} + (({ls.LENGTH_SHARE} * n * many) // length)))))::bigint score
+      from asked join weights using (term) join tfs using (term) join sizes using (row), total group by item, row)
+    select item_id, rank, doc_id, score from (select *, (row_number() over (partition by item order by score desc, doc_id))::int rank from scores where score > 0) where rank <= {ls.K}"""
+
+
+def exact_dedup() -> str:
+    return """
+    with texts as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') t from documents),
+    hashed as (select doc_id, sha256(t) text_sha256, row_number() over (partition by t order by doc_id) place, first_value(doc_id) over (partition by t order by doc_id) keep_id, count(*) over (partition by t) group_size from texts)
+    select doc_id, keep_id, group_size, place = 1 kept, text_sha256 from hashed"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter(), "op2_line_quality": line_quality(), "op7_temperature_mix": temperature_mix()}
+    return {
+        "op1_url_filter": url_filter(),
+        "op2_line_quality": line_quality(),
+        "op7_temperature_mix": temperature_mix(),
+        "op11_spelling_variants": spelling_variants(),
+        "op12_lexical_search": lexical_search(),
+        "op13_exact_dedup": exact_dedup(),
+    }

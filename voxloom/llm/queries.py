@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import cotraining, decontaminate, html_crf, language_id, line_quality, oracles, order_minhash, secret_scan, temperature_mix, toxicity, url_filter
+from voxloom.llm import cotraining, decontaminate, exact_dedup, html_crf, language_id, lexical_search, line_quality, oracles, order_minhash, secret_scan, spelling, temperature_mix, toxicity, url_filter
 from voxloom.llm._learn import fold_of
-from voxloom.llm._spark import checkpoint, table
+from voxloom.llm._spark import checkpoint, shared_folder, table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,26 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, delivered to a new index in two parts: the lower half of ids, then the rest and rows without an id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    half = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    first = F.coalesce(F.col("doc_id") <= F.lit(half), F.lit(False))
+    rows = exact_dedup.digests(docs, F.when(first, "first").otherwise("second"))
+    index = exact_dedup.open_index(spark, f"{shared_folder(spark)}/digests-{uuid.uuid4().hex}")
+    for delivery in ("first", "second"):
+        exact_dedup.add(index, rows.filter(F.col("delivery") == delivery))
+    return exact_dedup.decisions(index, rows).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash": op8_order_minhash,
         "op9_toxicity": op9_toxicity,
         "op10_cotraining": op10_cotraining,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_exact_dedup": op13_exact_dedup,
         "pipeline": pipeline,
     }
 
