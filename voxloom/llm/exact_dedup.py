@@ -81,9 +81,12 @@ def digests(docs: DataFrame, delivery: Column | str = "", key: str = "doc_id", t
 
 
 def add(index: DigestIndex, rows: DataFrame) -> None:
-    """Append the digests of a delivery (as `digests` gives it) that the index does not have, each with its least row."""
+    """Append the digests of a delivery (as `digests` gives it) that the index does not have, each with its least row.
+
+    The least rows are written first: Spark would else join before it groups, and shuffle every copy.
+    """
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "delivery", "row")
-    first = rows.groupBy("digest").agg(F.min(order).alias("first"))
+    first = checkpoint(rows.groupBy("digest").agg(F.min(order).alias("first")))
     fresh = first.join(index.table(rows.sparkSession).hint("merge"), "digest", "left_anti")
     fresh = fresh.select("digest", F.col("first.id").alias("keep_id"), F.col("first.delivery").alias("delivery"), F.col("first.row").alias("row"))
     fresh.repartition(index.buckets, "digest").write.mode("append").format("parquet").bucketBy(index.buckets, "digest").sortBy("digest").saveAsTable(index.name)
