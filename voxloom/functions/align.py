@@ -7,9 +7,12 @@ before by a few operations on these numbers, so that lists of 20,000 words need
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,16 +127,93 @@ def path(a: Sequence[str], b: Sequence[str]) -> str:
     return "i" * j + "d" * i + "".join(reversed(out))
 
 
+class Windows:
+    """Numbers for the windows of two lists of words: two windows of a length are equal if they have the same number.
+
+    Windows of 1, 2, 4, ... words are numbered in turn, from the numbers of their halves; a window of any other length is the pair of the two longest
+    of these at its ends.
+    """
+
+    def __init__(self, a: Sequence[str], b: Sequence[str]):
+        known: dict[str, int] = {}
+        both = [known.setdefault(w, len(known)) for w in (*a, *b)]
+        self.cut, self.levels = len(a), [np.array(both, np.int64)]
+
+    def numbers(self, length: int, low: int, high: int, second: bool) -> np.ndarray:
+        """The numbers of the windows of `length` inside the words from `low` to before `high` of the first list, or of the `second`."""
+        k = length.bit_length() - 1
+        while len(self.levels) <= k:
+            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            pairs = last[: max(0, len(last) - step)] * (1 << 31) + last[step:]
+            self.levels.append(np.unique(pairs, return_inverse=True)[1])
+        shift = self.cut if second else 0
+        start, count = low + shift, high - low - length + 1
+        level, rest = self.levels[k], length - (1 << k)
+        return level[start : start + count] if not rest else level[start : start + count] * (1 << 31) + level[start + rest : start + rest + count]
+
+    def longest(self, a1: int, a2: int, b1: int, b2: int, most: int) -> int:
+        """The length of the longest common window, up to `most`."""
+        low, high = 0, min(most, a2 - a1, b2 - b1)
+        step = 1
+        while low < high:
+            length = min(low + step, high)
+            if np.isin(self.numbers(length, a1, a2, False), self.numbers(length, b1, b2, True)).any():
+                low, step = length, step * 2
+            else:
+                high, step = length - 1, max(1, (length - low) // 2)
+                step = min(step, max(1, (high - low + 1) // 2))
+        return low
+
+
+def common_blocks(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int, int]]:
+    """Blocks (start in `a`, start in `b`, words) that both lists share in the same order, longest first.
+
+    The longest common block is taken, of several the first in `a`, then the first in `b`; what stands before and behind it is treated likewise.
+    Blocks that touch in both lists are one. All blocks of a length that follow each other are found in one pass, and what is left between them
+    has shorter ones only.
+    """
+    a, b = list(a), list(b)
+    windows, found, todo = Windows(a, b), [], [(0, len(a), 0, len(b), min(len(a), len(b)))]
+    while todo:
+        a1, a2, b1, b2, most = todo.pop()
+        if a1 == a2 or b1 == b2 or not most or set(a[a1:a2]).isdisjoint(b[b1:b2]):
+            continue
+        length = windows.longest(a1, a2, b1, b2, most)
+        ours, theirs = windows.numbers(length, a1, a2, False), windows.numbers(length, b1, b2, True)
+        spots = np.flatnonzero(np.isin(ours, theirs))
+        order = np.argsort(theirs, kind="stable")
+        ranked = theirs[order]
+        lows, highs = (np.searchsorted(ranked, ours[spots], side).tolist() for side in ("left", "right"))
+        order, x, y = order.tolist(), a1, b1
+        for spot, low, high in zip(spots.tolist(), lows, highs):
+            if a1 + spot < x:
+                continue
+            at = bisect_left(order, y - b1, low, high)
+            if at == high:
+                continue
+            i, j = a1 + spot, b1 + order[at]
+            found.append((i, j, length))
+            todo.append((x, i, y, j, length - 1))
+            x, y = i + length, j + length
+        todo.append((x, a2, y, b2, length - 1))
+    out: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(found):
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            out[-1] = (*out[-1][:2], out[-1][2] + n)
+        else:
+            out.append((i, j, n))
+    return out
+
+
 def opcodes(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, int, int, int, int]]:
-    """Stretches of both lists: equal, or replace, delete or insert where they differ."""
-    out, i, j, way, at = [], 0, 0, path(a, b), 0
-    while at < len(way):
-        start, x, y, same = at, i, j, way[at] == "="
-        while at < len(way) and (way[at] == "=") == same:
-            at += 1
-        part = way[start:at]
-        i, j = i + len(part) - part.count("i"), j + len(part) - part.count("d")
-        out.append(("equal" if same else "replace" if i > x and j > y else "delete" if i > x else "insert", x, i, y, j))
+    """Stretches of both lists: equal, as in `common_blocks`, or replace, delete or insert between them."""
+    out, i, j = [], 0, 0
+    for x, y, n in [*common_blocks(a, b), (len(a), len(b), 0)]:
+        if i < x or j < y:
+            out.append(("replace" if i < x and j < y else "delete" if i < x else "insert", i, x, j, y))
+        if n:
+            out.append(("equal", x, x + n, y, y + n))
+        i, j = x + n, y + n
     return out
 
 
@@ -193,35 +273,119 @@ def non_number_distance(raw: Column | str, normalized: Column | str) -> Column:
     return edit_distance(tx.drop_numbers(tx.canonical_tokens(raw)), tx.drop_numbers(tx.canonical_tokens(normalized)))
 
 
+def bits_of(number: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(number.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n].astype(np.int32)
+
+
+def values_of(at: Edge, n: int, first: int) -> np.ndarray:
+    """The numbers of a column, from `first` on."""
+    return first + np.concatenate([[0], np.cumsum(bits_of(at.up, n) - bits_of(at.down, n))])
+
+
+def edge_of(values: np.ndarray) -> Edge:
+    steps = np.diff(values)
+    number = lambda flags: int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+    return Edge(number(steps > 0), number(steps < 0), int(values[-1]))
+
+
+class Orders:
+    """Orders of `hyp` lists, one after the other, against all `ref` words.
+
+    The distance to a list is the least over all ways through the table, and so is that of the best order of a set: the columns of a set's
+    orders can be replaced by their least values, one column a set. Sets are grown from the end of the words, one list at a time; equal
+    lists are one kind. A set is left where its column and a bound for what is before it exceed the distance of an order that
+    is known: the words before it cost at least as many edits as the larger of both sides has words that the other lacks.
+    """
+
+    def __init__(self, ref: Sequence[Sequence[str]], hyp: Sequence[Sequence[str]]):
+        n = max(len(ref), len(hyp))
+        self.words = [w for r in ref for w in r]
+        self.hyp = [list(h) for h in hyp] + [[]] * (n - len(hyp))
+        self.ref = list(ref)
+        self.kinds = sorted({tuple(h) for h in self.hyp}, key=lambda k: self.hyp.index(list(k)))
+        self.kind_of = [self.kinds.index(tuple(h)) for h in self.hyp]
+        self.counts = tuple(self.kind_of.count(k) for k in range(len(self.kinds)))
+        self.bags = [Counter(k) for k in self.kinds]
+        self.forward, self.backward = Table(self.words), Table(self.words[::-1])
+        seen: Counter = Counter()
+        self.copy = np.zeros(len(self.words), np.int64)
+        for i, w in enumerate(self.words):
+            self.copy[i] = seen[w]
+            seen[w] += 1
+        names = {w: k for k, w in enumerate(seen)}
+        self.number = np.array([names[w] for w in self.words], np.int64)
+        self.bag_rows = np.zeros((len(self.kinds), len(names)), np.int64)
+        for k, bag in enumerate(self.bags):
+            for w, c in bag.items():
+                if w in names:
+                    self.bag_rows[k, names[w]] = c
+        self.sizes = np.array([len(k) for k in self.kinds], np.int64)
+
+    def known(self) -> int:
+        """The distance of the better of two orders: the one that is given, and one by the words each list shares with a reference."""
+        left, greedy = list(range(len(self.hyp))), []
+        for r in self.ref:
+            bag = Counter(r)
+            p = max(left, key=lambda p: (sum((bag & self.bags[self.kind_of[p]]).values()), -p))
+            left.remove(p)
+            greedy.append(p)
+        return min(self.forward.after(self.forward.first(), [w for p in order for w in self.hyp[p]]).score for order in (range(len(self.hyp)), greedy + left))
+
+    def before(self, rest: np.ndarray) -> np.ndarray:
+        """For each beginning of the reference, the fewest edits to the lists in `rest`."""
+        have = rest @ self.bag_rows
+        both = np.concatenate([[0], np.cumsum(self.copy < have[self.number])])
+        return np.maximum(np.arange(len(self.words) + 1), int(rest @ self.sizes)) - both
+
+    def columns(self) -> dict[tuple[int, ...], np.ndarray]:
+        """The column of each set that a best order may end with, by how many of each kind it has."""
+        n, most, every = len(self.words), self.known(), np.array(self.counts)
+        empty = (0,) * len(self.kinds)
+        out = {empty: np.arange(n + 1)}
+        layer = dict(out)
+        for _ in self.hyp:
+            grown: dict[tuple[int, ...], np.ndarray] = {}
+            for have, values in layer.items():
+                edge, size = edge_of(values), int(values[0])
+                for k, c in enumerate(have):
+                    if c < self.counts[k]:
+                        more = (*have[:k], c + 1, *have[k + 1 :])
+                        column = values_of(self.backward.after(edge, self.kinds[k][::-1]), n, size + len(self.kinds[k]))
+                        grown[more] = column if more not in grown else np.minimum(grown[more], column)
+            layer = {have: v for have, v in grown.items() if (v + self.before(every - np.array(have))[::-1]).min() <= most}
+            out |= layer
+        return out
+
+    def best(self) -> list[int]:
+        """The first order with the fewest errors."""
+        columns = self.columns()
+        most = int(columns[self.counts][-1])
+        at, order, left = self.forward.first(), [], list(self.counts)
+        size = 0
+        while len(order) < len(self.hyp):
+            for p, k in enumerate(self.kind_of):
+                if p in order or any(q < p and self.kind_of[q] == k and q not in order for q in range(p)):
+                    continue
+                rest = (*left[:k], left[k] - 1, *left[k + 1 :])
+                if rest not in columns:
+                    continue
+                after = self.forward.after(at, self.hyp[p])
+                if (values_of(after, len(self.words), size + len(self.hyp[p])) + columns[rest][::-1]).min() == most:
+                    at, left, size = after, list(rest), size + len(self.hyp[p])
+                    order.append(p)
+                    break
+        return order
+
+
 def best_order(ref: Sequence[Sequence[str]], hyp: Sequence[Sequence[str]]) -> tuple[int, int, int, int, int, list[int]]:
     """Errors, reference words, substitutions, insertions, deletions and the order of `hyp` with the fewest errors; the first of several.
 
-    Orders are searched by branch and bound: those that begin alike share the columns of their
-    beginning, and a beginning is left where even equal words to the end would not be better.
+    At most 2 ** n sets of n speakers are looked at, instead of all orders, and far fewer where lists are alike to their references.
     """
-    n = max(len(ref), len(hyp))
-    words = [w for r in ref for w in r]
-    hyp = [list(h) for h in hyp] + [[]] * (n - len(hyp))
-    table = Table(words)
-    best: tuple[int, list[int]] | None = None
-
-    def search(at: Edge, order: list[int], left: int) -> None:
-        nonlocal best
-        if best is not None and at.score - left >= best[0]:
-            return
-        if len(order) == n:
-            best = (at.score, order)
-            return
-        tried = set()
-        for p in range(n):
-            own = tuple(hyp[p])
-            if p not in order and own not in tried:
-                tried.add(own)
-                search(table.after(at, hyp[p]), [*order, p], left - len(own))
-
-    search(table.first(), [], sum(map(len, hyp)))
-    counts = breakdown(words, [w for p in best[1] for w in hyp[p]])
-    return sum(counts), len(words), *counts, best[1]
+    orders = Orders(ref, hyp)
+    best = orders.best()
+    counts = breakdown(orders.words, [w for p in best for w in orders.hyp[p]])
+    return sum(counts), len(orders.words), *counts, best
 
 
 @arrow("errors int, ref_words int, subs int, ins int, dels int, best_perm array<int>")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,73 +27,105 @@ def token_table(vocab: DataFrame) -> dict[str, int]:
     return {r["token"]: r["id"] for r in rows}
 
 
-def encode_word(word: str, table: dict[str, int], longest: int) -> list[str]:
-    """The word as one token, else the longest token at each place; a character in no token is unknown."""
-    rest = START + word
-    if rest in table:
-        return [rest]
-    out, at = [], 0
-    while at < len(rest):
-        piece = next((rest[at : at + n] for n in range(min(longest, len(rest) - at), 0, -1) if rest[at : at + n] in table), None)
-        out.append(piece or UNKNOWN)
-        at += len(piece or " ")
-    return out
-
+class Trie:
+    """The tokens of a vocabulary as a prefix tree: a number for each node, a table of steps from node and character to node, and the token that ends at a node.
 
-def encode_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Distinct `word` rows with their `pieces`."""
-    table = token_table(vocab)
-    held = words.sparkSession.sparkContext.broadcast((table, max(map(len, table), default=1)))
-
-    @F.pandas_udf("array<string>")
-    def pieces(word: pd.Series) -> pd.Series:
-        return pd.Series([encode_word(w, *held.value) for w in word])
+    Tokens are numbered as they stand in `names`; the last one is the unknown token.
+    """
 
-    return words.withColumn("pieces", pieces("word"))
+    def __init__(self, table: dict[str, int]):
+        self.names = [t for t in table if t and t != UNKNOWN] + [UNKNOWN]
+        self.ids = [table[t] for t in self.names[:-1]] + [table.get(UNKNOWN, 2)]
+        self.steps: dict[int, int] = {}
+        ends = [-1]
+        for place, token in enumerate(self.names[:-1]):
+            node = 0
+            for letter in token:
+                key = node << 21 | ord(letter)
+                node = self.steps.get(key, 0)
+                if not node:
+                    node = self.steps[key] = len(ends)
+                    ends.append(-1)
+            ends[node] = place
+        self.ends = array("i", ends)
+
+    def pieces(self, word: str) -> list[int]:
+        """The longest token at each place, from the mark of a start on; a character that begins no token is unknown.
+
+        The walk from a place ends with the longest token that begins there.
+        """
+        text = START + word
+        out, at, steps, ends = [], 0, self.steps.get, self.ends
+        while at < len(text):
+            node, i, best, stop = 0, at, len(self.names) - 1, at + 1
+            while i < len(text) and (node := steps(node << 21 | ord(text[i]), 0)):
+                i += 1
+                if ends[node] >= 0:
+                    best, stop = ends[node], i
+            out.append(best)
+            at = stop
+        return out
+
+
+def encoded_words(trie: Trie, batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[list[int]]]]:
+    """Each batch with the pieces of its texts; those of words that came lately are kept."""
+    known: dict[str, list[int]] = {}
+    for batch in batches:
+        if len(known) > MOST_WORDS:
+            known.clear()
+        rows = []
+        for t in batch.column(text).to_pylist():
+            own: list[int] = []
+            for word in t.split():
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = trie.pieces(word)
+                own += found
+            rows.append(own)
+        yield batch, rows
+
+
+def with_upper(df: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """`df` with its upper-cased text under a name that it does not have."""
+    name = "_upper"
+    while name in df.columns:
+        name += "_"
+    return df.withColumn(name, upper_text(text)), name
+
+
+def schema_of(df: DataFrame, more: str) -> str:
+    return ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), more])
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
     """Rows with `tokens` and `ids` of their upper-cased text."""
-    table = token_table(vocab)
-    held = df.sparkSession.sparkContext.broadcast((table, max(map(len, table), default=1)))
-
-    @F.pandas_udf("tokens array<string>, ids array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table, longest = held.value
-        unknown = table.get(UNKNOWN, 2)
-        known: dict[str, tuple[list[str], list[int]]] = {}
-        for texts in batches:
-            if len(known) > MOST_WORDS:
-                known.clear()
-            rows = []
-            for t in texts:
-                pieces: list[str] = []
-                ids: list[int] = []
-                for w in (t or "").split():
-                    own = known.get(w)
-                    if own is None:
-                        out = encode_word(w, table, longest)
-                        own = known[w] = out, [table.get(x, unknown) for x in out]
-                    pieces += own[0]
-                    ids += own[1]
-                rows.append((pieces, ids))
-            yield pd.DataFrame(rows, columns=["tokens", "ids"])
-
-    return df.withColumn("_e", encoded(upper_text(text))).select("*", "_e.*").drop("_e")
+    held = df.sparkSession.sparkContext.broadcast(Trie(token_table(vocab)))
+    rows, upper = with_upper(df, text)
+    carried = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids = pa.array(held.value.names, pa.string()), pa.array(held.value.ids, pa.int32())
+        for batch, pieces in encoded_words(held.value, batches, upper):
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in pieces])]), pa.int32())
+            flat = pa.array([p for own in pieces for p in own], pa.int32())
+            columns = [c for c, n in zip(batch.columns, batch.schema.names) if n != upper]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(ends, x.take(flat)) for x in (names, ids))], names=[*carried, "tokens", "ids"])
+
+    return rows.mapInArrow(run, schema_of(df, "tokens array<string>, ids array<int>"))
 
 
 def vocab_coverage(df: DataFrame, vocab: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """By file and in all: supervisions, blank ones, tokens, unknown ones, their rate, and supervisions without any.
+    """By file and in all: supervisions, blank ones, tokens, unknown ones, their rate, and supervisions without any. Texts are counted where they are read."""
+    held = df.sparkSession.sparkContext.broadcast(Trie(token_table(vocab)))
+    rows, upper = with_upper(df.select(file, text), text)
 
-    Distinct words are encoded once; their counts meet the rows by a join.
-    """
-    rows = df.select(file, F.monotonically_increasing_id().alias("_row"), upper_text(text).alias("_t"))
-    words = rows.withColumn("word", F.explode(F.filter(F.split("_t", r"\s+"), lambda w: w != ""))).groupBy(file, "_row", "word").agg(F.count("*").alias("n"))
-    pieces = encode_words(words.select("word").distinct(), vocab)
-    sizes = pieces.select("word", F.size("pieces").alias("size"), F.size(F.filter("pieces", lambda p: p == UNKNOWN)).alias("unk"))
-    per_row = words.join(sizes, "word").groupBy(file, "_row").agg(F.sum(F.col("n") * F.col("size")).alias("tokens"), F.sum(F.col("n") * F.col("unk")).alias("unknown"))
-    blank = rows.filter("_t = ''").select(file, "_row", F.lit(0).cast("bigint").alias("tokens"), F.lit(0).cast("bigint").alias("unknown"))
-    found = per_row.union(blank).rollup(file).agg(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unknown = len(held.value.names) - 1
+        for batch, pieces in encoded_words(held.value, batches, upper):
+            yield pa.RecordBatch.from_arrays([batch.column(file), pa.array(map(len, pieces), pa.int64()), pa.array([p.count(unknown) for p in pieces], pa.int64())], names=[file, "tokens", "unknown"])
+
+    found = rows.select(file, upper).mapInArrow(run, f"`{file}` {dict(df.dtypes)[file]}, tokens bigint, unknown bigint")
+    found = found.rollup(file).agg(
         F.count("*").alias("supervisions"), F.count_if(F.col("tokens") == 0).alias("blank"), F.sum("tokens").alias("tokens"), F.sum("unknown").alias("unknown"), F.count_if((F.col("tokens") > 0) & (F.col("unknown") == 0)).alias("covered")
     )
     return found.withColumn("unknown_rate", F.round(F.col("unknown") / F.greatest("tokens", F.lit(1)), 9))

@@ -40,8 +40,8 @@ def _hash01(text: str) -> str:
     return f"({v.HASH.format('(' + text + ')')} / 4294967295.0)"
 
 
-def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.hyp(spark, sf_dir).join(v.manifest(spark, sf_dir).drop("text"), "doc_id")
+def _votes(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    rows = v.hyp(spark, sf_dir, numbered).join(v.manifest(spark, sf_dir).drop("text"), "doc_id")
     rows = rows.withColumns({"zipformer_text": F.array_join("a", " "), "gipformer_text": F.array_join("b", " "), "denoised_path": F.col("audio_path")})
     return vt.vote_exact(rows)
 
@@ -361,20 +361,30 @@ def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.hyp(spark, sf_dir).select("doc_id", align.edit_distance("a", "b").alias("distance"))
 
 
+NUMBERED_VOTES = VOTES.replace(v.HYP, v.NUMBERED_HYP)
+
+
 def _cached_votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Votes, and the first recognizer's pieces: words, a quarter of a second apart."""
-    votes = checkpoint(_votes(spark, sf_dir).select("doc_id", "a", "gipformer_text", "denoised_path", "duration_sec", "accepted"))
+    """Votes over words that differ by their places, and the first recognizer's pieces: words, a quarter of a second apart."""
+    votes = checkpoint(_votes(spark, sf_dir, numbered=True).select("doc_id", "a", "gipformer_text", "denoised_path", "duration_sec", "accepted"))
     times = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("a") - 1)), lambda i: i * 0.25)
     return votes, votes.select("doc_id", F.transform("a", lambda w: F.concat(F.lit("▁"), w)).alias("tokens"), times.alias("timestamps"), F.col("gipformer_text").alias("other_text"))
 
 
-@query()
+@query(f"""{NUMBERED_VOTES}, places as (select doc_id, audio_path, duration_sec, unnest(list_transform(a, lambda w, i: {{'i': i - 1, 'w': w}})) p from votes join hyp using (doc_id) where decision_reason = 'mismatch'),
+  marked as (select doc_id, audio_path, duration_sec, p.i i, p.w w, {v.EDITED.format('p.i')} e, doc_id % 4 = 1 and p.i % 3 <> 1 adds from places),
+  kept as (select *, case when lag(e, 1, true) over (partition by doc_id order by i) then 1 else 0 end fresh from marked),
+  islands as (select *, sum(fresh) over (partition by doc_id order by i rows unbounded preceding) island from kept),
+  lasts as (select doc_id, max(i) n from marked group by doc_id),
+  runs as (select doc_id, any_value(audio_path) denoised_path, any_value(duration_sec) d, min(i) a, max(i) b, string_agg(w, ' ' order by i) text, max(n) n from islands join lasts using (doc_id) where not e or adds group by doc_id, island),
+  timed as (select *, a * 0.25::double s, case when b = n then b * 0.25::double + 0.05::double else (b + 1) * 0.25::double end + 0.08::double t from runs)
+  select doc_id, denoised_path, (row_number() over (partition by doc_id order by a) - 1)::int run_idx, s start_time, t end_time, round(t - s, 3) duration, text, a::int start_word_idx, b::int end_word_idx from timed where least(floor(d * 16000), floor(t * 16000)) > greatest(0, floor(s * 16000))""")
 def salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected rows, their words aligned with the other text."""
     return vt.salvage(*_cached_votes(spark, sf_dir), "doc_id")[1]
 
 
-@query(f"""{VOTES}, rejected as (select doc_id, len(a) n, edits, changed from votes join hyp using (doc_id) where decision_reason <> 'exact')
+@query(f"""{NUMBERED_VOTES}, rejected as (select doc_id, len(a) n, edits, changed from votes join hyp using (doc_id) where decision_reason <> 'exact')
   select count(*) filter (doc_id % 7 <> 0 and gb <> '' and n > 0) cache_used, 0::bigint to_infer, count(*) filter (not (doc_id % 7 <> 0 and gb <> '' and n > 0)) skipped,
     coalesce(sum(case when doc_id % 4 = 1 then n - changed else n - edits end) filter (doc_id % 7 <> 0 and gb <> '' and n > 0), 0)::bigint matched, coalesce(sum(edits) filter (doc_id % 7 <> 0 and gb <> '' and n > 0), 0)::bigint mismatched
   from rejected join votes using (doc_id)""")
@@ -465,15 +475,25 @@ def dataset_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ac.dataset_weights(rows, known).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+#: Each distinct word of the upper-cased texts, cut into the longest tokens from its start on, by recursion; and the words of each document.
+PIECES = f"""{v.UPPERED}, own_words as (select doc_id, source, list_filter(string_split_regex(upper(replace(coalesce(text, ''), 'ß', 'ss')), '\\s+'), lambda w: w <> '') w from documents),
+  walk as (select word, '▁' || word rest, []::int[] ids, 0 unknown from (select distinct unnest(w) word from own_words) union all
+    select word, substr(rest, coalesce(max(length(token)), 1) + 1), list_append(ids, coalesce(arg_max(id, length(token)), (select id from vocab where token = '<unk>'))::int), unknown + (count(token) = 0)::int from walk left join vocab on starts_with(rest, token) where rest <> '' group by word, rest, ids, unknown),
+  pieces as (select word, ids, unknown from walk where rest = '')"""
+
+
+@query(f"""with recursive {PIECES}, counted as (select doc_id, any_value(source) source, coalesce(sum(len(ids)), 0) tokens, coalesce(sum(unknown), 0) unknown from (select doc_id, source, unnest(case when len(w) = 0 then [null] else w end) word from own_words) left join pieces using (word) group by doc_id)
+  select source, count(*) supervisions, count(*) filter (tokens = 0) blank, sum(tokens)::bigint tokens, sum(unknown)::bigint unknown, count(*) filter (tokens > 0 and unknown = 0) covered, round(sum(unknown) / greatest(sum(tokens), 1), 9) unknown_rate from counted group by rollup (source)""")
 def vocab_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vo.vocab_coverage(v.table(spark, sf_dir, "documents"), v.vocab(spark, sf_dir), "source")
 
 
-@query()
+@query(f"""with recursive {PIECES}, placed as (select doc_id, w[i] word, i from (select doc_id, w, unnest(range(1, len(w) + 1)) i from own_words)),
+  joined as (select doc_id, flatten(list(ids order by i)) ids from placed join pieces using (word) group by doc_id)
+  select doc_id, coalesce(len(ids), 0)::int tokens, md5(coalesce(array_to_string(ids, ' '), '')) ids_md5 from documents left join joined using (doc_id)""")
 def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vo.encode_tokens(v.table(spark, sf_dir, "documents").select("doc_id", "text"), v.vocab(spark, sf_dir))
-    return rows.select("doc_id", F.size("ids").alias("tokens"), F.xxhash64("ids").alias("ids_hash"))
+    return rows.select("doc_id", F.size("ids").alias("tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_md5"))
 
 
 @query(f"""with {v.UPPERED}, teacher as (select token, min(id) teacher_id from vocab where id % 3 <> 0 or token = '<unk>' group by token)
@@ -612,9 +632,9 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "customer").select("c_custkey", names.sanitize_name("c_name").alias("safe"), F.substring(F.md5("c_name"), 1, 8).alias("tail"))
 
 
-@query(f"with {v.HYP} select doc_id, case when len(a) + len(b) > 0 then round(2.0 * case when doc_id % 4 = 1 then len(a) - changed else len(a) - edits end / (len(a) + len(b)), 6) else 1.0 end ratio, edits > 0 differs from hyp")
+@query(f"with {v.NUMBERED_HYP} select doc_id, case when len(a) + len(b) > 0 then round(2.0 * case when doc_id % 4 = 1 then len(a) - changed else len(a) - edits end / (len(a) + len(b)), 6) else 1.0 end ratio, edits > 0 differs from hyp")
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diffs = v.hyp(spark, sf_dir).select("doc_id", align.word_diff("a", "b").alias("d"))
+    diffs = v.hyp(spark, sf_dir, numbered=True).select("doc_id", align.word_diff("a", "b").alias("d"))
     return diffs.select("doc_id", F.round("d.ratio", 6).alias("ratio"), (F.size("d.ops") > 0).alias("differs"))
 
 

@@ -31,16 +31,18 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edited(doc: Column, i: Column) -> Column:
     """Whether the second recognizer differs at word i: about a tenth of the words of three quarters of the documents."""
     i = i.cast("bigint")
-    return (doc % 4 != 3) & ((doc * 7919 + i * i * 31 + i * 17) % 10 == 0)
+    return (doc % 4 != 3) & ((doc * 7919 + i * i * 31 + i * 17) % 97 < 10)
 
 
-def hyp(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hyp(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
     """All words of each document as `a`, and as `b` the same with edits: by the document other words, more and other words, fewer and other words, or none.
 
     New words stand in no document, and no document has both more and fewer words: each new word takes a change or an addition and each
-    word lost a deletion, so that the fewest edits between `a` and `b` are those made here, kind by kind.
+    word lost a deletion, so that the fewest edits between `a` and `b` are those made here, kind by kind. `numbered` words end with
+    their place, so that the longest common blocks, too, are what the edits have left.
     """
     words = F.filter(F.split(tx.normalize_words("text"), " "), lambda w: w != "")
+    words = F.transform(words, lambda w, i: F.concat(w, F.lit("_"), i.cast("string"))) if numbered else words
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("a"))
     doc = F.col("doc_id")
     new = lambda i: F.concat(F.lit("zz"), doc.cast("string"), F.lit("q"), i.cast("string"))
@@ -94,10 +96,11 @@ _words = "regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ',
 SPLIT = f"case when {HASH.format('doc_id')} / 4294967295.0 < 0.90 then 'train' when {HASH.format('doc_id')} / 4294967295.0 < 0.90 + 0.05 then 'val' else 'test' end"
 MANIFEST = f"""manifest as (select doc_id, source || '__' || {SPLIT} || '__' || doc_id utt_id, source dataset, {SPLIT} split, '/audio/' || source || '/' || doc_id || '.wav' audio_path,
   'spk' || (doc_id % 97) speaker_id, text, n_chars / 15.0 duration_sec from documents)"""
-EDITED = "(doc_id % 4 <> 3 and (doc_id * 7919 + ({0}) * ({0}) * 31 + ({0}) * 17) % 10 = 0)"
+EDITED = "(doc_id % 4 <> 3 and (doc_id * 7919 + ({0}) * ({0}) * 31 + ({0}) * 17) % 97 < 10)"
 HYP = f"""words as (select doc_id, source, list_filter(string_split(trim({_words.format('text')}), ' '), lambda w: w <> '') a from documents),
 hyp as (select doc_id, source, a, flatten(list_transform(range(1, len(a) + 1), lambda i: case when not {EDITED.format('i - 1')} then [a[i]] when doc_id % 4 = 0 or (i - 1) % 3 = 1 then ['zz' || doc_id || 'q' || (i - 1)] when doc_id % 4 = 1 then [a[i], 'zz' || doc_id || 'q' || (i - 1)] else []::varchar[] end)) b,
   len(list_filter(range(0, len(a)), lambda i: {EDITED.format('i')})) edits, len(list_filter(range(0, len(a)), lambda i: {EDITED.format('i')} and (doc_id % 4 = 0 or i % 3 = 1))) changed from words)"""
+NUMBERED_HYP = HYP.replace("lambda w: w <> '') a from documents)", "lambda w: w <> '') plain from documents), numbered as (select doc_id, source, list_transform(plain, lambda w, i: w || '_' || (i - 1)) a from words)").replace("changed from words)", "changed from numbered)")
 UPPERED = f"""upper_words as (select doc_id, source, list_filter(string_split(trim({_words.format('text')}), ' '), lambda w: w <> '') w from documents),
 top_words as (select upper(replace(w, 'ß', 'ss')) w, count(*) n from (select unnest(w) w from upper_words) group by 1),
 vocab as (select token, row_number() over (order by token) - 1 id from (select '▁' || w token from (select w from top_words order by n desc, w limit 500) union select unnest(string_split(w, '')) from top_words union select unnest(['▁', '<blk>', '<unk>'])) where token <> '')"""
