@@ -127,13 +127,6 @@ def test_more_readers_and_writers(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert numbered == list(enumerate(lines))
-    table = str(tmp_path / "table")
-    sinks.replace_table(spark.range(3), table)
-    sinks.replace_table(spark.read.parquet(table).filter("id > 0"), table)
-    assert rows(spark.read.parquet(table), "id") == [(1,), (2,)] and not (tmp_path / "table.old").exists() and not (tmp_path / "table.staging").exists()
-    (tmp_path / "table").rename(tmp_path / "table.old")
-    sinks.replace_table(spark.range(1), table)
-    assert rows(spark.read.parquet(table)) == [(0,)] and not (tmp_path / "table.old").exists()
 
 
 def test_streams_of_logs_and_progress(spark, tmp_path):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.hashing import hash_bucket
 from voxloom.plans.cluster import checkpoint
+from voxloom.sources.versions import read_table as read_table
+from voxloom.sources.versions import replace_table as replace_table
 
 
 def write_manifest(df: DataFrame, jsonl: str, tsv: str) -> None:
@@ -20,35 +22,6 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """The table in place of the old one, which may be among what it is made of.
-
-    It is written beside the old one. That is then moved aside, the new one moved in, and the old one deleted last, so that at each
-    moment one of both is whole on disk. Where the new one cannot be moved in, the old one is put back. A table that an earlier
-    call has left aside, because it ended between both moves, is put back first.
-    """
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    base = path.rstrip("/")
-    old, new, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (base, f"{base}.staging", f"{base}.old"))
-    system = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if system.exists(aside):
-        if system.exists(old):
-            system.delete(aside, True)
-        else:
-            system.rename(aside, old)
-    df.write.mode("overwrite").parquet(f"{base}.staging")
-    had = system.exists(old)
-    if had and not system.rename(old, aside):
-        raise OSError(f"cannot move {path} aside")
-    if not system.rename(new, old):
-        if had:
-            system.rename(aside, old)
-        raise OSError(f"cannot move the new table to {path}")
-    if had:
-        system.delete(aside, True)
-
-
 def write_by_split_mix(df: DataFrame, root: str) -> None:
     df.write.mode("overwrite").partitionBy("split", "mix_type").json(root)
 
