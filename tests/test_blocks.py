@@ -36,8 +36,10 @@ def touching(blocks):
     return out
 
 
+@pytest.mark.parametrize("few", [0, 60, 1 << 18])
 @pytest.mark.parametrize("letters", [1, 2, 4, 25])
-def test_blocks_against_plain_search(letters):
+def test_blocks_against_plain_search(letters, few, monkeypatch):
+    monkeypatch.setattr(align, "FEW", few)
     rng = random.Random(letters)
     for _ in range(60):
         a, b = ([str(rng.randrange(letters)) for _ in range(rng.randrange(0, 40))] for _ in "ab")
@@ -46,7 +48,9 @@ def test_blocks_against_plain_search(letters):
         assert align.common_blocks(a, b) == touching(plain_blocks(a, b))
 
 
-def test_blocks_of_200_words():
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_blocks_of_200_words(few, monkeypatch):
+    monkeypatch.setattr(align, "FEW", few)
     rng = random.Random(9)
     for _ in range(6):
         a = [str(int(rng.paretovariate(0.6))) for _ in range(200)]

@@ -22,6 +22,8 @@ from voxloom.functions.udf import arrow
 
 #: Columns whose numbers are held at a time on the way back; of all others, one in so many is.
 KEPT = 256
+#: Pairs of words up to which the longest block is found word by word.
+FEW = 1 << 18
 
 
 class Edge(NamedTuple):
@@ -165,6 +167,19 @@ class Windows:
         return low
 
 
+def longest_of_few(a: list, a1: int, a2: int, spots: dict[str, list[int]]) -> tuple[int, int, int]:
+    """The longest common block as (words, start in `a`, start in `b`), from how long the runs that end at each word of `b` are; `spots` has the places of each word of `b`."""
+    best, ending = (0, a1, 0), {}
+    for i in range(a1, a2):
+        here = {}
+        for j in spots.get(a[i], ()):
+            n = here[j] = ending.get(j - 1, 0) + 1
+            if n > best[0]:
+                best = (n, i - n + 1, j - n + 1)
+        ending = here
+    return best
+
+
 def common_blocks(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int, int]]:
     """Blocks (start in `a`, start in `b`, words) that both lists share in the same order, longest first.
 
@@ -173,12 +188,24 @@ def common_blocks(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int, in
     has shorter ones only.
     """
     a, b = list(a), list(b)
-    windows, found, todo = Windows(a, b), [], [(0, len(a), 0, len(b), min(len(a), len(b)))]
+    windows, found, todo = None, [], [(0, len(a), 0, len(b), min(len(a), len(b)))]
     while todo:
         a1, a2, b1, b2, most = todo.pop()
-        if a1 == a2 or b1 == b2 or not most or set(a[a1:a2]).isdisjoint(b[b1:b2]):
+        if a1 == a2 or b1 == b2 or not most:
             continue
+        if (a2 - a1) * (b2 - b1) <= FEW:
+            spots: dict[str, list[int]] = {}
+            for j in range(b1, b2):
+                spots.setdefault(b[j], []).append(j)
+            n, i, j = longest_of_few(a, a1, a2, spots)
+            if n:
+                found.append((i, j, n))
+                todo += [(a1, i, b1, j, n - 1), (i + n, a2, j + n, b2, n)]
+            continue
+        windows = windows or Windows(a, b)
         length = windows.longest(a1, a2, b1, b2, most)
+        if not length:
+            continue
         ours, theirs = windows.numbers(length, a1, a2, False), windows.numbers(length, b1, b2, True)
         spots = np.flatnonzero(np.isin(ours, theirs))
         order = np.argsort(theirs, kind="stable")
