@@ -60,7 +60,7 @@ NAMES = ("raw", "raw_", "_text", "_html", "id", "node", "copies", "place", "name
 
 
 def test_clashing_names_are_carried(spark):
-    rows = [(i, f"some words of document {i} that say something else each time", "en", f"s{i % 2}", 9) for i in range(6)]
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(12)), "en", f"s{i % 2}", 9) for i in range(6)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id")) for n in NAMES})
     pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("a://b.c/"), F.col("doc_id")).alias("url"), F.lit("<p>x").alias("html"), *NAMES)
     for key, found in (

@@ -6,26 +6,29 @@ taken and put back into text order; their hash is the band's key. Two texts meet
 if they share these shingles in the same order, which happens often for a high edit
 similarity and seldom for texts that share words alone.
 
-Candidates: exact copies (equal words) are one node from the start. In each bucket of
-equal keys all nodes are aligned with the least one. Then the pairs of a bucket that these
-links leave in different components are compared, whatever the bucket's size. Buckets of up
-to SMALL nodes are joined row by row. The texts of larger ones are split by length, as they can be
-linked only within a class of lengths or across neighbouring ones, and dealt into blocks, texts of
-the same buckets together. Blocks that meet in a bucket are held against each other once, unless both are of
-one component: a
-task holds two at a time, rules pairs out that share no key or whose lengths or bags of words allow no
-link, aligns the rest on the spot, skips what its own links have joined, and returns links alone.
-So each pair that shares a key is aligned, ruled out by an exact bound, or in one class already;
-no cap drops a pair. Rows grow with the sizes of buckets, not with their squares; the time of
-alignments grows with the pairs of a bucket that neither its hub nor a bound has settled.
+Candidates: exact copies (equal words) are one node from the start, and a node is a number. Keys and numbers
+are shuffled once; what stays are the buckets of two nodes or more, each with its least node, the hub. Each node is
+first aligned with the least of its hubs, which joins families; then with those of its other hubs that are in
+another component by then. Then the pairs of a bucket that these links leave in different components are compared, whatever the
+bucket's size. Buckets of up to SMALL nodes are joined row by row. For larger ones profiles are compared, not texts: a node's profile is its
+length, its keys, and its bag of words, counted in about as many bins as it has words. Nodes are split by length, as they can be linked only within
+a class of lengths or across neighbouring ones, and dealt into blocks, nodes of the same buckets together. Blocks that meet in a bucket are held
+against each other once, unless both are of one component. A task holds the profiles of two blocks and returns the pairs that share a key and whose
+lengths and bags allow a link; at first one for each node and component, as its link makes the others needless, then all that are left. Texts
+move for these pairs alone. So each pair that shares a key is aligned, ruled out by an exact bound, or in one component already;
+no cap drops a pair.
+
+Growth: a text is read into words once, and aligned as often as there are pairs that no bound rules out. Profiles of a large bucket are copied once for each
+block that theirs meets, which is once for up to BLOCK nodes of like length; beyond, their rows grow with the square of the bucket over BLOCK, and so
+does the time of their comparison over all. Alignments, too, grow with the square of a family whose bags are alike and whose texts are not.
 
 Two nodes are linked if 1 - (edit distance in words) / (words of the longer) is at least
 SIMILARITY; limits of the alignment's band follow from it. Classes are the connected
-components of the links, found by alternating large and small stars.
+components of the links, found by alternating large and small stars over components that are known already.
 
 Recall of a pair is about 1 - (1 - J ** ELL) ** BANDS for the Jaccard index J of their
-shingles, before links by way of third texts: over 0.98 where a tenth of the words is
-edited (J of 0.4), over 0.999 where a twentieth is, and all but certain for J of 0.8.
+shingles, before links by way of third texts. For edits spread at random over a fifth of the words J is about 0.2, and nine pairs of
+ten or more are found (`test_recall_of_spread_edits`); more where edits are fewer or gathered.
 
 Null texts are classes of their own. Texts without a word are copies if they are equal.
 Texts of fewer than K words are near only to copies. Very long texts are sketched and
@@ -48,9 +51,11 @@ from pyspark.sql import functions as F
 from voxloom.llm._spark import checkpoint, map_texts, small, unused
 from voxloom.llm._words import edit_distance, hashes, mixed, shingles, words_of
 
-K, ELL, BANDS, SIMILARITY = 5, 3, 64, 0.8
-#: Buckets up to this size are joined row by row; larger ones are compared in blocks of about BLOCK nodes and BLOCK_WORDS words, by bags of BINS bins.
-SMALL, BLOCK, BLOCK_WORDS, BINS = 16, 256, 500_000, 128
+K, ELL, BANDS, SIMILARITY = 5, 2, 64, 0.8
+#: Buckets up to this size are joined row by row; of larger ones profiles are compared in blocks of about BLOCK nodes and BLOCK_WORDS words.
+SMALL, BLOCK, BLOCK_WORDS = 16, 4096, 4_000_000
+#: Bins of a bag, as powers of two: at least and at most.
+BINS = (6, 12)
 #: The group of blocks that may hold several components.
 MIXED = "-"
 #: Longest to shortest text of a class of lengths: linkable texts lie in one class or in neighbouring ones for any similarity of 1 / LENGTHS or more.
@@ -97,8 +102,15 @@ def sketch(words: np.ndarray) -> np.ndarray:
 
 
 def bag(words: np.ndarray) -> bytes:
-    """How many words fall into each of BINS bins, up to 255."""
-    return np.minimum(np.bincount(words % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+    """How many words fall into each bin, up to 255; the bins are a power of two."""
+    bins = 1 << min(max(len(words).bit_length(), BINS[0]), BINS[1])
+    return np.minimum(np.bincount(words % bins, minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def folded(bags: list[bytes]) -> np.ndarray:
+    """Bags as rows of a table, all with as many bins as the one with the fewest. A word's edit changes no more of them than before."""
+    bins = min(map(len, bags))
+    return np.stack([np.frombuffer(b, np.uint8).reshape(-1, bins).sum(0, dtype=np.uint16) for b in bags])
 
 
 def fewest_edits(own: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -108,18 +120,17 @@ def fewest_edits(own: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """`id`, `node`, `words`, `bag` and `keys` of the rows (`id`, `text`) of `docs`; `node` is null where the text is."""
+    """`id`, `node`, `words` and `keys` of the rows (`id`, `text`) of `docs`; `node` is null where the text is."""
 
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         texts = batch.column("text").to_pylist()
         words = [words_of(t) for t in texts]
         nodes = [None if t is None else fingerprint(t, w) for t, w in zip(texts, words)]
-        hashed = [hashes(w) for w in words]
-        bags, keys = [bag(h) for h in hashed], [sketch(h) for h in hashed]
-        columns = [batch.column("id"), pa.array(nodes, pa.binary()), pa.array([len(w) for w in words], pa.int32()), pa.array(bags, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        return [pa.RecordBatch.from_arrays(columns, names=["id", "node", "words", "bag", "keys"])]
+        keys = [sketch(hashes(w)) for w in words]
+        columns = [batch.column("id"), pa.array(nodes, pa.binary()), pa.array([len(w) for w in words], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+        return [pa.RecordBatch.from_arrays(columns, names=["id", "node", "words", "keys"])]
 
-    return map_texts(docs, "text", run, f"id {dict(docs.dtypes)['id']}, node binary, words int, bag binary, keys array<bigint>")
+    return map_texts(docs, "text", run, f"id {dict(docs.dtypes)['id']}, node binary, words int, keys array<bigint>")
 
 
 def may_match(n: Column, m: Column, similarity: float) -> Column:
@@ -127,10 +138,9 @@ def may_match(n: Column, m: Column, similarity: float) -> Column:
     return F.greatest(n, m) - F.least(n, m) <= F.floor((1 - similarity) * F.greatest(n, m) + 1e-9)
 
 
-def texts_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`node` and `hashed` (the bytes of its words) of the nodes in `wanted`; `nodes` has `node` and the least `id` with its text."""
-    wanted = checkpoint(wanted.join(nodes.select("node", "id"), "node"))
-    ids = small(wanted.select(F.col("id").alias("wanted_id")), BROADCAST_NODES)
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """`nid` and `hashed` (the bytes of its words) of the rows (`nid`, `node`, `id`) of `wanted`."""
+    ids = small(wanted.select(F.col("id").alias("wanted_id")).distinct(), BROADCAST_NODES)
     source = docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
 
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
@@ -139,70 +149,112 @@ def texts_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         columns = [pa.array([fingerprint(t, w) for t, w in zip(texts, words)], pa.binary()), pa.array([hashes(w).tobytes() for w in words], pa.binary())]
         return [pa.RecordBatch.from_arrays(columns, names=["node", "hashed"])]
 
-    texts = map_texts(source, "text", run, "node binary, hashed binary").groupBy("node").agg(F.any_value("hashed").alias("hashed"))
-    return checkpoint(texts.join(wanted.select("node"), "node", "left_semi"))
+    texts = map_texts(source, "text", run, "node binary, hashed binary").join(small(wanted.select("node", "nid"), BROADCAST_NODES), "node")
+    return checkpoint(texts.groupBy("nid").agg(F.any_value("hashed").alias("hashed")))
 
 
 def most_edits(n: int, m: int, similarity: float) -> int:
     return int((1 - similarity) * max(n, m) + 1e-9)
 
 
-def aligned(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (`a`, `b`) whose texts are similar enough, with `distance`."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = texts_of(wanted, docs, nodes)
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("hashed").alias("words_a")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("hashed").alias("words_b")), "b")
+def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (`a`, `b`) whose texts are similar enough, written once."""
+    both = pairs.join(texts.select(F.col("nid").alias("a"), F.col("hashed").alias("words_a")), "a")
+    both = both.join(texts.select(F.col("nid").alias("b"), F.col("hashed").alias("words_b")), "b")
 
     def align(batches):
         for batch in batches:
             found = []
             for x, y in zip(batch.column("words_a"), batch.column("words_b")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-                found.append(edit_distance(x, y, most_edits(len(x), len(y), similarity)))
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.int32())], names=["a", "b", "distance"])
-            yield out.filter(out.column("distance").is_valid())
+                found.append(edit_distance(x, y, most_edits(len(x), len(y), similarity)) is not None)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    return both.select("a", "b", "words_a", "words_b").mapInArrow(align, "a binary, b binary, distance int")
+    return checkpoint(both.select("a", "b", "words_a", "words_b").mapInArrow(align, "a bigint, b bigint"))
 
 
 def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The linked pairs (`a`, `b`, `distance`) that classes need: a pair that shares a key may be missing only where its ends are linked by way of others.
+def forest(links: DataFrame) -> DataFrame:
+    """`node` and `root` of trees whose links lead from each `b` to one lesser `a`, by steps that double."""
+    known = checkpoint(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
+    while True:
+        further = known.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        stepped = checkpoint(known.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        known = stepped.select("node", "root")
+        if stepped.filter("moved").isEmpty():
+            return known
+
+
+def rooted_by(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`roots` (`nid`, `root`) after more links between their nodes."""
+    own = lambda end: roots.select(F.col("nid").alias(end), F.col("root").alias(f"root_{end}"))
+    across = checkpoint(links.join(own("a"), "a").join(own("b"), "b").filter("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    if across.isEmpty():
+        return roots
+    joined = components(across).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+    return checkpoint(roots.join(joined, "root", "left").select("nid", F.coalesce("joined", "root").alias("root")))
+
 
-    `nodes` has `node`, `id`, `words`, `bag` and `keys`. Groups are written before rows are joined with
-    them: both sides of the join are then shuffled for it, and a hot key's rows can be split.
+def classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """`nid` and `root` of the nodes that share a key with another one. Nodes have the same root if links join them.
+
+    `rows` has `rid` and `keys`, `nodes` has `nid` (the `rid` of one of its rows), `node`, `id` and `words`.
     """
-    members = nodes.select("node", "words", F.explode("keys").alias("key"))
-    groups = checkpoint(members.groupBy("key").agg(F.min(F.struct("node", "words")).alias("hub"), F.count("*").alias("n")).filter("n > 1"))
-    members = checkpoint(members.join(groups, "key").select("key", "node", "words", "n", F.col("hub.node").alias("hub"), F.col("hub.words").alias("hub_words")))
+    firsts = rows.join(small(nodes.select("nid"), BROADCAST_NODES), F.col("rid") == F.col("nid"), "left_semi")
+    members = firsts.select(F.col("rid").alias("nid"), "words", F.explode("keys").alias("key"))
+    own = Window.partitionBy("key")
+    members = members.withColumns({"hub": F.min(F.struct("nid", "words")).over(own), "n": F.count("*").over(own)}).filter("n > 1")
+    members = checkpoint(members.select("key", "nid", "words", "n", F.col("hub.nid").alias("hub"), F.col("hub.words").alias("hub_words")))
+    wanted = checkpoint(nodes.join(members.select("nid").distinct(), "nid"))
+    texts = texts_of(wanted, docs)
     near = may_match(F.col("words"), F.col("hub_words"), similarity)
-    to_hub = checkpoint(members.filter((F.col("node") != F.col("hub")) & near).select(*ordered("node", "hub")).distinct())
-    found = checkpoint(aligned(to_hub, docs, nodes, similarity))
-    rooted = checkpoint(members.filter("n > 2").select("key", "node", "words", "n", "hub").join(joined_by(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    parted = checkpoint(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"))
-    rooted = checkpoint(rooted.join(parted, "key", "left_semi"))
-    pairs = pairs_within(rooted.filter(F.col("n") <= SMALL), similarity).distinct()
-    pairs = checkpoint(pairs.join(to_hub, ["a", "b"], "left_anti"))
-    found = found if pairs.isEmpty() else found.union(checkpoint(aligned(pairs, docs, nodes, similarity)))
+    to_hub = checkpoint(members.filter((F.col("nid") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct())
+    first = checkpoint(to_hub.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    trees = forest(aligned(first, texts, similarity)).withColumnRenamed("node", "nid")
+    roots = checkpoint(wanted.select("nid").join(trees, "nid", "left").select("nid", F.coalesce("root", "nid").alias("root")))
+    rest = apart(to_hub.join(first, ["a", "b"], "left_anti"), roots)
+    roots = rooted_by(roots, aligned(rest, texts, similarity))
+    large, pairs = parted(members, roots, similarity)
+    more = aligned(pairs.join(to_hub, ["a", "b"], "left_anti"), texts, similarity)
+    if large.isEmpty():
+        return rooted_by(roots, more)
     if similarity < 1 / LENGTHS:
         raise ValueError(f"similarities under {1 / LENGTHS} are not supported")
-    large = rooted.filter(F.col("n") > SMALL).select("key", "node", "root", "words", "n", "hub")
-    return found if large.isEmpty() else found.union(checkpoint(links_in_blocks(large, docs, nodes, similarity)))
+    profiles = profiled(large, rows, texts)
+    some = checkpoint(pairs_in_blocks(large, profiles, similarity, True).join(to_hub, ["a", "b"], "left_anti"))
+    roots = rooted_by(roots, more.union(aligned(some, texts, similarity)))
+    large, _ = parted(members.filter(F.col("n") > SMALL), roots, similarity)
+    left = pairs_in_blocks(large, profiles, similarity, False).join(to_hub.union(some), ["a", "b"], "left_anti")
+    return rooted_by(roots, aligned(checkpoint(left), texts, similarity))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes have different roots."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("nid").alias(end), F.col("root").alias(f"root_{end}")), end)
+    return checkpoint(pairs.filter("root_a != root_b").select("a", "b"))
+
+
+def parted(members: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of the buckets that hold several roots: the rows of large ones, and the pairs of small ones that have different roots and lengths that allow a link."""
+    rooted = checkpoint(members.filter("n > 2").select("key", "nid", "words", "n", "hub").join(roots, "nid"))
+    several = checkpoint(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"))
+    rooted = checkpoint(rooted.join(several, "key", "left_semi"))
+    return rooted.filter(F.col("n") > SMALL), checkpoint(pairs_within(rooted.filter(F.col("n") <= SMALL), similarity).distinct())
 
 
 def pairs_within(rooted: DataFrame, similarity: float) -> DataFrame:
     """The pairs of rows with the same key and other roots, if their lengths allow a link."""
-    others = rooted.select("key", F.col("node").alias("x"), F.col("words").alias("x_words"), F.col("root").alias("x_root"))
-    fits = (F.col("x") < F.col("node")) & (F.col("x_root") != F.col("root")) & may_match(F.col("x_words"), F.col("words"), similarity)
-    return rooted.join(others, "key").filter(fits).select(F.col("x").alias("a"), F.col("node").alias("b"))
+    others = rooted.select("key", F.col("nid").alias("x"), F.col("words").alias("x_words"), F.col("root").alias("x_root"))
+    fits = (F.col("x") < F.col("nid")) & (F.col("x_root") != F.col("root")) & may_match(F.col("x_words"), F.col("words"), similarity)
+    return rooted.join(others, "key").filter(fits).select(F.col("x").alias("a"), F.col("nid").alias("b"))
 
 
 def dealt(large: DataFrame) -> DataFrame:
-    """The rows of each cell (`low`, `high`): `node`, and `upper` for those of the second of its two blocks. A cell is a pair of blocks that meet in a bucket.
+    """The rows of each cell (`low`, `high`): `nid`, and `upper` for those of the second of its two blocks. A cell is a pair of blocks that meet in a bucket.
 
     Texts with the same home, the least text of all their buckets, are dealt together, so that texts that share many buckets
     come into the same few blocks. They are dealt by their class of lengths, which spans a factor of LENGTHS, and blocks meet only
@@ -211,35 +263,51 @@ def dealt(large: DataFrame) -> DataFrame:
     share no key are told apart by their keys inside the cell.
     """
     large = large.withColumn("size", F.floor(F.log(F.greatest(F.col("words"), F.lit(1)).cast("double")) / math.log(LENGTHS)).cast("long"))
-    texts = checkpoint(large.groupBy("node", "root", "words", "size").agg(F.min("hub").alias("home")))
+    texts = checkpoint(large.groupBy("nid", "root", "words", "size").agg(F.min("hub").alias("home")))
     alike = texts.groupBy("home", "size", "root").agg(F.count("*").alias("rows")).filter(F.col("rows") >= BLOCK // 2).select("home", "size", "root", F.hex("root").alias("group"))
     texts = texts.join(alike, ["home", "size", "root"], "left").withColumn("group", F.coalesce("group", F.lit(MIXED)))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("words") / BLOCK_WORDS))
     texts = texts.join(texts.groupBy("home", "size", "group").agg(blocks.alias("blocks")), ["home", "size", "group"])
-    texts = checkpoint(texts.select("node", "group", F.xxhash64("home", "size", "group", F.pmod(F.xxhash64("node"), "blocks")).alias("label")))
-    rows = checkpoint(large.join(texts, "node").select("key", "n", "size", "node", "group", "label"))
+    texts = checkpoint(texts.select("nid", "group", F.xxhash64("home", "size", "group", F.pmod(F.xxhash64("nid"), "blocks")).alias("label")))
+    rows = checkpoint(large.join(texts, "nid").select("key", "n", "size", "nid", "group", "label"))
     many = rows.groupBy("key").agg(F.approx_count_distinct("label").alias("labels"))
     many = checkpoint(many.join(large.groupBy("key").agg(F.max("n").alias("n")), "key").filter(F.col("labels") > 64 + 8 * F.col("n") / BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     rows = rows.join(many, "key", "left")
     apart = F.col("blocks").isNotNull()
-    own = F.xxhash64("key", "size", F.pmod(F.xxhash64("node"), "blocks"))
-    rows = checkpoint(rows.select("key", "size", "node", F.when(apart, F.lit(MIXED)).otherwise(F.col("group")).alias("group"), F.when(apart, own).otherwise(F.col("label")).alias("label")))
+    own = F.xxhash64("key", "size", F.pmod(F.xxhash64("nid"), "blocks"))
+    rows = checkpoint(rows.select("key", "size", "nid", F.when(apart, F.lit(MIXED)).otherwise(F.col("group")).alias("group"), F.when(apart, own).otherwise(F.col("label")).alias("label")))
     meet = checkpoint(rows.select("key", "size", "group", "label").distinct())
     both = meet.toDF("key", "low_size", "low_group", "low").join(meet.toDF("key", "high_size", "high_group", "high"), "key")
     useful = (F.col("low") <= F.col("high")) & (F.abs(F.col("low_size") - F.col("high_size")) <= 1) & ((F.col("low_group") != F.col("high_group")) | (F.col("low_group") == F.lit(MIXED)))
     cells = checkpoint(both.filter(useful).select("low", "high").distinct())
-    members = checkpoint(rows.select("node", "label").distinct())
-    first = members.join(cells, F.col("label") == F.col("low")).select("low", "high", F.lit(False).alias("upper"), "node")
-    second = members.join(cells.filter("low < high"), F.col("label") == F.col("high")).select("low", "high", F.lit(True).alias("upper"), "node")
+    members = checkpoint(rows.select("nid", "label").distinct())
+    first = members.join(cells, F.col("label") == F.col("low")).select("low", "high", F.lit(False).alias("upper"), "nid")
+    second = members.join(cells.filter("low < high"), F.col("label") == F.col("high")).select("low", "high", F.lit(True).alias("upper"), "nid")
     return first.union(second)
 
 
-def links_in_blocks(large: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The links that join components inside large buckets; `large` has `key`, `node`, `root`, `words`, `n` and `hub`."""
-    roots = checkpoint(large.select("node", "root").distinct())
-    own = nodes.select("node", "bag", "keys").join(small(roots, BROADCAST_NODES), "node")
-    own = checkpoint(own.join(texts_of(own.select("node"), docs, nodes), "node"))
-    rows = dealt(large).join(own, "node").repartition("low", "high").sortWithinPartitions("low", "high")
+def profiled(large: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """`nid`, `size`, `bag` and `keys` (32 bits of each) of the nodes in `large`."""
+    nids = checkpoint(large.select("nid").distinct())
+    own = rows.join(small(nids, BROADCAST_NODES), F.col("rid") == F.col("nid")).select("nid", "keys").join(texts, "nid")
+
+    def run(batches):
+        for batch in batches:
+            hashed = [np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column("hashed")]
+            keys = [np.array(k, np.int64).astype(np.uint32).tobytes() for k in batch.column("keys").to_pylist()]
+            columns = [batch.column("nid"), pa.array([len(h) for h in hashed], pa.int32()), pa.array([bag(h) for h in hashed], pa.binary()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["nid", "size", "bag", "keys"])
+
+    return checkpoint(own.select("nid", "keys", "hashed").mapInArrow(run, "nid bigint, size int, bag binary, keys binary"))
+
+
+def pairs_in_blocks(large: DataFrame, profiles: DataFrame, similarity: float, first: bool) -> DataFrame:
+    """The pairs (`a`, `b`) of large buckets that share a key, have different roots, and that lengths and bags allow to be linked; `large` has `key`, `nid`, `root`, `words`, `n` and `hub`.
+
+    With `first`, one pair for each node and other root in a cell.
+    """
+    own = profiles.join(large.select("nid", "root").distinct(), "nid")
+    rows = dealt(large).join(own, "nid").repartition("low", "high").sortWithinPartitions("low", "high")
 
     def run(batches):
         cell, held = None, []
@@ -249,53 +317,49 @@ def links_in_blocks(large: DataFrame, docs: DataFrame, nodes: DataFrame, similar
             for i in range(1, len(names) + 1):
                 if i == len(names) or names[i] != names[start]:
                     if cell is not None and names[start] != cell:
-                        yield from links_of(held, cell[0] == cell[1], similarity)
+                        yield from pairs_of(held, cell[0] == cell[1], similarity, first)
                         held = []
                     cell = names[start]
                     held.append(batch.slice(start, i - start))
                     start = i
         if held:
-            yield from links_of(held, cell[0] == cell[1], similarity)
+            yield from pairs_of(held, cell[0] == cell[1], similarity, first)
 
-    return rows.select("low", "high", "upper", "node", "root", "bag", "keys", "hashed").mapInArrow(run, "a binary, b binary, distance int")
+    return rows.select("low", "high", "upper", "nid", "root", "size", "bag", "keys").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def links_of(held: list[pa.RecordBatch], single: bool, similarity: float) -> Iterator[pa.RecordBatch]:
-    """The links of a cell: inside its only block, or between its two. Links that its other links make needless are left out."""
+def pairs_of(held: list[pa.RecordBatch], single: bool, similarity: float, first: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of a cell: inside its only block, or between its two."""
     table = pa.Table.from_batches(held)
-    nodes, upper = table.column("node").to_pylist(), np.array(table.column("upper").to_pylist(), bool)
-    _, group = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)
-    bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)
-    keys = np.array(table.column("keys").to_pylist(), np.int64)
-    texts = [np.frombuffer(t, np.uint32) for t in table.column("hashed").to_pylist()]
-    size = np.array([len(t) for t in texts])
-    first, second = (np.arange(len(nodes)),) * 2 if single else (np.flatnonzero(~upper), np.flatnonzero(upper))
-    found: list[tuple[bytes, bytes, int]] = []
-    for place, i in enumerate(first):
-        spot = second[place + 1 :] if single else second
-        spot = spot[group[spot] != group[i]]
+    table = table.take(np.argsort(table.column("size").to_numpy(), kind="stable"))
+    nids, roots, size = (table.column(c).to_numpy().astype(np.int64) for c in ("nid", "root", "size"))
+    upper = table.column("upper").to_numpy(zero_copy_only=False)
+    bags = folded(table.column("bag").to_pylist())
+    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32).reshape(len(nids), -1)
+    ours, theirs = (np.arange(len(nids)),) * 2 if single else (np.flatnonzero(~upper), np.flatnonzero(upper))
+    theirs_size = size[theirs]
+    found: list[np.ndarray] = []
+    for place, i in enumerate(ours):
+        low, high = np.searchsorted(theirs_size, [size[i] * similarity - 1, size[i] / similarity + 1])
+        spot = theirs[max(low, place + 1) if single else low : high]
+        spot = spot[roots[spot] != roots[i]]
         limit = np.floor((1 - similarity) * np.maximum(size[i], size[spot]) + 1e-9)
-        fits = (np.abs(size[i] - size[spot]) <= limit) & (fewest_edits(bags[i], bags[spot]) <= limit)
-        spot = spot[fits]
+        spot = spot[np.abs(size[i] - size[spot]) <= limit]
         spot = spot[(keys[spot] == keys[i]).any(1)]
-        for j in spot.tolist():
-            if group[i] != group[j] and (d := edit_distance(texts[i], texts[j], most_edits(size[i], size[j], similarity))) is not None:
-                found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), d))
-                group[group == group[j]] = group[i]
+        limit = np.floor((1 - similarity) * np.maximum(size[i], size[spot]) + 1e-9)
+        spot = spot[fewest_edits(bags[i], bags[spot]) <= limit]
+        if first:
+            spot = spot[np.unique(roots[spot], return_index=True)[1]]
+        if len(spot):
+            found.append(np.stack([np.minimum(nids[i], nids[spot]), np.maximum(nids[i], nids[spot])]))
     if found:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "distance"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, 1)], names=["a", "b"])
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
 
 
-def joined_by(edges: DataFrame) -> DataFrame:
-    """`node` and `root` for all nodes of the pairs (`a`, `b`): the least neighbour of the least neighbour, or itself. Nodes with one root are in one component, those with two may be."""
-    least = checkpoint(both_ways(edges).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-    return least.toDF("node", "m").join(least.toDF("m", "root"), "m").select("node", "root")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """`node` and `root`, the least node of its component, for all nodes of the pairs (`a`, `b`), by large and small stars in turn until all are stars.
 
@@ -318,14 +382,11 @@ def components(edges: DataFrame) -> DataFrame:
 def classified(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The rows (`id`, `node`), and for each node its least `id`, `root` and `class_id`."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = checkpoint(sketched(docs))
-    nodes = checkpoint(
-        rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.max("words").alias("words"), F.any_value("bag").alias("bag"), F.any_value("keys").alias("keys"))
-    )
-    roots = components(links(docs, nodes, similarity))
-    classed = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = checkpoint(sketched(docs).withColumn("rid", F.monotonically_increasing_id()))
+    nodes = checkpoint(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("rid").alias("nid"), F.min("id").alias("id"), F.max("words").alias("words")))
+    classed = nodes.select("node", "nid", "id").join(classes(docs, rows, nodes, similarity), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = classed.groupBy("root").agg(F.min("id").alias("class_id"))
-    return rows.select("id", "node"), classed.join(least, "root")
+    return rows.select("id", "node"), classed.join(least, "root").select("node", "id", "root", "class_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
