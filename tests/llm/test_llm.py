@@ -244,6 +244,12 @@ def test_random_strings_with_separators():
     encoder = secret_scan.encoder_of(secret_scan.read_vocabulary(secret_scan.VOCABULARY))
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     spans = lambda t: [t[a:b] for a, b, k in secret_scan.spans_of(t, encoder) if k == "random"]
+    digest_, random_ = hashlib.md5(b"x").hexdigest(), "qX7Zr4Kp9vTb2Lm8Wc5Hd3JnGs"
+    for mark in "/-_+=":
+        assert spans(f"{digest_}{mark}{random_} end") == [mark + random_] or spans(f"{digest_}{mark}{random_} end") == [random_]
+        assert random_ in "".join(spans(f"see {random_}{mark}{digest_}{mark}{random_} end"))
+    assert spans(f"{digest_}/{digest_}") == [] and spans(f"token={random_}") == [] and spans(f"{digest_}/short1X") == []
+    assert spans(f"token={random_[:8]}:{random_}") == [random_]
     for secret in ("qX7Zr4Kp-9vTb2Lm8-Wc5Hd3Jn", "aB3dE9fGh2KlQz_Rm2mN8pQrXw-St5uVyZk3"):
         assert spans(f"see {secret} now") == [secret]
     for chars, size in ((letters + "0123456789-_", 20), (letters + "0123456789-_", 32), (letters + "0123456789+/", 24), (letters, 24)):

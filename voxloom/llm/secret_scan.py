@@ -10,7 +10,7 @@ to the tasks as a broadcast of its bytes, whose size is bounded.
 
 Null and empty texts have no spans. Runs of any length are judged whole. Repeated rows
 and ids all stay. Spans are in code points, the end exclusive; spans of the patterns stay
-as they are, and a random string inside one of them is not told again.
+as they are, and a random string inside one of them is not told again; what they leave of a run is judged like a run.
 """
 
 from __future__ import annotations
@@ -75,11 +75,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def runs(text: str) -> Iterator[tuple[int, int]]:
-    """Maximal runs of MIN_RUN characters or more that hold a letter."""
+def runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Maximal runs of MIN_RUN characters or more that hold a letter, of what the sorted spans in `taken` leave of a text."""
+    first = 0
     for m in RUN.finditer(text):
-        if m.end() - m.start() >= MIN_RUN and any(c.isalpha() for c in m[0]):
-            yield m.span()
+        at, end = m.span()
+        while first < len(taken) and taken[first][1] <= at:
+            first += 1
+        own, place = [], first
+        while place < len(taken) and taken[place][0] < end:
+            own.append((at, taken[place][0]))
+            at = max(at, taken[place][1])
+            place += 1
+        for a, b in (*own, (at, end)):
+            if b - a >= MIN_RUN and any(c.isalpha() for c in text[a:b]):
+                yield a, b
 
 
 def is_known(run: str) -> bool:
@@ -124,10 +134,9 @@ def spans_of(text: str | None, encoder: tiktoken.Encoding) -> list[tuple[int, in
     if not text:
         return []
     found = base_spans(text)
-    ends = [(a, b) for a, b, _ in found]
-    for a, b in runs(text):
-        if not any(x < b and a < y for x, y in ends):
-            found += [(a + x, a + y, "random") for x, y in random_spans(text[a:b], encoder)]
+    taken = sorted((a, b) for a, b, _ in found)
+    for a, b in runs(text, taken):
+        found += [(a + x, a + y, "random") for x, y in random_spans(text[a:b], encoder)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
