@@ -50,6 +50,9 @@ VOTES = f"""with {v.MANIFEST}, {v.HYP}, votes as (select m.*, array_to_string(a,
   when array_to_string(a, ' ') = '' then 'zip_empty' when array_to_string(b, ' ') = '' then 'gip_empty' when array_to_string(a, ' ') = array_to_string(b, ' ') then 'exact' else 'mismatch' end decision_reason from hyp join manifest m using (doc_id))"""
 
 
+NUMBERED_VOTES = VOTES.replace(v.HYP, v.NUMBERED_HYP)
+
+
 @query(f"{VOTES} select dataset, split, grouping(dataset, split)::int as level, count(*) as rows, count(*) filter (decision_reason = 'exact') accepted, round(sum(duration_sec) / 3600, 6) as hours, round(coalesce(sum(duration_sec) filter (decision_reason = 'exact'), 0) / 3600, 6) accepted_hours from votes group by rollup (dataset, split)")
 def hours_and_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: votes, one row for each path, then rows and hours in all, by dataset, and by split."""
@@ -87,6 +90,14 @@ def longest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.longest_rejects(_votes(spark, sf_dir).select("doc_id", "denoised_path", "duration_sec", "accepted", "decision_reason"), 20, "mismatch").select("doc_id", "denoised_path", "duration_sec")
 
 
+@query(f"""{NUMBERED_VOTES}, worst as (select v.doc_id, a, b, edits, changed, row_number() over (order by duration_sec desc, audio_path) num from votes v join hyp using (doc_id) where decision_reason = 'mismatch' qualify num <= 20)
+  select num::int "case", doc_id, round(2.0 * (len(a) - case when doc_id % 4 = 1 then changed else edits end) / (len(a) + len(b)), 6) token_ratio, len(a)::int words_a, len(b)::int words_b, edits > 0 differs from worst""")
+def reject_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of the longest rejected rows; the words of each report's head are counted by its lines."""
+    found = vt.reject_reports(_votes(spark, sf_dir, numbered=True), 20, "mismatch")
+    return found.select("case", "doc_id", F.round("token_ratio", 6).alias("token_ratio"), "words_a", "words_b", (F.size("diff_ops") > 0).alias("differs"))
+
+
 @query(f"with {v.MANIFEST} select dataset, split, grouping(dataset, split)::int as level, count(*) as rows, count(*) unique_rows, 0 duplicates, count(*) filter (duration_sec <= 0) bad, round(sum(greatest(duration_sec, 0)) / 3600, 6) as hours from manifest group by rollup (dataset, split)")
 def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ac.hours(v.manifest(spark, sf_dir))
@@ -244,7 +255,14 @@ def pad_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.pad_clamp(rows.join(total, "src"), 5.0, "total").select("src", F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"))
 
 
-@query()
+@query(f"""with {v.FRAMES}, gaps as (select src, frame_idx, case when frame_idx - lag(frame_idx) over (partition by src order by frame_idx) <= 60 then 0 else 1 end fresh from frames where is_speech),
+  islands as (select *, sum(fresh) over (partition by src order by frame_idx rows unbounded preceding) island from gaps),
+  raw as (select src, min(frame_idx) * 60::double a, (max(frame_idx) + 1) * 60::double b from islands group by src, island),
+  padded as (select src, greatest(0.0::double, a - 0.1::double) a, b + 0.1::double b from raw),
+  parts as (select b - a > 20 is_long, a + i * 20 a, least(b, a + (i + 1) * 20) b from padded, unnest(range(0, ceil((b - a) / 20)::int)) u(i)),
+  stages as (select 0 place, 'raw' stage, b - a sec from raw union all select 1, 'merged', b - a from raw union all select 2, 'padded', b - a from padded union all select 3, 'packed', b - a from padded union all select 4, 'kept', b - a from padded
+    union all select 5, 'final', b - a from parts where not is_long or b - a >= 1)
+  select place, stage, count(*) regions, round(sum(sec), 6) as seconds from stages group by all""")
 def segment_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     final, stages = iv.segment_source(v.frames(spark, sf_dir), 3_600_000, hop=60, rate=1)
     return ac.segmentation_stats(stages)
@@ -361,9 +379,6 @@ def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.hyp(spark, sf_dir).select("doc_id", align.edit_distance("a", "b").alias("distance"))
 
 
-NUMBERED_VOTES = VOTES.replace(v.HYP, v.NUMBERED_HYP)
-
-
 def _cached_votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Votes over words that differ by their places, and the first recognizer's pieces: words, a quarter of a second apart."""
     votes = checkpoint(_votes(spark, sf_dir, numbered=True).select("doc_id", "a", "gipformer_text", "denoised_path", "duration_sec", "accepted"))
@@ -398,7 +413,7 @@ def arrival_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cu.arrival_slots(v.turns(spark, sf_dir), 2, "meeting")
 
 
-@query()
+@query(f"""with {v.TURNS}, {v.CRC_TABLE}, sized as (select meeting, least(3, count(distinct speaker)) n from turns group by 1) select meeting, (({v.CRC.format("meeting::varchar")} + 1) % n)::int target_slot from sized, crc_table""")
 def target_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cu.target_slot(cu.arrival_slots(v.turns(spark, sf_dir), 3, "meeting"), 1, key="meeting")
 
@@ -679,7 +694,15 @@ def anchor_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.anchor_compose(v.manifest(spark, sf_dir).select("utt_id", "dataset", "speaker_id"), "src0", 3)
 
 
-@query()
+@query(f"""with recursive {v.FRAMES}, numbered as (select src, frame_idx, is_speech sp, row_number() over (partition by src order by frame_idx) k from frames),
+  fold as (select src, k, frame_idx "at", case when sp then frame_idx else -1 end st, case when sp then 1 else 0 end held, 0 quiet, null::bigint a, null::bigint n from numbered where k = 1 union all
+    select src, k, "at", case when shut then -1 when cut then "at" when st < 0 and sp then "at" else st end, case when shut or cut then 0 when st < 0 then sp::int else held end, case when shut or st < 0 then 0 else quiet end,
+      case when shut or cut then st end, case when shut then held - quiet when cut then held end from
+      (select *, st >= 0 and sp and held >= 60 cut, st >= 0 and not sp and quiet >= 10 shut from
+        (select f.src, m.k, f."at" + 1 "at", f.st, f.held + 1 held, case when m.sp then 0 else f.quiet + 1 end quiet, m.sp from fold f join numbered m on m.src = f.src and m.k = f.k + 1))),
+  ends as (select src, st a, held - quiet n from (select *, row_number() over (partition by src order by k desc) last from fold) where last = 1 and st >= 0),
+  found as (select src, a, n from fold where n >= 1 union all select src, a, n from ends where n >= 1)
+  select src::varchar src, a start_frame, n::bigint frames, greatest(0.0::double, a * 60.0::double - 30) start_sec, (a + n) * 60.0::double + 30 end_sec from found""")
 def stream_segments_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table form of the stateful segmenter, a frame a minute."""
     from voxloom.streaming import jobs

@@ -104,6 +104,9 @@ NUMBERED_HYP = HYP.replace("lambda w: w <> '') a from documents)", "lambda w: w
 UPPERED = f"""upper_words as (select doc_id, source, list_filter(string_split(trim({_words.format('text')}), ' '), lambda w: w <> '') w from documents),
 top_words as (select upper(replace(w, 'ß', 'ss')) w, count(*) n from (select unnest(w) w from upper_words) group by 1),
 vocab as (select token, row_number() over (order by token) - 1 id from (select '▁' || w token from (select w from top_words order by n desc, w limit 500) union select unnest(string_split(w, '')) from top_words union select unnest(['▁', '<blk>', '<unk>'])) where token <> '')"""
+#: crc32 of a short text of ASCII: a fold over its bytes with the usual table.
+CRC_TABLE = "crc_table as materialized (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) crcs)"
+CRC = "xor(list_reduce(list_transform(string_split({0}, ''), lambda c: unicode(c)::bigint), lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
 REGIONS = "regions as (select user_id src, epoch_us(ts) / 1e6 start_sec, epoch_us(ts) / 1e6 + value end_sec, event_type speaker from events)"
 FRAMES = "frames as (select user_id src, floor(epoch_us(ts) / 1e6 / 60)::bigint frame_idx, max(event_type <> 'error') is_speech from events group by all)"
 TOKENS = "(case when trim({w}) = '' then []::varchar[] else string_split(trim({w}), ' ') end)".replace("{w}", "regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_À-ỹ]+', ' ', 'g')")
