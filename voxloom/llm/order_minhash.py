@@ -24,7 +24,7 @@ does the time of their comparison over all. Alignments, too, grow with the squar
 
 Two nodes are linked if 1 - (edit distance in words) / (words of the longer) is at least
 SIMILARITY; limits of the alignment's band follow from it. Classes are the connected
-components of the links, found by alternating large and small stars over components that are known already.
+components of the links: each root goes to the least one it is linked with, again and again.
 
 Recall of a pair is about 1 - (1 - J ** ELL) ** BANDS for the Jaccard index J of their
 shingles, before links by way of third texts. For edits spread at random over a fifth of the words J is about 0.2, and nine pairs of
@@ -42,6 +42,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,8 @@ SMALL, BLOCK, BLOCK_WORDS = 16, 4096, 4_000_000
 BINS = (6, 12)
 #: The group of blocks that may hold several components.
 MIXED = "-"
+#: The class of a block that holds texts of all lengths.
+ANY = -1
 #: Longest to shortest text of a class of lengths: linkable texts lie in one class or in neighbouring ones for any similarity of 1 / LENGTHS or more.
 LENGTHS = 1.25
 #: Nodes in pairs up to which their ids are broadcast to pick their texts: some 150 MB at most.
@@ -65,6 +68,9 @@ BROADCAST_NODES = 2_000_000
 #: Values that a task holds while it orders shingles.
 HELD = 4_000_000
 
+#: Rows of a partition of tables about nodes.
+PART_ROWS = 20_000
+
 _rng = np.random.default_rng(20190731)
 MULTIPLIERS = _rng.integers(1, 2**63, BANDS, np.uint64) | np.uint64(1)
 SHIFTS = _rng.integers(0, 2**63, BANDS, np.uint64)
@@ -107,9 +113,8 @@ def bag(words: np.ndarray) -> bytes:
     return np.minimum(np.bincount(words % bins, minlength=bins), 255).astype(np.uint8).tobytes()
 
 
-def folded(bags: list[bytes]) -> np.ndarray:
-    """Bags as rows of a table, all with as many bins as the one with the fewest. A word's edit changes no more of them than before."""
-    bins = min(map(len, bags))
+def folded(bags: list[bytes], bins: int) -> np.ndarray:
+    """Bags as rows of a table with fewer bins. A word's edit changes no more of them than before."""
     return np.stack([np.frombuffer(b, np.uint8).reshape(-1, bins).sum(0, dtype=np.uint16) for b in bags])
 
 
@@ -138,9 +143,9 @@ def may_match(n: Column, m: Column, similarity: float) -> Column:
     return F.greatest(n, m) - F.least(n, m) <= F.floor((1 - similarity) * F.greatest(n, m) + 1e-9)
 
 
-def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+def texts_of(wanted: DataFrame, docs: DataFrame, scale: Scale) -> DataFrame:
     """`nid` and `hashed` (the bytes of its words) of the rows (`nid`, `node`, `id`) of `wanted`."""
-    ids = small(wanted.select(F.col("id").alias("wanted_id")).distinct(), BROADCAST_NODES)
+    ids = scale.look(wanted.select(F.col("id").alias("wanted_id")))
     source = docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
 
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
@@ -149,7 +154,7 @@ def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
         columns = [pa.array([fingerprint(t, w) for t, w in zip(texts, words)], pa.binary()), pa.array([hashes(w).tobytes() for w in words], pa.binary())]
         return [pa.RecordBatch.from_arrays(columns, names=["node", "hashed"])]
 
-    texts = map_texts(source, "text", run, "node binary, hashed binary").join(small(wanted.select("node", "nid"), BROADCAST_NODES), "node")
+    texts = map_texts(source, "text", run, "node binary, hashed binary").join(scale.look(wanted.select("node", "nid")), "node")
     return checkpoint(texts.groupBy("nid").agg(F.any_value("hashed").alias("hashed")))
 
 
@@ -177,25 +182,49 @@ def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def forest(links: DataFrame) -> DataFrame:
-    """`node` and `root` of trees whose links lead from each `b` to one lesser `a`, by steps that double."""
-    known = checkpoint(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
+@dataclass(frozen=True)
+class Scale:
+    """How tables of at most `rows` rows are joined and held: looked up in a broadcast copy where that is small enough, in partitions of PART_ROWS rows at most."""
+
+    rows: int
+
+    def look(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.rows <= BROADCAST_NODES else df
+
+    def pack(self, df: DataFrame) -> DataFrame:
+        """`df`, written, in no more partitions than its rows need."""
+        return checkpoint(df.coalesce(max(1, -(-self.rows // PART_ROWS))))
+
+
+def forest(parents: DataFrame, scale: Scale) -> DataFrame:
+    """`node` and `root` of trees whose links lead from each `node` to one lesser `parent`, by steps that double."""
+    known = scale.pack(parents.select("node", F.col("parent").alias("root")))
     while True:
         further = known.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        stepped = checkpoint(known.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        stepped = scale.pack(known.join(scale.look(further), "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         known = stepped.select("node", "root")
         if stepped.filter("moved").isEmpty():
             return known
 
 
-def rooted_by(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """`roots` (`nid`, `root`) after more links between their nodes."""
-    own = lambda end: roots.select(F.col("nid").alias(end), F.col("root").alias(f"root_{end}"))
-    across = checkpoint(links.join(own("a"), "a").join(own("b"), "b").filter("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    if across.isEmpty():
-        return roots
-    joined = components(across).select(F.col("node").alias("root"), F.col("root").alias("joined"))
-    return checkpoint(roots.join(joined, "root", "left").select("nid", F.coalesce("joined", "root").alias("root")))
+def rooted_by(roots: DataFrame, links: DataFrame, scale: Scale) -> DataFrame:
+    """`roots` (`nid`, `root`) after more links between their nodes.
+
+    Links are led to the roots of their ends. Each root goes to the least one that it is linked with, which makes trees; their roots take
+    the place of all in them, at most half as many as before, until no link joins two.
+    """
+    own = lambda end: scale.look(roots.select(F.col("nid").alias(end), F.col("root").alias(f"root_{end}")))
+    edges = links.select("a", "b").join(own("a"), "a").join(own("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    while True:
+        edges = checkpoint(edges.filter("a != b"))
+        if edges.isEmpty():
+            return roots
+        parents = both_ways(edges).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("parent")).filter("parent < node")
+        trees = forest(parents, scale)
+        moved = lambda end: scale.look(trees.select(F.col("node").alias(end), F.col("root").alias("to")))  # noqa: B023, E731
+        roots = scale.pack(roots.join(moved("root"), "root", "left").select("nid", F.coalesce("to", "root").alias("root")))
+        edges = edges.join(moved("a"), "a", "left").select(F.coalesce("to", "a").alias("a"), "b")
+        edges = edges.join(moved("b"), "b", "left").select("a", F.coalesce("to", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -203,46 +232,49 @@ def classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: floa
 
     `rows` has `rid` and `keys`, `nodes` has `nid` (the `rid` of one of its rows), `node`, `id` and `words`.
     """
-    firsts = rows.join(small(nodes.select("nid"), BROADCAST_NODES), F.col("rid") == F.col("nid"), "left_semi")
+    scale = Scale(nodes.count())
+    firsts = rows.join(scale.look(nodes.select("nid")), F.col("rid") == F.col("nid"), "left_semi")
     members = firsts.select(F.col("rid").alias("nid"), "words", F.explode("keys").alias("key"))
     own = Window.partitionBy("key")
     members = members.withColumns({"hub": F.min(F.struct("nid", "words")).over(own), "n": F.count("*").over(own)}).filter("n > 1")
     members = checkpoint(members.select("key", "nid", "words", "n", F.col("hub.nid").alias("hub"), F.col("hub.words").alias("hub_words")))
-    wanted = checkpoint(nodes.join(members.select("nid").distinct(), "nid"))
-    texts = texts_of(wanted, docs)
+    wanted = scale.pack(nodes.join(scale.look(members.select("nid").distinct()), "nid", "left_semi"))
+    texts = texts_of(wanted, docs, scale)
     near = may_match(F.col("words"), F.col("hub_words"), similarity)
     to_hub = checkpoint(members.filter((F.col("nid") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct())
-    first = checkpoint(to_hub.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    trees = forest(aligned(first, texts, similarity)).withColumnRenamed("node", "nid")
-    roots = checkpoint(wanted.select("nid").join(trees, "nid", "left").select("nid", F.coalesce("root", "nid").alias("root")))
-    rest = apart(to_hub.join(first, ["a", "b"], "left_anti"), roots)
-    roots = rooted_by(roots, aligned(rest, texts, similarity))
-    large, pairs = parted(members, roots, similarity)
+    first = scale.pack(to_hub.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    trees = forest(aligned(first, texts, similarity).select(F.col("b").alias("node"), F.col("a").alias("parent")), scale)
+    roots = scale.pack(wanted.select("nid").join(scale.look(trees), F.col("nid") == F.col("node"), "left").select("nid", F.coalesce("root", "nid").alias("root")))
+    tried = scale.look(first.select("b", F.col("a").alias("tried")))
+    rest = apart(to_hub.join(tried, "b", "left").filter("tried is null or tried != a").select("a", "b"), roots, scale)
+    roots = rooted_by(roots, aligned(rest, texts, similarity), scale)
+    large, pairs = parted(members, roots, similarity, scale)
     more = aligned(pairs.join(to_hub, ["a", "b"], "left_anti"), texts, similarity)
-    if large.isEmpty():
-        return rooted_by(roots, more)
+    many = large.count()
+    if not many:
+        return rooted_by(roots, more, scale)
     if similarity < 1 / LENGTHS:
         raise ValueError(f"similarities under {1 / LENGTHS} are not supported")
-    profiles = profiled(large, rows, texts)
-    some = checkpoint(pairs_in_blocks(large, profiles, similarity, True).join(to_hub, ["a", "b"], "left_anti"))
-    roots = rooted_by(roots, more.union(aligned(some, texts, similarity)))
-    large, _ = parted(members.filter(F.col("n") > SMALL), roots, similarity)
-    left = pairs_in_blocks(large, profiles, similarity, False).join(to_hub.union(some), ["a", "b"], "left_anti")
-    return rooted_by(roots, aligned(checkpoint(left), texts, similarity))
+    profiles = profiled(large, rows, texts, scale)
+    dealt_out = checkpoint(dealt(large, Scale(many)))
+    some = checkpoint(pairs_in_blocks(dealt_out, profiles, roots, similarity, scale, True).join(to_hub, ["a", "b"], "left_anti"))
+    roots = rooted_by(roots, more.union(aligned(some, texts, similarity)), scale)
+    left = pairs_in_blocks(dealt_out, profiles, roots, similarity, scale, False).join(to_hub.union(some), ["a", "b"], "left_anti")
+    return rooted_by(roots, aligned(checkpoint(left), texts, similarity), scale)
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+def apart(pairs: DataFrame, roots: DataFrame, scale: Scale) -> DataFrame:
     """The pairs whose nodes have different roots."""
     for end in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("nid").alias(end), F.col("root").alias(f"root_{end}")), end)
+        pairs = pairs.join(scale.look(roots.select(F.col("nid").alias(end), F.col("root").alias(f"root_{end}"))), end)
     return checkpoint(pairs.filter("root_a != root_b").select("a", "b"))
 
 
-def parted(members: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+def parted(members: DataFrame, roots: DataFrame, similarity: float, scale: Scale) -> tuple[DataFrame, DataFrame]:
     """Of the buckets that hold several roots: the rows of large ones, and the pairs of small ones that have different roots and lengths that allow a link."""
-    rooted = checkpoint(members.filter("n > 2").select("key", "nid", "words", "n", "hub").join(roots, "nid"))
-    several = checkpoint(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"))
-    rooted = checkpoint(rooted.join(several, "key", "left_semi"))
+    rooted = members.filter("n > 2").select("key", "nid", "words", "n", "hub").join(scale.look(roots), "nid")
+    own = Window.partitionBy("key")
+    rooted = checkpoint(rooted.withColumns({"low": F.min("root").over(own), "high": F.max("root").over(own)}).filter("low != high").drop("low", "high"))
     return rooted.filter(F.col("n") > SMALL), checkpoint(pairs_within(rooted.filter(F.col("n") <= SMALL), similarity).distinct())
 
 
@@ -253,43 +285,46 @@ def pairs_within(rooted: DataFrame, similarity: float) -> DataFrame:
     return rooted.join(others, "key").filter(fits).select(F.col("x").alias("a"), F.col("nid").alias("b"))
 
 
-def dealt(large: DataFrame) -> DataFrame:
+def dealt(large: DataFrame, scale: Scale) -> DataFrame:
     """The rows of each cell (`low`, `high`): `nid`, and `upper` for those of the second of its two blocks. A cell is a pair of blocks that meet in a bucket.
 
     Texts with the same home, the least text of all their buckets, are dealt together, so that texts that share many buckets
-    come into the same few blocks. They are dealt by their class of lengths, which spans a factor of LENGTHS, and blocks meet only
+    come into the same few blocks. Those of a home with more than a block are dealt by their class of lengths, which spans a factor of LENGTHS, and such blocks meet only
     inside a class or across neighbouring ones. A component that fills half a block has blocks of its own, which need not meet each other.
     A bucket whose texts come from many blocks is dealt into blocks of its own instead. Texts of two blocks that
     share no key are told apart by their keys inside the cell.
     """
-    large = large.withColumn("size", F.floor(F.log(F.greatest(F.col("words"), F.lit(1)).cast("double")) / math.log(LENGTHS)).cast("long"))
-    texts = checkpoint(large.groupBy("nid", "root", "words", "size").agg(F.min("hub").alias("home")))
+    size = F.floor(F.log(F.greatest(F.col("words"), F.lit(1)).cast("double")) / math.log(LENGTHS)).cast("long")
+    texts = scale.pack(large.groupBy("nid", "root", "words").agg(F.min("hub").alias("home")))
+    few = texts.groupBy("home").agg(((F.count("*") <= BLOCK) & (F.sum("words") <= BLOCK_WORDS)).alias("few"))
+    texts = scale.pack(texts.join(scale.look(few), "home").select("home", "nid", "root", "words", F.when(F.col("few"), F.lit(ANY)).otherwise(size).alias("size")))
     alike = texts.groupBy("home", "size", "root").agg(F.count("*").alias("rows")).filter(F.col("rows") >= BLOCK // 2).select("home", "size", "root", F.hex("root").alias("group"))
-    texts = texts.join(alike, ["home", "size", "root"], "left").withColumn("group", F.coalesce("group", F.lit(MIXED)))
+    texts = texts.join(scale.look(alike), ["home", "size", "root"], "left").withColumn("group", F.coalesce("group", F.lit(MIXED)))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("words") / BLOCK_WORDS))
-    texts = texts.join(texts.groupBy("home", "size", "group").agg(blocks.alias("blocks")), ["home", "size", "group"])
-    texts = checkpoint(texts.select("nid", "group", F.xxhash64("home", "size", "group", F.pmod(F.xxhash64("nid"), "blocks")).alias("label")))
-    rows = checkpoint(large.join(texts, "nid").select("key", "n", "size", "nid", "group", "label"))
-    many = rows.groupBy("key").agg(F.approx_count_distinct("label").alias("labels"))
-    many = checkpoint(many.join(large.groupBy("key").agg(F.max("n").alias("n")), "key").filter(F.col("labels") > 64 + 8 * F.col("n") / BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    rows = rows.join(many, "key", "left")
+    texts = texts.join(scale.look(texts.groupBy("home", "size", "group").agg(blocks.alias("blocks"))), ["home", "size", "group"])
+    texts = scale.pack(texts.select("nid", "size", "group", F.xxhash64("home", "size", "group", F.pmod(F.xxhash64("nid"), "blocks")).alias("label")))
+    rows = scale.pack(large.join(scale.look(texts), "nid").select("key", "n", "size", "nid", "group", "label"))
+    many = rows.groupBy("key").agg(F.approx_count_distinct("label").alias("labels"), F.max("n").alias("n"))
+    many = scale.pack(many.filter(F.col("labels") > 64 + 8 * F.col("n") / BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    rows = rows.join(scale.look(many), "key", "left")
     apart = F.col("blocks").isNotNull()
     own = F.xxhash64("key", "size", F.pmod(F.xxhash64("nid"), "blocks"))
-    rows = checkpoint(rows.select("key", "size", "nid", F.when(apart, F.lit(MIXED)).otherwise(F.col("group")).alias("group"), F.when(apart, own).otherwise(F.col("label")).alias("label")))
-    meet = checkpoint(rows.select("key", "size", "group", "label").distinct())
+    rows = scale.pack(rows.select("key", "size", "nid", F.when(apart, F.lit(MIXED)).otherwise(F.col("group")).alias("group"), F.when(apart, own).otherwise(F.col("label")).alias("label")))
+    meet = scale.pack(rows.select("key", "size", "group", "label").distinct())
     both = meet.toDF("key", "low_size", "low_group", "low").join(meet.toDF("key", "high_size", "high_group", "high"), "key")
-    useful = (F.col("low") <= F.col("high")) & (F.abs(F.col("low_size") - F.col("high_size")) <= 1) & ((F.col("low_group") != F.col("high_group")) | (F.col("low_group") == F.lit(MIXED)))
+    lengths = (F.abs(F.col("low_size") - F.col("high_size")) <= 1) | (F.col("low_size") == ANY) | (F.col("high_size") == ANY)
+    useful = (F.col("low") <= F.col("high")) & lengths & ((F.col("low_group") != F.col("high_group")) | (F.col("low_group") == F.lit(MIXED)))
     cells = checkpoint(both.filter(useful).select("low", "high").distinct())
-    members = checkpoint(rows.select("nid", "label").distinct())
+    members = scale.pack(rows.select("nid", "label").distinct())
     first = members.join(cells, F.col("label") == F.col("low")).select("low", "high", F.lit(False).alias("upper"), "nid")
     second = members.join(cells.filter("low < high"), F.col("label") == F.col("high")).select("low", "high", F.lit(True).alias("upper"), "nid")
     return first.union(second)
 
 
-def profiled(large: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+def profiled(large: DataFrame, rows: DataFrame, texts: DataFrame, scale: Scale) -> DataFrame:
     """`nid`, `size`, `bag` and `keys` (32 bits of each) of the nodes in `large`."""
-    nids = checkpoint(large.select("nid").distinct())
-    own = rows.join(small(nids, BROADCAST_NODES), F.col("rid") == F.col("nid")).select("nid", "keys").join(texts, "nid")
+    nids = scale.pack(large.select("nid").distinct())
+    own = rows.join(scale.look(nids), F.col("rid") == F.col("nid")).select("nid", "keys").join(texts, "nid")
 
     def run(batches):
         for batch in batches:
@@ -301,13 +336,13 @@ def profiled(large: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpoint(own.select("nid", "keys", "hashed").mapInArrow(run, "nid bigint, size int, bag binary, keys binary"))
 
 
-def pairs_in_blocks(large: DataFrame, profiles: DataFrame, similarity: float, first: bool) -> DataFrame:
-    """The pairs (`a`, `b`) of large buckets that share a key, have different roots, and that lengths and bags allow to be linked; `large` has `key`, `nid`, `root`, `words`, `n` and `hub`.
+def pairs_in_blocks(rows: DataFrame, profiles: DataFrame, roots: DataFrame, similarity: float, scale: Scale, first: bool) -> DataFrame:
+    """The pairs (`a`, `b`) in the cells of `rows` that share a key, have different roots, and that lengths and bags allow to be linked.
 
     With `first`, one pair for each node and other root in a cell.
     """
-    own = profiles.join(large.select("nid", "root").distinct(), "nid")
-    rows = dealt(large).join(own, "nid").repartition("low", "high").sortWithinPartitions("low", "high")
+    own = profiles.join(scale.look(roots), "nid")
+    rows = rows.join(own, "nid").repartition("low", "high").sortWithinPartitions("low", "high")
 
     def run(batches):
         cell, held = None, []
@@ -334,7 +369,9 @@ def pairs_of(held: list[pa.RecordBatch], single: bool, similarity: float, first:
     table = table.take(np.argsort(table.column("size").to_numpy(), kind="stable"))
     nids, roots, size = (table.column(c).to_numpy().astype(np.int64) for c in ("nid", "root", "size"))
     upper = table.column("upper").to_numpy(zero_copy_only=False)
-    bags = folded(table.column("bag").to_pylist())
+    bags = table.column("bag").to_pylist()
+    bins = np.array([len(b) for b in bags])
+    tables = {n: (first_, folded(bags[first_:], n)) for n in np.unique(bins).tolist() if (first_ := int(np.argmax(bins >= n))) >= 0}
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32).reshape(len(nids), -1)
     ours, theirs = (np.arange(len(nids)),) * 2 if single else (np.flatnonzero(~upper), np.flatnonzero(upper))
     theirs_size = size[theirs]
@@ -347,7 +384,10 @@ def pairs_of(held: list[pa.RecordBatch], single: bool, similarity: float, first:
         spot = spot[np.abs(size[i] - size[spot]) <= limit]
         spot = spot[(keys[spot] == keys[i]).any(1)]
         limit = np.floor((1 - similarity) * np.maximum(size[i], size[spot]) + 1e-9)
-        spot = spot[fewest_edits(bags[i], bags[spot]) <= limit]
+        if not len(spot):
+            continue
+        skip, rows = tables[min(int(bins[i]), int(bins[spot].min()))]
+        spot = spot[fewest_edits(rows[i - skip], rows[spot - skip]) <= limit]
         if first:
             spot = spot[np.unique(roots[spot], return_index=True)[1]]
         if len(spot):
@@ -361,22 +401,10 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """`node` and `root`, the least node of its component, for all nodes of the pairs (`a`, `b`), by large and small stars in turn until all are stars.
-
-    Least neighbours are written before links are joined with them, so that the links of a hub can be split.
-    """
-    edges = checkpoint(edges.select(*ordered("a", "b")).filter("a != b").distinct())
-    while True:
-        both = both_ways(edges)
-        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = checkpoint(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
-        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        tree = joined.filter("v != m").select(F.col("v").alias("b"), F.col("m").alias("a")).union(joined.select(F.col("u").alias("b"), F.col("m").alias("a")))
-        edges = checkpoint(tree.select("a", "b").distinct())
-        parts = edges.select(F.col("a").alias("x"), F.lit(1).alias("above"), F.lit(0).alias("below")).union(edges.select("b", F.lit(0), F.lit(1)))
-        parts = parts.groupBy("x").agg(F.max("above").alias("above"), F.sum("below").alias("below"))
-        if parts.filter("above + below > 1").isEmpty():
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    """`node` and `root`, the least node of its component, for all nodes of the pairs (`a`, `b`)."""
+    edges = checkpoint(edges.select("a", "b"))
+    nodes = checkpoint(edges.select(F.col("a").alias("nid")).union(edges.select("b")).distinct())
+    return rooted_by(nodes.select("nid", F.col("nid").alias("root")), edges, Scale(nodes.count())).withColumnRenamed("nid", "node")
 
 
 def classified(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
