@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -49,6 +50,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, read back. Unlike a checkpoint it is planned by its own size: in loops of joins, the sizes that checkpoints
+    hand on from the plans before them multiply until the planner does nothing but multiply them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """`df` with a broadcast hint if it holds at most `rows` rows; else unchanged, so that Spark shuffles it. It is counted: give it tables that are written or cheap."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm._spark import checkpoint, map_texts, small, unused
+from voxloom.llm._spark import checkpoint, map_texts, small, unused, written
 from voxloom.llm._words import edit_distance, hashes, mixed, shingles, words_of
 
 K, ELL, BANDS, SIMILARITY = 5, 2, 64, 0.8
@@ -193,7 +193,7 @@ class Scale:
 
     def pack(self, df: DataFrame) -> DataFrame:
         """`df`, written, in no more partitions than its rows need."""
-        return checkpoint(df.coalesce(max(1, -(-self.rows // PART_ROWS))))
+        return written(df.coalesce(max(1, -(-self.rows // PART_ROWS))))
 
 
 def forest(parents: DataFrame, scale: Scale) -> DataFrame:
@@ -216,7 +216,7 @@ def rooted_by(roots: DataFrame, links: DataFrame, scale: Scale) -> DataFrame:
     own = lambda end: scale.look(roots.select(F.col("nid").alias(end), F.col("root").alias(f"root_{end}")))
     edges = links.select("a", "b").join(own("a"), "a").join(own("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     while True:
-        edges = checkpoint(edges.filter("a != b"))
+        edges = written(edges.filter("a != b"))
         if edges.isEmpty():
             return roots
         parents = both_ways(edges).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("parent")).filter("parent < node")
