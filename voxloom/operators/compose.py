@@ -254,14 +254,35 @@ RATE = 16000
 PIECE_ROWS = 1000
 
 
+#: Rows of 10,000 that an approximate percentile may be off, several times over.
+MARGIN = 5e-4
+
+
+def exact_edges(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """One row with `_edges`: the values at the ranks that cut the rows into `parts` like parts, of n rows the ceil(n * i / parts)-th smallest.
+
+    Approximate percentiles bracket each edge; values inside the brackets are counted one by one, those between them together.
+    """
+    value = F.col(column)
+    shares = [i / parts for i in range(1, parts)]
+    low = [F.min(value) if p <= MARGIN else F.percentile_approx(value, p - MARGIN, 10_000) for p in shares]
+    high = [F.max(value) if p >= 1 - MARGIN else F.percentile_approx(value, p + MARGIN, 10_000) for p in shares]
+    marks = df.agg(F.array(*low).alias("_low"), F.array(*high).alias("_high"), F.count(value).alias("_n"))
+    found = df.filter(value.isNotNull()).select(value.alias("_v")).join(F.broadcast(marks))
+    inside = F.exists(F.arrays_zip("_low", "_high"), lambda m: F.col("_v").between(m["_low"], m["_high"]))
+    place = F.size(F.filter("_low", lambda m: m < F.col("_v"))).alias("_place")
+    counts = found.groupBy("_n", place, F.when(inside, F.col("_v")).alias("_own")).agg(F.count("*").alias("_rows"), F.min("_v").alias("_v"))
+    upto = counts.withColumn("_upto", F.sum("_rows").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    return upto.agg(F.array(*[F.min(F.when(F.col("_upto") * parts >= F.col("_n") * i, F.col("_v"))) for i in range(1, parts)]).alias("_edges"))
+
+
 def plan_batches(df: DataFrame, most_sec: float, buckets: int, key: str = "id", duration: str = "duration_sec", drop_last: bool = False) -> DataFrame:
     """Batches of rows of like length, none over `most_sec` unless it is a single row that is.
 
     Buckets are cut by length, then into pieces of about PIECE_ROWS rows by hash. The rows of a piece are taken by their hash: a
     batch is closed when the next row would make it too long. A piece's last batch is short, as no row came to close it; with `drop_last` it goes.
     """
-    edges = df.agg(F.percentile_approx(duration, [i / buckets for i in range(1, buckets)] or [0.5], 10_000).alias("_edges"))
-    marked = df.join(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("_edges", lambda e: e < F.col(duration))) if buckets > 1 else F.lit(0)).drop("_edges")
+    marked = df.join(F.broadcast(exact_edges(df, duration, buckets))).withColumn("bucket", F.size(F.filter("_edges", lambda e: e < F.col(duration))) if buckets > 1 else F.lit(0)).drop("_edges")
     pieces = marked.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PIECE_ROWS)).alias("_pieces"))
     marked = marked.join(F.broadcast(pieces), "bucket").withColumn("_piece", F.floor(hash01(key) * (F.col("_pieces") - 1e-9)).cast("int"))
     rows = F.array_sort(F.collect_list(F.struct(F.md5(F.col(key).cast("string")).alias("h"), F.col(key).alias("k"), F.col(duration).cast("double").alias("d"))))
