@@ -18,3 +18,16 @@ def arrow(kind: str) -> Callable[[Callable], Callable[..., Column]]:
         return call
 
     return wrap
+
+
+def arrow_arrays(kind: str) -> Callable[[Callable], Callable[..., Column]]:
+    """The same over Arrow arrays, which need no Python object for each value."""
+
+    def wrap(fn: Callable) -> Callable[..., Column]:
+        @functools.wraps(fn)
+        def call(*columns: Column | str) -> Column:
+            return F.arrow_udf(fn, kind)(*columns)
+
+        return call
+
+    return wrap
