@@ -110,6 +110,14 @@ def test_profiles_of_a_family_without_links_move_once(spark):
     assert 12_000 < om.dealt(large_of(spark, 12_000), om.Scale(12_000)).count() <= 12_000 * -(-12_000 // om.BLOCK)
 
 
+def test_texts_of_buckets_that_overlap_move_once_a_bucket(spark):
+    """A text comes into as many cells as it has buckets, however many other buckets these meet."""
+    rng = random.Random(31)
+    rows = [(k, i, i, 100 + i % 40, 0, min(i, k)) for i in range(2000) for k in rng.sample(range(200), 6)]
+    large = spark.createDataFrame(rows, "key long, nid long, root long, words int, n long, hub long")
+    assert om.dealt(large, om.Scale(2000)).count() == len(rows)
+
+
 def test_bags_bound_distances():
     rng = random.Random(4)
     for _ in range(200):

@@ -10,17 +10,16 @@ Candidates: exact copies (equal words) are one node from the start, and a node i
 are shuffled once; what stays are the buckets of two nodes or more, each with its least node, the hub. Each node is
 first aligned with the least of its hubs, which joins families; then with those of its other hubs that are in
 another component by then. Then the pairs of a bucket that these links leave in different components are compared, whatever the
-bucket's size. Buckets of up to SMALL nodes are joined row by row. For larger ones profiles are compared, not texts: a node's profile is its
-length, its keys, and its bag of words, counted in about as many bins as it has words. Nodes are split by length, as they can be linked only within
-a class of lengths or across neighbouring ones, and dealt into blocks, nodes of the same buckets together. Blocks that meet in a bucket are held
-against each other once, unless both are of one component. A task holds the profiles of two blocks and returns the pairs that share a key and whose
-lengths and bags allow a link; at first one for each node and component, as its link makes the others needless, then all that are left. Texts
-move for these pairs alone. So each pair that shares a key is aligned, ruled out by an exact bound, or in one component already;
+bucket's size. Buckets of up to SMALL nodes are joined row by row. Larger ones come into cells: a bucket that fits in a block is one cell; the nodes of
+others are split by length, as they can be linked only within a class of lengths or across neighbouring ones, and dealt into blocks, which are held
+against each other once, unless both are of one component. A task holds the words of the nodes of a cell. It aligns the pairs that are in different components
+and whose lengths and bags of words, counted in about as many bins as there are words, allow a link, and joins components by the links that it finds.
+A pair with several large buckets is left to the first of them. So each pair that shares a key is aligned, ruled out by an exact bound, or in one component already;
 no cap drops a pair.
 
-Growth: a text is read into words once, and aligned as often as there are pairs that no bound rules out. Profiles of a large bucket are copied once for each
-block that theirs meets, which is once for up to BLOCK nodes of like length; beyond, their rows grow with the square of the bucket over BLOCK, and so
-does the time of their comparison over all. Alignments, too, grow with the square of a family whose bags are alike and whose texts are not.
+Growth: a text is read into words once. Words of a large bucket move once for each cell, which is once for a bucket of up to BLOCK nodes, and no row is made for a pair; beyond
+BLOCK nodes of like length, rows grow with the square of the bucket over BLOCK, and so does the time of comparison over all. Alignments, too, grow with the
+square of a family whose bags are alike and whose texts are not.
 
 Two nodes are linked if 1 - (edit distance in words) / (words of the longer) is at least
 SIMILARITY; limits of the alignment's band follow from it. Classes are the connected
@@ -41,11 +40,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,14 +52,12 @@ from voxloom.llm._spark import checkpoint, map_texts, small, unused, written
 from voxloom.llm._words import edit_distance, hashes, mixed, shingles, words_of
 
 K, ELL, BANDS, SIMILARITY = 5, 2, 64, 0.8
-#: Buckets up to this size are joined row by row; of larger ones profiles are compared in blocks of about BLOCK nodes and BLOCK_WORDS words.
+#: Buckets up to this size are joined row by row; larger ones are compared in blocks of about BLOCK nodes and BLOCK_WORDS words.
 SMALL, BLOCK, BLOCK_WORDS = 16, 4096, 4_000_000
 #: Bins of a bag, as powers of two: at least and at most.
 BINS = (6, 12)
 #: The group of blocks that may hold several components.
 MIXED = "-"
-#: The class of a block that holds texts of all lengths.
-ANY = -1
 #: Longest to shortest text of a class of lengths: linkable texts lie in one class or in neighbouring ones for any similarity of 1 / LENGTHS or more.
 LENGTHS = 1.25
 #: Nodes in pairs up to which their ids are broadcast to pick their texts: some 150 MB at most.
@@ -255,12 +252,8 @@ def classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: floa
         return rooted_by(roots, more, scale)
     if similarity < 1 / LENGTHS:
         raise ValueError(f"similarities under {1 / LENGTHS} are not supported")
-    profiles = profiled(large, rows, texts, scale)
-    dealt_out = checkpoint(dealt(large, Scale(many)))
-    some = checkpoint(pairs_in_blocks(dealt_out, profiles, roots, similarity, scale, True).join(to_hub, ["a", "b"], "left_anti"))
-    roots = rooted_by(roots, more.union(aligned(some, texts, similarity)), scale)
-    left = pairs_in_blocks(dealt_out, profiles, roots, similarity, scale, False).join(to_hub.union(some), ["a", "b"], "left_anti")
-    return rooted_by(roots, aligned(checkpoint(left), texts, similarity), scale)
+    links = links_in_cells(checkpoint(dealt(large, Scale(many))), texts, roots, similarity, scale)
+    return rooted_by(roots, more.union(links), scale)
 
 
 def apart(pairs: DataFrame, roots: DataFrame, scale: Scale) -> DataFrame:
@@ -286,114 +279,101 @@ def pairs_within(rooted: DataFrame, similarity: float) -> DataFrame:
 
 
 def dealt(large: DataFrame, scale: Scale) -> DataFrame:
-    """The rows of each cell (`low`, `high`): `nid`, and `upper` for those of the second of its two blocks. A cell is a pair of blocks that meet in a bucket.
+    """The rows of each cell (`key`, `low`, `high`): `nid`, `hub`, and `upper` for those of the second of its two blocks. A cell is a pair of blocks of one bucket.
 
-    Texts with the same home, the least text of all their buckets, are dealt together, so that texts that share many buckets
-    come into the same few blocks. Those of a home with more than a block are dealt by their class of lengths, which spans a factor of LENGTHS, and such blocks meet only
+    A bucket that fits in a block is one cell. The rows of others are dealt by their class of lengths, which spans a factor of LENGTHS, and blocks meet only
     inside a class or across neighbouring ones. A component that fills half a block has blocks of its own, which need not meet each other.
-    A bucket whose texts come from many blocks is dealt into blocks of its own instead. Texts of two blocks that
-    share no key are told apart by their keys inside the cell.
     """
     size = F.floor(F.log(F.greatest(F.col("words"), F.lit(1)).cast("double")) / math.log(LENGTHS)).cast("long")
-    texts = scale.pack(large.groupBy("nid", "root", "words").agg(F.min("hub").alias("home")))
-    few = texts.groupBy("home").agg(((F.count("*") <= BLOCK) & (F.sum("words") <= BLOCK_WORDS)).alias("few"))
-    texts = scale.pack(texts.join(scale.look(few), "home").select("home", "nid", "root", "words", F.when(F.col("few"), F.lit(ANY)).otherwise(size).alias("size")))
-    alike = texts.groupBy("home", "size", "root").agg(F.count("*").alias("rows")).filter(F.col("rows") >= BLOCK // 2).select("home", "size", "root", F.hex("root").alias("group"))
-    texts = texts.join(scale.look(alike), ["home", "size", "root"], "left").withColumn("group", F.coalesce("group", F.lit(MIXED)))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("words") / BLOCK_WORDS))
-    texts = texts.join(scale.look(texts.groupBy("home", "size", "group").agg(blocks.alias("blocks"))), ["home", "size", "group"])
-    texts = scale.pack(texts.select("nid", "size", "group", F.xxhash64("home", "size", "group", F.pmod(F.xxhash64("nid"), "blocks")).alias("label")))
-    rows = scale.pack(large.join(scale.look(texts), "nid").select("key", "n", "size", "nid", "group", "label"))
-    many = rows.groupBy("key").agg(F.approx_count_distinct("label").alias("labels"), F.max("n").alias("n"))
-    many = scale.pack(many.filter(F.col("labels") > 64 + 8 * F.col("n") / BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    rows = rows.join(scale.look(many), "key", "left")
-    apart = F.col("blocks").isNotNull()
-    own = F.xxhash64("key", "size", F.pmod(F.xxhash64("nid"), "blocks"))
-    rows = scale.pack(rows.select("key", "size", "nid", F.when(apart, F.lit(MIXED)).otherwise(F.col("group")).alias("group"), F.when(apart, own).otherwise(F.col("label")).alias("label")))
-    meet = scale.pack(rows.select("key", "size", "group", "label").distinct())
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("words") / BLOCK_WORDS)).alias("blocks")
+    many = scale.pack(large.groupBy("key").agg(blocks).filter("blocks > 1").select("key"))
+    rows = large.select("key", "nid", "root", "words", "hub", size.alias("size"))
+    whole = rows.join(scale.look(many), "key", "left_anti").select("key", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(False).alias("upper"), "nid", "hub")
+    rows = rows.join(scale.look(many), "key", "left_semi")
+    alike = rows.groupBy("key", "size", "root").agg(F.count("*").alias("rows")).filter(F.col("rows") >= BLOCK // 2).select("key", "size", "root", F.hex("root").alias("group"))
+    rows = scale.pack(rows.join(scale.look(alike), ["key", "size", "root"], "left").withColumn("group", F.coalesce("group", F.lit(MIXED))))
+    parts = scale.pack(rows.groupBy("key", "size", "group").agg(blocks))
+    label = lambda part: F.xxhash64("key", "size", "group", part).alias("label")
+    rows = scale.pack(rows.join(scale.look(parts), ["key", "size", "group"]).select("key", "nid", "hub", label(F.pmod(F.xxhash64("nid"), "blocks"))))
+    meet = scale.pack(parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", "size", "group", label(F.col("part"))))
     both = meet.toDF("key", "low_size", "low_group", "low").join(meet.toDF("key", "high_size", "high_group", "high"), "key")
-    lengths = (F.abs(F.col("low_size") - F.col("high_size")) <= 1) | (F.col("low_size") == ANY) | (F.col("high_size") == ANY)
-    useful = (F.col("low") <= F.col("high")) & lengths & ((F.col("low_group") != F.col("high_group")) | (F.col("low_group") == F.lit(MIXED)))
-    cells = checkpoint(both.filter(useful).select("low", "high").distinct())
-    members = scale.pack(rows.select("nid", "label").distinct())
-    first = members.join(cells, F.col("label") == F.col("low")).select("low", "high", F.lit(False).alias("upper"), "nid")
-    second = members.join(cells.filter("low < high"), F.col("label") == F.col("high")).select("low", "high", F.lit(True).alias("upper"), "nid")
-    return first.union(second)
+    useful = (F.col("low") <= F.col("high")) & (F.abs(F.col("low_size") - F.col("high_size")) <= 1) & ((F.col("low_group") != F.col("high_group")) | (F.col("low_group") == F.lit(MIXED)))
+    cells = scale.pack(both.filter(useful).select("key", "low", "high"))
+    first = rows.withColumnRenamed("label", "low").join(cells, ["key", "low"]).select("key", "low", "high", F.lit(False).alias("upper"), "nid", "hub")
+    second = rows.withColumnRenamed("label", "high").join(cells.filter("low < high"), ["key", "high"]).select("key", "low", "high", F.lit(True).alias("upper"), "nid", "hub")
+    return whole.union(first).union(second)
 
 
-def profiled(large: DataFrame, rows: DataFrame, texts: DataFrame, scale: Scale) -> DataFrame:
-    """`nid`, `size`, `bag` and `keys` (32 bits of each) of the nodes in `large`."""
-    nids = scale.pack(large.select("nid").distinct())
-    own = rows.join(scale.look(nids), F.col("rid") == F.col("nid")).select("nid", "keys").join(texts, "nid")
+def links_in_cells(rows: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, scale: Scale) -> DataFrame:
+    """The links (`a`, `b`) in the cells of `rows` that join different roots, written once.
 
-    def run(batches):
-        for batch in batches:
-            hashed = [np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column("hashed")]
-            keys = [np.array(k, np.int64).astype(np.uint32).tobytes() for k in batch.column("keys").to_pylist()]
-            columns = [batch.column("nid"), pa.array([len(h) for h in hashed], pa.int32()), pa.array([bag(h) for h in hashed], pa.binary()), pa.array(keys, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["nid", "size", "bag", "keys"])
-
-    return checkpoint(own.select("nid", "keys", "hashed").mapInArrow(run, "nid bigint, size int, bag binary, keys binary"))
-
-
-def pairs_in_blocks(rows: DataFrame, profiles: DataFrame, roots: DataFrame, similarity: float, scale: Scale, first: bool) -> DataFrame:
-    """The pairs (`a`, `b`) in the cells of `rows` that share a key, have different roots, and that lengths and bags allow to be linked.
-
-    With `first`, one pair for each node and other root in a cell.
+    Texts move once for each cell, whatever the number of pairs; they are joined to the list of a node's cells. Hubs stay out, as they have met all of their buckets.
     """
-    own = profiles.join(scale.look(roots), "nid")
-    rows = rows.join(own, "nid").repartition("low", "high").sortWithinPartitions("low", "high")
+    cells = F.collect_list(F.when(F.col("nid") != F.col("hub"), F.struct("key", "low", "high", "upper"))).alias("cells")
+    own = checkpoint(rows.groupBy("nid").agg(cells, F.array_sort(F.collect_set("key")).alias("keys")).filter(F.size("cells") > 0))
+    held = texts.join(scale.look(own.select("nid")), "nid", "left_semi")
+    full = own.join(scale.look(roots), "nid").join(held, "nid").select("nid", "root", "keys", "hashed", F.explode("cells").alias("cell"))
+    full = full.select("cell.*", "nid", "root", "keys", "hashed").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches):
         cell, held = None, []
         for batch in batches:
-            names = list(zip(batch.column("low").to_pylist(), batch.column("high").to_pylist()))
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high"))))
             start = 0
             for i in range(1, len(names) + 1):
                 if i == len(names) or names[i] != names[start]:
                     if cell is not None and names[start] != cell:
-                        yield from pairs_of(held, cell[0] == cell[1], similarity, first)
+                        yield links_of(held, cell, similarity)
                         held = []
                     cell = names[start]
                     held.append(batch.slice(start, i - start))
                     start = i
         if held:
-            yield from pairs_of(held, cell[0] == cell[1], similarity, first)
+            yield links_of(held, cell, similarity)
 
-    return rows.select("low", "high", "upper", "nid", "root", "size", "bag", "keys").mapInArrow(run, "a bigint, b bigint").distinct()
+    return checkpoint(full.mapInArrow(run, "a bigint, b bigint"))
 
 
-def pairs_of(held: list[pa.RecordBatch], single: bool, similarity: float, first: bool) -> Iterator[pa.RecordBatch]:
-    """The pairs of a cell: inside its only block, or between its two."""
+def links_of(held: list[pa.RecordBatch], cell: tuple[int, int, int], similarity: float) -> pa.RecordBatch:
+    """The links that join roots of a cell: inside its only block, or between its two. A pair is left to the least key that it shares."""
+    key, single = cell[0], cell[1] == cell[2]
     table = pa.Table.from_batches(held)
-    table = table.take(np.argsort(table.column("size").to_numpy(), kind="stable"))
-    nids, roots, size = (table.column(c).to_numpy().astype(np.int64) for c in ("nid", "root", "size"))
+    table = table.take(np.argsort(pc.binary_length(table.column("hashed")).to_numpy(), kind="stable"))
+    nids, roots = (table.column(c).to_numpy().astype(np.int64) for c in ("nid", "root"))
+    hashed = [np.frombuffer(t.as_buffer(), np.uint32) for t in table.column("hashed")]
+    size = np.array([len(h) for h in hashed])
     upper = table.column("upper").to_numpy(zero_copy_only=False)
-    bags = table.column("bag").to_pylist()
+    keys = table.column("keys").to_pylist()
+    bags = [bag(h) for h in hashed]
     bins = np.array([len(b) for b in bags])
-    tables = {n: (first_, folded(bags[first_:], n)) for n in np.unique(bins).tolist() if (first_ := int(np.argmax(bins >= n))) >= 0}
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32).reshape(len(nids), -1)
+    tables = {n: (first, folded(bags[first:], n)) for n in np.unique(bins).tolist() if (first := int(np.argmax(bins >= n))) >= 0}
+    coarse = folded(bags, 1 << BINS[0])
     ours, theirs = (np.arange(len(nids)),) * 2 if single else (np.flatnonzero(~upper), np.flatnonzero(upper))
     theirs_size = size[theirs]
-    found: list[np.ndarray] = []
+    found: list[tuple[int, int]] = []
     for place, i in enumerate(ours):
         low, high = np.searchsorted(theirs_size, [size[i] * similarity - 1, size[i] / similarity + 1])
         spot = theirs[max(low, place + 1) if single else low : high]
         spot = spot[roots[spot] != roots[i]]
         limit = np.floor((1 - similarity) * np.maximum(size[i], size[spot]) + 1e-9)
-        spot = spot[np.abs(size[i] - size[spot]) <= limit]
-        spot = spot[(keys[spot] == keys[i]).any(1)]
-        limit = np.floor((1 - similarity) * np.maximum(size[i], size[spot]) + 1e-9)
+        near = np.abs(size[i] - size[spot]) <= limit
+        spot, limit = spot[near], limit[near]
+        if not len(spot):
+            continue
+        near = fewest_edits(coarse[i], coarse[spot]) <= limit
+        spot, limit = spot[near], limit[near]
         if not len(spot):
             continue
         skip, rows = tables[min(int(bins[i]), int(bins[spot].min()))]
         spot = spot[fewest_edits(rows[i - skip], rows[spot - skip]) <= limit]
-        if first:
-            spot = spot[np.unique(roots[spot], return_index=True)[1]]
-        if len(spot):
-            found.append(np.stack([np.minimum(nids[i], nids[spot]), np.maximum(nids[i], nids[spot])]))
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, 1)], names=["a", "b"])
+        own = set(keys[i])
+        for j in spot.tolist():
+            if roots[j] == roots[i] or next(k for k in keys[j] if k in own) != key:
+                continue
+            if edit_distance(hashed[i], hashed[j], most_edits(size[i], size[j], similarity)) is not None:
+                found.append((min(nids[i], nids[j]), max(nids[i], nids[j])))
+                roots[roots == roots[j]] = roots[i]
+    return pa.RecordBatch.from_arrays([pa.array([f[x] for f in found], pa.int64()) for x in (0, 1)], names=["a", "b"])
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
