@@ -37,6 +37,7 @@ PUNCTUATION = ".,?!:;"
 
 NOT_WORD = r"[^\p{L}\p{M}\p{N}_]+"
 NOT_LETTER = r"[^\p{L}\p{N}_]+"
+NOT_SINGLE_SPACED = r"[^\p{L}\p{N}_ ]|  "
 
 
 # Words of transcripts that stand for spoken marks.
@@ -55,8 +56,8 @@ def _c(x: Column | str) -> Column:
 
 
 def _words_only(text: Column) -> Column:
-    """Runs of what is no letter, number or underscore become one space."""
-    return F.trim(F.regexp_replace(text, NOT_LETTER, " "))
+    """Runs of what is no letter, number or underscore become one space. Texts that have only single spaces are left as they are."""
+    return F.trim(F.when(text.rlike(NOT_SINGLE_SPACED), F.regexp_replace(text, NOT_LETTER, " ")).otherwise(text))
 
 
 def normalize_words(text: Column | str) -> Column:
@@ -72,7 +73,8 @@ def nfkc(text: pd.Series) -> pd.Series:
 def normalize_text(text: Column | str) -> Column:
     """`normalize_words` with NFKC before marks go. Of ASCII texts nothing is sent to Python."""
     low = F.lower(F.trim(F.coalesce(_c(text), F.lit(""))))
-    return _words_only(F.when(low.rlike(r"^\p{ASCII}*$"), low).otherwise(nfkc(F.when(~low.rlike(r"^\p{ASCII}*$"), low))))
+    ascii = F.octet_length(low) == F.char_length(low)
+    return _words_only(F.when(ascii, low).otherwise(nfkc(F.when(~ascii, low))))
 
 
 def clean_text(text: Column | str) -> Column:
